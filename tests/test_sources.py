@@ -1,0 +1,144 @@
+"""Readers on small literal files."""
+
+import gzip
+import json
+import zipfile
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from readlake.functions import clean_tags
+from readlake.sources.exports import detect_export_kinds, read_export, read_exports
+from readlake.sources.responses import decode_responses
+
+
+def put(folder, name, text, newline="\n"):
+    path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text, encoding="utf-8", newline=newline)
+    return str(path)
+
+
+def load(spark, path):
+    kind, items = read_export(spark, str(path))
+    return kind, items.orderBy("source_file", "line_no").collect()
+
+
+def test_pocket_csv(spark, tmp_path):
+    path = put(tmp_path, "p.csv", '﻿Title, URL ,time_added,cursor,tags,status\n'
+               '"A ""quoted"" title",https://e.org/1,1451606400,,essays,unread\n'
+               '"two\nlines",https://e.org/2,,,python|local-first,archive\n'
+               ',https://e.org/3,oops,,,\nno link,,1,,,\n')
+    kind, rows = load(spark, path)
+    assert kind == "pocket"
+    assert [r.url for r in rows] == ["https://e.org/1", "https://e.org/2", "https://e.org/3"]
+    assert rows[0].added_at == "2016-01-01T00:00:00Z" and rows[0].tags == ["essays"]
+    assert rows[0].title == 'A "quoted" title' and rows[1].title == "two\nlines"
+    assert rows[1].tags == ["python", "local-first"] and rows[1].added_at is None
+    assert rows[2].title is None and rows[2].text is None
+
+
+def test_instapaper_and_generic_csv(spark, tmp_path):
+    kind, rows = load(spark, put(tmp_path, "i.csv", "URL,Title,Selection,Folder,Timestamp\nhttps://e.org/a,T,s,Unread,1600000000\n"))
+    assert kind == "instapaper" and rows[0].added_at == "2020-09-13T12:26:40Z" and rows[0].tags is None
+    kind, rows = load(spark, put(tmp_path, "g.csv", "name,url\nx, https://e.org/b \n"))
+    assert kind == "csv" and rows[0].url == "https://e.org/b" and rows[0].title is None
+    with pytest.raises(ValueError, match="'url' column"):
+        read_export(spark, put(tmp_path, "bad.csv", "name,value\na,b\n"))
+    assert load(spark, put(tmp_path, "empty.csv", "name,value\n")) == ("csv", [])
+
+
+BOOKMARKS = """<!DOCTYPE NETSCAPE-Bookmark-file-1>
+<DL><p><DT><H3>Folder</H3><DL><p>
+<DT><A HREF="https://e.org/a?x=1&amp;y=2" ADD_DATE="1500000000">First <b>bold</b> &amp; co</A>
+<DT><A HREF='https://e.org/b'>Second</A></DL><p>
+<A NAME="here">no link</A>
+<A HREF="https://e.org/lost">never closed
+<A HREF="https://e.org/c" TAGS="x,Y z"></A>
+</DL>"""
+
+
+def test_bookmarks(spark, tmp_path):
+    kind, rows = load(spark, put(tmp_path, "b.html", BOOKMARKS))
+    assert kind == "bookmarks"
+    assert [(r.url, r.title, r.added_at) for r in rows] == [
+        ("https://e.org/a?x=1&y=2", "Firstbold& co", "2017-07-14T02:40:00Z"),
+        ("https://e.org/b", "Second", None), ("https://e.org/c", None, None)]
+    assert rows[2].tags == ["x", "Y z"]
+
+
+def test_pocket_html(spark, tmp_path):
+    path = put(tmp_path, "ril.html", '<ul><li><a href="https://e.org/a" time_added="1451606400" tags="x">T</a></li></ul>')
+    kind, rows = load(spark, path)
+    assert kind == "pocket" and rows[0].tags == ["x"] and rows[0].added_at == "2016-01-01T00:00:00Z"
+
+
+def test_url_list(spark, tmp_path):
+    kind, rows = load(spark, put(tmp_path, "u.txt", "# mine\n  https://e.org/1 \n\njunk\nHTTP://e.org/no\nhttp://e.org/2\x0bhttps://e.org/3\n"))
+    assert kind == "urls" and [r.url for r in rows] == ["https://e.org/1", "http://e.org/2", "https://e.org/3"]
+
+
+METADATA = [
+    {"id": "1", "slug": "one two", "title": "One", "author": "A", "url": "https://e.org/1",
+     "savedAt": "2024-05-01T10:00:00.000Z", "labels": ["Plain", {"name": "named"}, 7, {"name": 8}]},
+    {"id": "2", "slug": "gone", "title": "Two", "url": "https://e.org/2", "labels": None},
+    {"id": "3", "slug": "one", "title": "no url"},
+]
+
+
+def check_omnivore(kind, rows):
+    assert kind == "omnivore" and [r.url for r in rows] == ["https://e.org/1", "https://e.org/2"]
+    assert rows[0].text == "Hello\n\nWorld" and rows[1].text is None
+    assert rows[0].added_at == "2024-05-01T10:00:00Z" and rows[0].author == "A"
+    assert rows[0].tags == ["Plain", "named"] and rows[1].tags == []
+
+
+def test_omnivore_folder(spark, tmp_path):
+    put(tmp_path, "o/metadata_0_to_20.json", json.dumps(METADATA))
+    put(tmp_path, "o/content/one two.md", "\nHello\n\nWorld\n")
+    check_omnivore(*load(spark, tmp_path / "o"))
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="metadata"):
+        read_export(spark, str(tmp_path / "none"))
+
+
+def test_omnivore_zip(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("deep/metadata_0_to_20.json", json.dumps(METADATA))
+        z.writestr("deep/content/one two.md", "\nHello\n\nWorld\n")
+    check_omnivore(*load(spark, tmp_path / "e.zip"))
+
+
+def test_mixed_folder(spark, tmp_path):
+    root = tmp_path / "all"
+    put(root, "p.csv", "title,url,time_added,tags\na,https://e.org/1,1451606400,x\n")
+    put(root, "q.csv", "url,title\nhttps://e.org/2,b\n")
+    put(root, "b.HTM", BOOKMARKS)
+    put(root, "list", "https://e.org/9\n")
+    put(root, "page.txt", "see <A href='https://e.org/8'>eight</A>\n")
+    put(root, "o/metadata_0.json", json.dumps(METADATA))
+    put(root, "o/content/one two.md", "Hello")
+    with zipfile.ZipFile(root / "z.zip", "w") as z:
+        z.writestr("metadata_1.json", json.dumps(METADATA))
+    kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in detect_export_kinds(spark, str(root)).collect()}
+    assert kinds == {"p.csv": "csv", "q.csv": "csv", "b.HTM": "links", "list": "urls",
+                     "page.txt": "links", "o": "omnivore", "z.zip": "zip"}
+    items = read_exports(spark, str(root))
+    assert items.count() == 1 + 1 + 3 + 1 + 1 + 2 + 2
+    tags = items.select(F.explode(clean_tags(F.col("tags"))).alias("t")).distinct()
+    assert {r.t for r in tags.collect()} == {"x", "y z", "plain", "named"}
+
+
+def test_decode_responses(spark):
+    page = "<p>naïve “quotes”</p>"
+    raw = zlib.compressobj(wbits=-15)
+    rows = [(1, "gzip", gzip.compress(page.encode())), (2, " X-GZIP ", gzip.compress(page.encode())),
+            (3, "deflate", zlib.compress(page.encode())), (4, "deflate", raw.compress(page.encode()) + raw.flush()),
+            (5, None, page.encode()), (6, "gzip", b"broken"), (7, None, None),
+            (8, None, b'<meta charset="latin-1">\xe9')]
+    df = spark.createDataFrame(rows, "i int, content_encoding string, body binary")
+    got = {r.i: r for r in decode_responses(df).collect()}
+    assert all(got[i].html == page for i in range(1, 6))
+    assert got[6].html is None and "gzip" in got[6].error.lower() and got[7].html is None
+    assert got[8].html.endswith("é")
