@@ -442,5 +442,6 @@ def search_batch(
         .where(F.col("n_found") == F.col("n_words"))
     )
     by_rank = Window.partitionBy("query_id").orderBy("score", "id")
-    ranked = scored.select("query_id", "id", "score", F.row_number().over(by_rank).alias("rank"))
+    rank = F.row_number().over(by_rank).cast("bigint").alias("rank")
+    ranked = scored.select("query_id", "id", "score", rank)
     return ranked if k is None else ranked.where(F.col("rank") <= k)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.urls import has_web_scheme, normalize_url
 from ..operators.extract import extract_articles
 from ..operators.ingest import NO_TEXT, NOT_FETCHED
+from ..operators.joins import spread_join
 from ..operators.numbering import number_rows
 from ..operators.resolve import check_addresses, resolve_add, resolve_redirects
 from ..operators.store import Store, known_urls
@@ -107,7 +108,7 @@ def _named_pages(checked: DataFrame, web: Web) -> DataFrame:
     named = checked.where(F.col("refused").isNull() & ~_has_page()).select("event_id", "url")
     urls = named.select("url").distinct()
     guarded = check_addresses(urls, web.hops, web.resolutions)
-    resolved = resolve_redirects(urls, web.hops).withColumnRenamed("url", "raw_url")
+    resolved = resolve_redirects(urls, web.hops)
     wanted = resolved.select(F.col("given_url").alias("url")).distinct()
     live = _extracted(web.responses.join(wanted, "url", "left_semi"))
     copies = _extracted(web.copies.join(wanted, "url", "left_semi"))
@@ -115,17 +116,24 @@ def _named_pages(checked: DataFrame, web: Web) -> DataFrame:
     safe = F.col("safe")
     # A copy from the archive is kept under the url that was given.
     final = F.when(F.col("source") == "wayback", F.col("given_url")).otherwise(F.col("final_url"))
-    return (
-        named.join(guarded.withColumnRenamed("reason", "unsafe"), "url")
-        .join(resolved, F.col("url") == F.col("raw_url"))
+    per_url = (
+        guarded.withColumnRenamed("reason", "unsafe")
+        .join(resolved, "url")
         .join(content, "given_url", "left")
         .select(
-            "event_id",
-            final.alias("url"),
+            F.col("url").alias("raw_url"),
+            final.alias("page_url"),
             *[F.when(safe, F.col(c)).alias(c) for c in ("title", "author", "text")],
             F.when(~safe, F.col("unsafe")).otherwise(F.col("reason")).alias("reason"),
         )
     )
+    # Very many captures may name one page.
+    events = spread_join(
+        named.withColumnRenamed("url", "raw_url"), per_url, "raw_url", "event_id", "inner"
+    )
+    return events.select(
+        "event_id", F.col("page_url").alias("url"), "title", "author", "text", "reason"
+    )
 
 
 def save_captures(
