@@ -202,10 +202,10 @@ _search(
 )
 _search(
     "search_not",
-    s.without(s.term("thanedble"), s.term("attion")),
+    s.without(s.term("erin"), s.either(s.term("attion"), s.term("eron"))),
     o.ranked(
-        {"h0": o.has_word("thanedble")},
-        "jh0.f > 0 AND a.id NOT IN (SELECT id FROM words WHERE term = 'attion')",
+        {"h0": o.has_word("erin")},
+        "jh0.f > 0 AND a.id NOT IN (SELECT id FROM words WHERE term IN ('attion', 'eron'))",
     ),
 )
 _search(
@@ -228,11 +228,11 @@ _search(
 )
 _search(
     "search_near",
-    s.near("attion", "eron", distance=4),
+    s.near("erin", "eron", distance=20),
     o.ranked(
-        {"h0": o.has_word("attion"), "h1": o.has_word("eron")},
-        "jh0_near.f > 0".replace("jh0_near", "jh0") + " AND jh1.f > 0",
-        {"h0": o.has_near("attion", "eron", 4), "h1": o.has_near("eron", "attion", 4)},
+        {"h0": o.has_word("erin"), "h1": o.has_word("eron")},
+        "jh0.f > 0 AND jh1.f > 0",
+        {"h0": o.has_near("erin", "eron", 20), "h1": o.has_near("eron", "erin", 20)},
     ),
 )
 _search(
