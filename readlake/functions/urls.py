@@ -16,6 +16,11 @@ _AUTHORITY_SCHEMES = ("http", "https", "ftp", "file")
 
 _SCHEME = r"\A([a-zA-Z][a-zA-Z0-9+.-]*):"
 _PARTS = r"(?s)\A(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?\z"
+# What nearly all urls look like: site, path without its last slashes, query.
+_USUAL = (
+    r"(?s)\A([a-z][a-z0-9+.-]*://[^/?#\x00-\x20]+)((?:/+[^/?#\x00-\x20]+)*)/*"
+    r"(?:\?([^#\x00-\x20]*))?(?:#[^\x00-\x20]*)?\z"
+)
 
 # IPv4 blocks that are not public (first address, last address).
 BLOCKED_IPV4 = (
@@ -74,6 +79,18 @@ def _clean_query(query: Column) -> Column:
 
 def normalize_url(url: Column) -> Column:
     """One spelling per page: no fragment, no tracking parameters, no trailing slash."""
+    # Every part is used once, since Spark would compute it anew for each use.
+    site, path, query = (F.regexp_extract(url, _USUAL, group) for group in (1, 2, 3))
+    cleaned = F.when(url.contains("="), _clean_query(query)).otherwise(F.lit(""))
+    usual = F.concat(site, F.regexp_replace(path, r"\A\z", "/"), _with_mark(cleaned))
+    return F.when(url.rlike(_USUAL), usual).otherwise(_normalize_any(url))
+
+
+def _with_mark(query: Column) -> Column:
+    return F.regexp_replace(F.concat(F.lit("?"), query), r"\A\?\z", "")
+
+
+def _normalize_any(url: Column) -> Column:
     tidy = _tidy(url)
     scheme = url_scheme(url)
     netloc = F.regexp_extract(tidy, _PARTS, 1)
@@ -91,7 +108,7 @@ def normalize_url(url: Column) -> Column:
     return F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
         body,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+        _with_mark(query),
     )
 
 

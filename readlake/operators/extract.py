@@ -23,7 +23,7 @@ from ..functions.text import (
     strip,
 )
 from ..functions.urls import url_host
-from ..session import materialize
+from ..session import materialize, spread_rows
 
 # How elements are treated.
 BLOCK_TAGS = frozenset(
@@ -167,7 +167,7 @@ def parse_html(pages: pd.Series) -> pd.DataFrame:
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, marked, page_title, og_title, meta_author, blocks)."""
-    return pages.select(
+    return spread_rows(pages.select("page_id", "url", "html"), "page_id").select(
         "page_id",
         "url",
         F.coalesce(has_br_paragraphs(F.col("html")), F.lit(False)).alias("marked"),

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import spread_rows
 
 FIELDS = ("title", "author", "text")
 FIELD_SPAN = 1 << 29
@@ -28,6 +29,10 @@ BUCKET_PREFIX = 2
 # empty text is never a token.
 ARTICLE_ROW = ""
 ARTICLE_BUCKET = BUCKETS
+# A batch of few articles is not worth a folder per bucket: its postings all lie in
+# this one, which every query reads as well.
+WHOLE_BATCH = -1
+SPLIT_FROM = 100_000
 
 
 def bucket_of(term: Column) -> Column:
@@ -89,7 +94,10 @@ def postings(articles: DataFrame) -> DataFrame:
 
 def totals(rows: DataFrame) -> DataFrame:
     """One row: how many articles and how many tokens."""
-    return rows.where(F.col("term_bucket") == ARTICLE_BUCKET).agg(
+    article_rows = rows.where(
+        F.col("term_bucket").isin(ARTICLE_BUCKET, WHOLE_BATCH) & (F.col("term") == ARTICLE_ROW)
+    )
+    return article_rows.agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("n_tokens"),
     )
@@ -112,10 +120,15 @@ class Index:
     def read(spark: SparkSession, root: str) -> "Index":
         return Index(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/totals"))
 
+    def terms(self) -> DataFrame:
+        """The postings without the rows that describe articles."""
+        return self.postings.where(
+            (F.col("term_bucket") != ARTICLE_BUCKET) & (F.col("term") != ARTICLE_ROW)
+        )
+
     def document_frequencies(self) -> DataFrame:
         """(term, df, hits): one posting is one article."""
-        terms = self.postings.where(F.col("term_bucket") != ARTICLE_BUCKET)
-        return terms.groupBy("term").agg(
+        return self.terms().groupBy("term").agg(
             F.count(F.lit(1)).alias("df"), F.sum(F.size("at")).alias("hits")
         )
 
@@ -126,7 +139,9 @@ class Index:
         ).withColumn("avgdl", F.col("n_tokens").cast("double") / F.col("n_docs"))
 
 
-def write_index(articles: DataFrame, root: str, batch_id: int = 0) -> None:
+def write_index(
+    articles: DataFrame, root: str, batch_id: int = 0, split_from: int = SPLIT_FROM
+) -> None:
     """Index one batch of articles; writing the same batch again replaces it.
 
     A bucket's postings are spread over several tasks by article, so a stop word
@@ -138,10 +153,13 @@ def write_index(articles: DataFrame, root: str, batch_id: int = 0) -> None:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = max(1, partitions // 8)
     replace_batch = {"partitionOverwriteMode": "dynamic"}
+    rows = postings(spread_rows(articles.select("id", *FIELDS), "id"))
+    if articles.count() < split_from:
+        rows = rows.withColumn("term_bucket", F.lit(WHOLE_BATCH)).repartition(partitions, "id")
+    else:
+        rows = rows.repartition(partitions, "term_bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
     (
-        postings(articles)
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .repartition(partitions, "term_bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         .sortWithinPartitions("term_bucket", "term", "id")
         .write.mode("overwrite")
         .options(**replace_batch)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import clean_tags
 from ..functions.urls import has_import_scheme, normalize_url
-from ..session import materialize
+from ..session import materialize, spread_rows
 from .numbering import number_rows
 from .store import Store, known_urls
 
@@ -38,6 +38,12 @@ def rejected(items: DataFrame) -> DataFrame:
     return items.where(~F.coalesce(has_import_scheme(F.col("url")), F.lit(False)))
 
 
+def _addressed(items: DataFrame) -> DataFrame:
+    """Items with a web address, by their normalized url."""
+    web = spread_rows(items, "line_no").where(has_import_scheme(F.col("url")))
+    return web.withColumn("url", normalize_url(F.col("url")))
+
+
 def deduplicate(items: DataFrame) -> DataFrame:
     """The first item of each normalized url, and how often the url occurs.
 
@@ -46,8 +52,7 @@ def deduplicate(items: DataFrame) -> DataFrame:
     """
     first = F.struct("title", "author", "added_at", "text", *_ORDER)
     return (
-        items.where(has_import_scheme(F.col("url")))
-        .withColumn("url", normalize_url(F.col("url")))
+        _addressed(items)
         .groupBy("url")
         .agg(F.min_by(first, _order()).alias("first"), F.count(F.lit(1)).alias("n_items"))
         .select("url", "first.*", "n_items")
@@ -57,8 +62,8 @@ def deduplicate(items: DataFrame) -> DataFrame:
 def url_tags(items: DataFrame) -> DataFrame:
     """Distinct (url, tag) over all occurrences of a url: repeats bring their tags."""
     return (
-        items.where(has_import_scheme(F.col("url")))
-        .select(normalize_url(F.col("url")).alias("url"), F.explode(clean_tags(F.col("tags"))).alias("tag"))
+        _addressed(items)
+        .select("url", F.explode(clean_tags(F.col("tags"))).alias("tag"))
         .distinct()
     )
 
@@ -76,7 +81,8 @@ def outcomes(items: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFram
     brought no text, with a null text where nothing could be had. status is saved,
     skipped or failed; source is export, live or wayback.
     """
-    listed = deduplicate(items)
+    # Needed twice, and a repeated url makes it costly: written once.
+    listed = materialize(deduplicate(items), "listed")
     known = known_urls(saved, listed).withColumn("known", F.lit(True))
     # What was known or came with its text needs no content: look up only the rest.
     checked = listed.join(known, "url", "left").withColumn(

@@ -23,6 +23,7 @@ from .index import (
     ARTICLE_BUCKET,
     BUCKET_PREFIX,
     FIELDS,
+    WHOLE_BATCH,
     Index,
     bucket_of,
     field_start,
@@ -198,7 +199,8 @@ def postings_of(index: Index, slots: Iterable[tuple[str, bool]]) -> DataFrame:
     if all(not s.prefix or len(s.word) >= BUCKET_PREFIX for s in slots):
         heads = sorted({s.word[:BUCKET_PREFIX] for s in slots})
         # Constant expressions, so the optimizer folds them and prunes partitions.
-        return rows.where(_any(F.col("term_bucket") == bucket_of(F.lit(h)) for h in heads))
+        buckets = [F.col("term_bucket") == bucket_of(F.lit(head)) for head in heads]
+        return rows.where(_any([F.col("term_bucket") == WHOLE_BATCH, *buckets]))
     return rows.where(F.col("term_bucket") != ARTICLE_BUCKET)
 
 
@@ -390,13 +392,11 @@ def search_batch(
     words = queries.select(
         "query_id", F.array_distinct(tokens(F.col("text"))).alias("words")
     ).select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("term"))
-    terms = index.postings.where(F.col("term_bucket") != ARTICLE_BUCKET)
-    wanted = words.select("term", bucket_of(F.col("term")).alias("term_bucket")).distinct()
-    frequencies = (
-        terms.join(wanted, ["term_bucket", "term"], "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_hits"))
-    )
+    # The bucket is a partition column: joined on it, other buckets are not read.
+    lies_in = F.explode(F.array(bucket_of(F.col("term")), F.lit(WHOLE_BATCH)))
+    wanted = words.select("term").distinct().select("term", lies_in.alias("term_bucket"))
+    terms = index.terms().join(wanted, ["term_bucket", "term"], "left_semi")
+    frequencies = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"))
     corpus = index.corpus().select(F.struct("n_docs", "avgdl")).scalar()
     # One row per query whose words all occur somewhere, with its rarest word.
     plans = (
@@ -414,18 +414,13 @@ def search_batch(
         "n_words",
         "words",
         F.col("rarest").alias("term"),
-        bucket_of(F.col("rarest")).alias("term_bucket"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
     candidates = terms.select(
-        "term_bucket", "term", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
-    ).join(salted, ["term_bucket", "term", "salt"])
+        "term", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
+    ).join(salted, ["term", "salt"])
     needed = candidates.select("query_id", "id", "n_words", F.inline("words"))
-    found = (
-        terms.join(wanted, ["term_bucket", "term"], "left_semi")
-        .select("term", "id", "dl", F.size("at").alias("hits"))
-        .join(needed, ["term", "id"])
-    )
+    found = terms.select("term", "id", "dl", F.size("at").alias("hits")).join(needed, ["term", "id"])
     weight = bm25(
         inverse_frequency(corpus["n_docs"], F.col("n_hits")),
         F.col("hits"),

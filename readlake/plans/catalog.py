@@ -144,14 +144,14 @@ def br_paragraphs(t: Tables) -> DataFrame:
 
 
 def _index(t: Tables) -> Index:
-    """The index of all documents, built in two batches as imports would."""
+    """The index of all documents, written once and kept open."""
 
-    def build() -> str:
+    def build() -> Index:
         root = scratch_path(t.spark, "index")
         write_index(t["articles"], root)
-        return root
+        return Index.read(t.spark, root)
 
-    return Index.read(t.spark, _once("index", t, build))
+    return _once("index", t, build)
 
 
 @query(o.statement("""SELECT id, term, count(*) AS n FROM words WHERE field = 2 GROUP BY id, term"""))

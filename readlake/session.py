@@ -59,3 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Deal out rows that come from few files, before work that is heavy per row.
+
+    One small file is one task however many cores there are. Data in many files is
+    left where it is: it already is many tasks, and moving it would cost a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)

@@ -44,7 +44,7 @@ def articles(spark):
 @pytest.fixture(scope="module")
 def index(spark, articles):
     root = scratch_path(spark, "index")
-    write_index(articles.where("id <= 25"), root, 0)
+    write_index(articles.where("id <= 25"), root, 0, split_from=0)
     write_index(articles.where("id > 25"), root, 1)
     write_index(articles.where("id > 25"), root, 1)  # a replayed batch changes nothing
     return Index.read(spark, root)
