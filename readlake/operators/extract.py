@@ -160,11 +160,15 @@ def _parse_page(source: str | None) -> dict:
             "meta_author": page.meta.get("author"), "blocks": page.blocks}
 
 
-@F.pandas_udf(PARSED)
-def parse_html(pages: pd.Series) -> pd.DataFrame:
+def _parse_batch(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parse_page(page) for page in pages], columns=PARSED.fieldNames())
 
 
+# Declared nondeterministic so that no filter on its result is moved below it, which
+# would parse every page a second time.
+parse_html = F.pandas_udf(_parse_batch, PARSED).asNondeterministic()
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, marked, page_title, og_title, meta_author, blocks)."""
     return spread_rows(pages.select("page_id", "url", "html"), "page_id").select(

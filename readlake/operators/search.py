@@ -340,22 +340,30 @@ def matches(index: Index, query: Query) -> DataFrame:
     if _is_empty(query):
         return index.postings.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
     hits, phrases = _article_hits(index, query)
-    # One row of statistics each, read as scalar subqueries.
+    numbers = range(len(phrases))
+    # One row of statistics each, read as scalar subqueries; every further column is
+    # a step of its own, so that a subquery is not repeated for each use.
     frequencies = hits.agg(
-        F.struct(*[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
-    ).scalar()
-    corpus = index.corpus().select(F.struct("n_docs", "avgdl")).scalar()
+        F.struct(*[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in numbers])
+    )
+    with_statistics = hits.withColumns(
+        {
+            "_frequency": frequencies.scalar(),
+            "_corpus": index.corpus().select(F.struct("n_docs", "avgdl")).scalar(),
+        }
+    )
+    with_weights = with_statistics.withColumns(
+        {
+            f"_idf{i}": inverse_frequency(F.col("_corpus.n_docs"), F.col(f"_frequency.n{i}"))
+            for i in numbers
+        }
+    )
     weights = [
-        bm25(
-            inverse_frequency(corpus["n_docs"], frequencies[f"n{i}"]),
-            F.col(f"f{i}"),
-            F.col("dl"),
-            corpus["avgdl"],
-        )
-        for i in range(len(phrases))
+        bm25(F.col(f"_idf{i}"), F.col(f"f{i}"), F.col("dl"), F.col("_corpus.avgdl"))
+        for i in numbers
     ]
     matched, score = _evaluate(query, 0, weights)
-    return hits.where(matched).select("id", score.alias("score"))
+    return with_weights.where(matched).select("id", score.alias("score"))
 
 
 def search(
