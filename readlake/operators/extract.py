@@ -33,7 +33,7 @@ BLOCK_TAGS = frozenset(
 )
 SKIPPED_TAGS = frozenset("aside footer nav head button select form".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+NOT_TEXT = ("h1", "byline", "time")
 BYLINE = re.compile(r"\b(?:byline|author)\b", re.IGNORECASE)
 BY = r"(?i)\Aby\s+"
 
@@ -212,7 +212,7 @@ def boilerplate_blocks(blocks: DataFrame, min_pages: int = MIN_REPEATS) -> DataF
 
 def _texts(blocks: Column) -> Column:
     """Article text: everything but the title, the byline and lone dates."""
-    body = F.filter(blocks, lambda b: ~b["tag"].isin("h1", "byline", "time"))
+    body = F.filter(blocks, lambda b: ~b["tag"].isin(*NOT_TEXT))
     return F.array_join(F.transform(body, lambda b: b["text"]), "\n")
 
 
@@ -231,19 +231,27 @@ def _select(parsed: DataFrame) -> DataFrame:
     blocks = F.col("blocks")
     article = F.filter(blocks, lambda b: b["place"] == "article")
     dense = F.filter(blocks, lambda b: _dense(b) | b["tag"].isin("h1", "byline"))
-    chosen = F.when(_texts(article) != "", article).otherwise(dense)
-    with_choice = parsed.withColumn("chosen", chosen)
-    text = F.when(F.col("marked"), restore_br_paragraphs(_texts(F.col("chosen")))).otherwise(
-        _texts(F.col("chosen"))
+    has_article = F.exists(
+        "blocks", lambda b: (b["place"] == "article") & ~b["tag"].isin(*NOT_TEXT)
+    )
+    with_choice = parsed.withColumn("chosen", F.when(has_article, article).otherwise(dense))
+    with_text = with_choice.withColumn("raw_text", _texts(F.col("chosen")))
+    text = F.when(F.col("marked"), restore_br_paragraphs(F.col("raw_text"))).otherwise(
+        F.col("raw_text")
     )
     author = F.coalesce("meta_author", _first_text(blocks, "byline"))
-    return with_choice.select(
+    return with_text.select(
         "page_id",
         "url",
         F.coalesce(_first_text(F.col("chosen"), "h1"), "og_title", "page_title").alias("title"),
         F.nullif(strip(F.regexp_replace(author, BY, "")), F.lit("")).alias("author"),
-        text.alias("text"),
-    ).where(strip(F.col("text")) != "")
+        F.when(strip(text) != "", text).alias("text"),
+    )
+
+
+def extract_all(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, author, text) of every page; text is null without an article."""
+    return _select(parse_pages(pages))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -251,7 +259,7 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
     Needs nothing but the page itself, so there is no shuffle.
     """
-    return _select(parse_pages(pages))
+    return extract_all(pages).where(F.col("text").isNotNull())
 
 
 def extract_corpus(pages: DataFrame, min_pages: int = MIN_REPEATS) -> DataFrame:
@@ -276,7 +284,7 @@ def extract_corpus(pages: DataFrame, min_pages: int = MIN_REPEATS) -> DataFrame:
         "left_semi",
     )
     dropped = marked.groupBy("page_id").agg(F.collect_list("block_no").alias("dropped"))
-    return _select(
+    selected = _select(
         parsed.join(dropped, "page_id", "left").withColumn(
             "blocks",
             F.when(F.col("dropped").isNull(), F.col("blocks")).otherwise(
@@ -284,6 +292,7 @@ def extract_corpus(pages: DataFrame, min_pages: int = MIN_REPEATS) -> DataFrame:
             ),
         )
     )
+    return selected.where(F.col("text").isNotNull())
 
 
 def page_titles(pages: DataFrame) -> DataFrame:

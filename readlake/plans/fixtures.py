@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
+from ..session import spread_rows
 
 GIVEN = ("pages", "documents", "events", "conversations", "benchmark")
 
@@ -140,7 +141,8 @@ class Tables:
             return self["saves"].withColumn("tags", F.split("tag_text", r"\|")).drop(
                 "tag_text", "saved_unix"
             )
-        return self.sql(SHARED[name])
+        rows = self.sql(SHARED[name])
+        return spread_rows(rows, "line_no") if name == "saves" else rows
 
     def sql(self, statement: str) -> DataFrame:
         """Run a shared statement over these tables."""

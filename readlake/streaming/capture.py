@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import has_web_scheme, normalize_url
-from ..operators.extract import extract_articles
+from ..operators.extract import extract_all
 from ..operators.ingest import NO_TEXT, NOT_FETCHED
 from ..operators.joins import spread_join
 from ..operators.numbering import number_rows
@@ -88,18 +88,21 @@ def _has_page() -> Column:
 def _sent_pages(checked: DataFrame) -> DataFrame:
     """(event_id, url, title, author, text, reason) of captures that bring their page."""
     sent = checked.where(F.col("refused").isNull() & _has_page())
-    found = extract_articles(sent.select(F.col("event_id").alias("page_id"), "url", "html"))
-    return (
-        sent.select("event_id", normalize_url(F.col("url")).alias("url"))
-        .join(found.select(F.col("page_id").alias("event_id"), "title", "author", "text"), "event_id", "left")
-        .withColumn("reason", F.when(F.col("text").isNull(), F.lit(NO_TEXT)))
+    pages = extract_all(sent.select(F.col("event_id").alias("page_id"), "url", "html"))
+    return pages.select(
+        F.col("page_id").alias("event_id"),
+        normalize_url(F.col("url")).alias("url"),
+        "title",
+        "author",
+        "text",
+        F.when(F.col("text").isNull(), F.lit(NO_TEXT)).alias("reason"),
     )
 
 
 def _extracted(pages: DataFrame) -> DataFrame:
     """Add title, author and text to (url, html, ...) rows with distinct urls."""
     keyed = pages.withColumn("page_id", F.xxhash64("url"))
-    found = extract_articles(keyed.select("page_id", "url", "html"))
+    found = extract_all(keyed.select("page_id", "url", "html"))
     return pages.drop("html").join(found.drop("page_id"), "url", "left")
 
 
@@ -194,8 +197,7 @@ def capture_stream(
                           "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        captures = materialize(batch, "captures")
-        done = save_captures(store, captures, batch_id, stamp, web)
+        done = save_captures(store, batch, batch_id, stamp, web)
         store.write(done, "outcomes", batch_id)
 
     return (
