@@ -387,10 +387,8 @@ def search(
 # -- many queries at once ------------------------------------------------------
 
 
-def search_batch(
-    index: Index, queries: DataFrame, k: int | None = None, salts: int = 16
-) -> DataFrame:
-    """Rank the articles that hold all words of each query: (query_id, id, score, rank).
+def match_batch(index: Index, queries: DataFrame, salts: int = 16) -> DataFrame:
+    """The articles that hold all words of each query: (query_id, id, score).
 
     ``queries`` is (query_id, text). Candidates come from each query's rarest word
     only; its other words are then looked up by (word, article), a key no single
@@ -435,7 +433,7 @@ def search_batch(
         F.col("dl"),
         corpus["avgdl"],
     )
-    scored = (
+    return (
         found.groupBy("query_id", "id")
         .agg(
             F.count(F.lit(1)).alias("n_found"),
@@ -443,8 +441,20 @@ def search_batch(
             F.sum(weight).alias("score"),
         )
         .where(F.col("n_found") == F.col("n_words"))
+        .select("query_id", "id", "score")
     )
+
+
+def search_batch(index: Index, queries: DataFrame, k: int = 10, salts: int = 16) -> DataFrame:
+    """The best ``k`` articles of each query: (query_id, id, score, rank).
+
+    The limit is applied before the rows of a query meet, so a query that matches a
+    large part of the archive sends no more than ``k`` rows per task.
+    """
     by_rank = Window.partitionBy("query_id").orderBy("score", "id")
-    rank = F.row_number().over(by_rank).cast("bigint").alias("rank")
-    ranked = scored.select("query_id", "id", "score", rank)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    best = (
+        match_batch(index, queries, salts)
+        .withColumn("rank", F.row_number().over(by_rank))
+        .where(F.col("rank") <= k)
+    )
+    return best.withColumn("rank", F.col("rank").cast("bigint"))

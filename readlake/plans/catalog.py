@@ -53,16 +53,18 @@ def _once(name: str, t: Tables, make: Callable[[], object]) -> object:
     return _written[key]
 
 
-def query(oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
-    """Register a query under its function's name."""
+def query(
+    oracle: str | None = None, name: str | None = None
+) -> Callable[[Callable[[Tables], DataFrame]], Query]:
+    """Register a query under its function's name, or another that a function has already."""
 
     def register(build: Callable[[Tables], DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return build(Tables(spark, sf_dir))
 
-        QUERIES[build.__name__] = run
+        QUERIES[name or build.__name__] = run
         if oracle is not None:
-            ORACLES[build.__name__] = oracle
+            ORACLES[name or build.__name__] = oracle
         return run
 
     return register
@@ -74,7 +76,7 @@ NOW = "2025-01-01T00:00:00Z"
 # -- scalars -------------------------------------------------------------------
 
 
-@query(o.statement(f"SELECT line_no, url AS raw_url, {o.normalized('url')} AS url FROM saves"))
+@query(o.statement(f"SELECT line_no, url AS raw_url, {o.normalized('url')} AS url FROM saves"), name="normalize_url")
 def normalize_urls(t: Tables) -> DataFrame:
     saves = t["saves"]
     return saves.select("line_no", F.col("url").alias("raw_url"), normalize_url(F.col("url")).alias("url"))
@@ -87,7 +89,7 @@ _UNIX_TEXT = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'n/a'
 
 @query(o.statement(f"""SELECT event_id, typed, CASE WHEN typed LIKE '%.5'
     THEN strftime(make_timestamp(saved_unix * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS saved
-    FROM ({_UNIX_TEXT})"""))
+    FROM ({_UNIX_TEXT})"""), name="iso_from_unix")
 def iso_from_unix_seconds(t: Tables) -> DataFrame:
     return t.sql(_UNIX_TEXT).select("event_id", "typed", iso_from_unix(F.col("typed")).alias("saved"))
 
@@ -100,23 +102,23 @@ _ISO_TEXT = """SELECT event_id, event_type, saved_unix, CASE WHEN event_type = '
 
 @query(o.statement(f"""SELECT event_id, typed, CASE WHEN event_type <> 'error' THEN strftime(
     make_timestamp((saved_unix - CASE WHEN event_type = 'click' THEN 7200 ELSE 0 END) * 1000000),
-    '%Y-%m-%dT%H:%M:%SZ') END AS saved FROM ({_ISO_TEXT})"""))
+    '%Y-%m-%dT%H:%M:%SZ') END AS saved FROM ({_ISO_TEXT})"""), name="iso_from_string")
 def iso_from_text(t: Tables) -> DataFrame:
     return t.sql(_ISO_TEXT).select("event_id", "typed", iso_from_string(F.col("typed")).alias("saved"))
 
 
-@query(o.statement(f"SELECT line_no, {o.clean_tags("string_split(tag_text, '|')")} AS tags FROM saves"))
+@query(o.statement(f"SELECT line_no, {o.clean_tags("string_split(tag_text, '|')")} AS tags FROM saves"), name="clean_tags")
 def cleaned_tags(t: Tables) -> DataFrame:
     return t["items"].select("line_no", F.array_join(clean_tags(F.col("tags")), ",").alias("tags"))
 
 
-@query(o.statement(f"SELECT id, {o.slug('title')} AS slug FROM articles"))
+@query(o.statement(f"SELECT id, {o.slug('title')} AS slug FROM articles"), name="slugify")
 def slugs(t: Tables) -> DataFrame:
     return t["articles"].select("id", slugify(F.col("title")).alias("slug"))
 
 
 @query(o.statement(f"""SELECT id, unnest(p) AS paragraph, unnest(range(len(p))) AS paragraph_no
-    FROM (SELECT id, {o.paragraphs('text')} AS p FROM articles)"""))
+    FROM (SELECT id, {o.paragraphs('text')} AS p FROM articles)"""), name="paragraphs")
 def paragraph_split(t: Tables) -> DataFrame:
     return t["articles"].select(
         "id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph_no", "paragraph")
@@ -182,8 +184,7 @@ def _search(name: str, composed: s.Query, oracle: str, limit: int | None = None)
             "score", F.round("score", 6)
         )
 
-    run.__name__ = name
-    query(oracle)(run)
+    query(oracle, name)(run)
 
 
 _search("search_term", s.term("attion"), o.ranked({"h0": o.has_word("attion")}, "jh0.f > 0"))
@@ -275,7 +276,7 @@ _TAG_TEXT = "SELECT article_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM
 _LISTED = "a.id, a.url, a.title, a.author, a.added_at, g.tags, coalesce(nullif(a.title, ''), a.url) AS name"
 
 
-@query(o.statement(f"SELECT {_LISTED} FROM articles a LEFT JOIN ({_TAG_TEXT}) g ON g.article_id = a.id"))
+@query(o.statement(f"SELECT {_LISTED} FROM articles a LEFT JOIN ({_TAG_TEXT}) g ON g.article_id = a.id"), name="list_articles")
 def list_all(t: Tables) -> DataFrame:
     return list_articles(t["articles"], t["tags"])
 
@@ -286,12 +287,12 @@ def list_by_tag(t: Tables) -> DataFrame:
     return list_articles(t["articles"], t["tags"], " Long READ ")
 
 
-@query(o.statement("SELECT tag FROM tags WHERE article_id = 42"))
+@query(o.statement("SELECT tag FROM tags WHERE article_id = 42"), name="tags_for")
 def tags_of_article(t: Tables) -> DataFrame:
     return tags_for(t["tags"], 42)
 
 
-@query(o.statement("SELECT id, url, title, author, text, added_at FROM articles WHERE id = 42"))
+@query(o.statement("SELECT id, url, title, author, text, added_at FROM articles WHERE id = 42"), name="read_article")
 def read_one_article(t: Tables) -> DataFrame:
     return read_article(t["articles"], 42)
 
@@ -575,7 +576,7 @@ def _compressed(texts: pd.Series, encodings: pd.Series) -> pd.Series:
     return pd.Series([pack[e](x.encode()) for x, e in zip(texts, encodings, strict=True)])
 
 
-@query("SELECT page_id, html, CAST(NULL AS VARCHAR) AS error FROM pages")
+@query("SELECT page_id, html, CAST(NULL AS VARCHAR) AS error FROM pages", name="decode_responses")
 def decode_bodies(t: Tables) -> DataFrame:
     encoding = F.when(F.col("url").contains("/en/"), "gzip").when(
         F.col("url").contains("/fr/"), "deflate").otherwise("")
@@ -609,10 +610,18 @@ def resolve_content_add(t: Tables) -> DataFrame:
 @query(o.statement(f"""SELECT p.url, {o.normalized('p.url')} AS given_url,
     {o.normalized('coalesce(h.target, p.url)')} AS final_url FROM pages p
     LEFT JOIN (SELECT url, arg_max(target, hop) AS target FROM hops GROUP BY url) h ON h.url = p.url"""))
-def resolve_redirect(t: Tables) -> DataFrame:
+def resolve_redirects(t: Tables) -> DataFrame:
     return resolve.resolve_redirects(t["pages"].select("url"), t["hops"])
 
 
+@query(o.statement(f"""SELECT final_url, count(*) AS n_urls FROM (SELECT DISTINCT
+    {o.normalized('p.url')} AS given_url, {o.normalized('coalesce(h.target, p.url)')} AS final_url FROM pages p
+    LEFT JOIN (SELECT url, arg_max(target, hop) AS target FROM hops GROUP BY url) h ON h.url = p.url)
+    GROUP BY final_url HAVING count(*) > 1"""))
+def same_final_page(t: Tables) -> DataFrame:
+    return resolve.same_final_page(resolve.resolve_redirects(t["pages"].select("url"), t["hops"]))
+
+
 @query(o.statement("""SELECT url, reason IS NULL AS safe, reason FROM (
     SELECT t.url, arg_min(CASE WHEN v.host IS NULL THEN 'could not resolve ' || split_part(t.target, '/', 3)
         WHEN v.blocked THEN v.host || ' resolves to a non-public address' END, t.hop)
@@ -653,6 +662,12 @@ def extract_articles(t: Tables) -> DataFrame:
     return extract.extract_articles(t["pages"])
 
 
+@query(o.statement("""SELECT page_id, raw_url AS url, title, CAST(NULL AS VARCHAR) AS author, text
+    FROM page_articles WHERE text <> ''"""))
+def extract_corpus(t: Tables) -> DataFrame:
+    return extract.extract_corpus(t["pages"])
+
+
 @query(o.statement("""SELECT host, text, count(DISTINCT page_id) AS n_pages FROM block_rows
     GROUP BY host, text HAVING count(DISTINCT page_id) >= 2"""))
 def boilerplate_blocks(t: Tables) -> DataFrame:
