@@ -28,7 +28,7 @@ from ..functions import (
 )
 from ..operators import export, extract, ingest, resolve
 from ..operators import search as s
-from ..operators.index import Index, write_index
+from ..operators.index import Index
 from ..operators.store import Store, list_articles, read_article, tags_for
 from ..session import materialize, scratch_path
 from ..sources import exports
@@ -145,15 +145,27 @@ def br_paragraphs(t: Tables) -> DataFrame:
 # -- index and search ------------------------------------------------------------
 
 
-def _index(t: Tables) -> Index:
-    """The index of all documents, written once and kept open."""
+def _library(t: Tables) -> tuple[DataFrame, DataFrame, Index]:
+    """All documents as a written archive, opened once: articles, tags and index."""
+
+    def build() -> tuple[DataFrame, DataFrame, Index]:
+        store = Store(t.spark, scratch_path(t.spark, "library"))
+        store.append(t["articles"], t["tags"], 0)
+        return store.articles().drop("batch_id"), store.tags().drop("batch_id"), store.index()
+
+    return _once("library", t, build)
+
 
-    def build() -> Index:
-        root = scratch_path(t.spark, "index")
-        write_index(t["articles"], root)
-        return Index.read(t.spark, root)
+def _articles(t: Tables) -> DataFrame:
+    return _library(t)[0]
 
-    return _once("index", t, build)
+
+def _tags(t: Tables) -> DataFrame:
+    return _library(t)[1]
+
+
+def _index(t: Tables) -> Index:
+    return _library(t)[2]
 
 
 @query(o.statement("""SELECT id, term, count(*) AS n FROM words WHERE field = 2 GROUP BY id, term"""))
@@ -180,7 +192,7 @@ def index_stats(t: Tables) -> DataFrame:
 
 def _search(name: str, composed: s.Query, oracle: str, limit: int | None = None) -> None:
     def run(t: Tables) -> DataFrame:
-        return s.search(_index(t), t["articles"], composed, limit).withColumn(
+        return s.search(_index(t), _articles(t), composed, limit).withColumn(
             "score", F.round("score", 6)
         )
 
@@ -278,23 +290,23 @@ _LISTED = "a.id, a.url, a.title, a.author, a.added_at, g.tags, coalesce(nullif(a
 
 @query(o.statement(f"SELECT {_LISTED} FROM articles a LEFT JOIN ({_TAG_TEXT}) g ON g.article_id = a.id"), name="list_articles")
 def list_all(t: Tables) -> DataFrame:
-    return list_articles(t["articles"], t["tags"])
+    return list_articles(_articles(t), _tags(t))
 
 
 @query(o.statement(f"""SELECT {_LISTED} FROM articles a JOIN ({_TAG_TEXT}) g ON g.article_id = a.id
     WHERE a.id IN (SELECT article_id FROM tags WHERE tag = 'long read')"""))
 def list_by_tag(t: Tables) -> DataFrame:
-    return list_articles(t["articles"], t["tags"], " Long READ ")
+    return list_articles(_articles(t), _tags(t), " Long READ ")
 
 
 @query(o.statement("SELECT tag FROM tags WHERE article_id = 42"), name="tags_for")
 def tags_of_article(t: Tables) -> DataFrame:
-    return tags_for(t["tags"], 42)
+    return tags_for(_tags(t), 42)
 
 
 @query(o.statement("SELECT id, url, title, author, text, added_at FROM articles WHERE id = 42"), name="read_article")
 def read_one_article(t: Tables) -> DataFrame:
-    return read_article(t["articles"], 42)
+    return read_article(_articles(t), 42)
 
 
 # -- import --------------------------------------------------------------------------
@@ -698,7 +710,7 @@ def _markdown(order: str = "") -> str:
 
 @query(o.statement(_markdown()))
 def export_markdown(t: Tables) -> DataFrame:
-    return export.markdown(t["articles"])
+    return export.markdown(_articles(t))
 
 
 _BOOKS = """SELECT substr(added_at, 1, 7) AS book, id, url, title, author, text, added_at,
@@ -717,7 +729,7 @@ _CHAPTER = (
 @query(o.statement(f"""SELECT book, n, 'a' || CAST(n AS STRING) || '.xhtml' AS file, name, id,
     {_CHAPTER} AS content FROM ({_BOOKS})"""))
 def export_chapters(t: Tables) -> DataFrame:
-    return export.chapters(export.by_month(t["articles"]))
+    return export.chapters(export.by_month(_articles(t)))
 
 
 @query(o.statement(f"""SELECT tag AS book, n, '<li><a href="a' || n || '.xhtml">' || {o.escaped('name')} || '</a></li>' AS nav,
@@ -727,13 +739,13 @@ def export_chapters(t: Tables) -> DataFrame:
           row_number() OVER (PARTITION BY g.tag ORDER BY a.added_at DESC, a.id) AS n
           FROM articles a JOIN tags g ON g.article_id = a.id)"""))
 def export_toc(t: Tables) -> DataFrame:
-    return export.table_of_contents(export.by_tag(t["articles"], t["tags"]))
+    return export.table_of_contents(export.by_tag(_articles(t), _tags(t)))
 
 
 @query(o.statement(f"""SELECT m.id, m.path, m.content FROM ({_markdown()}) m
     WHERE m.id IN (SELECT id FROM words WHERE term = 'attion')"""))
 def export_search(t: Tables) -> DataFrame:
-    return export.markdown(export.select_articles(t["articles"], _index(t), s.term("attion")))
+    return export.markdown(export.select_articles(_articles(t), _index(t), s.term("attion")))
 
 
 # -- captures --------------------------------------------------------------------------
