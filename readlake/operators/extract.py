@@ -169,14 +169,16 @@ def _parse_batch(pages: pd.Series) -> pd.DataFrame:
 parse_html = F.pandas_udf(_parse_batch, PARSED).asNondeterministic()
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, marked, page_title, og_title, meta_author, blocks)."""
-    return spread_rows(pages.select("page_id", "url", "html"), "page_id").select(
-        "page_id",
-        "url",
+PAGE_KEY = ("page_id", "url")
+
+
+def parse_pages(pages: DataFrame, keep: tuple[str, ...] = PAGE_KEY) -> DataFrame:
+    """The kept columns with (marked, page_title, og_title, meta_author, blocks)."""
+    return spread_rows(pages.select(*keep, "html"), keep[0]).select(
+        *keep,
         F.coalesce(has_br_paragraphs(F.col("html")), F.lit(False)).alias("marked"),
         parse_html(mark_br_paragraphs(F.col("html"))).alias("page"),
-    ).select("page_id", "url", "marked", "page.*")
+    ).select(*keep, "marked", "page.*")
 
 
 def explode_blocks(parsed: DataFrame) -> DataFrame:
@@ -226,7 +228,7 @@ def _dense(block: Column) -> Column:
     )
 
 
-def _select(parsed: DataFrame) -> DataFrame:
+def _select(parsed: DataFrame, keep: tuple[str, ...] = PAGE_KEY) -> DataFrame:
     """Title, author and text of each page from its blocks."""
     blocks = F.col("blocks")
     article = F.filter(blocks, lambda b: b["place"] == "article")
@@ -241,17 +243,17 @@ def _select(parsed: DataFrame) -> DataFrame:
     )
     author = F.coalesce("meta_author", _first_text(blocks, "byline"))
     return with_text.select(
-        "page_id",
-        "url",
+        *keep,
         F.coalesce(_first_text(F.col("chosen"), "h1"), "og_title", "page_title").alias("title"),
         F.nullif(strip(F.regexp_replace(author, BY, "")), F.lit("")).alias("author"),
         F.when(strip(text) != "", text).alias("text"),
     )
 
 
-def extract_all(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, author, text) of every page; text is null without an article."""
-    return _select(parse_pages(pages))
+def extract_all(pages: DataFrame, keep: tuple[str, ...] = PAGE_KEY) -> DataFrame:
+    """The kept columns and (title, author, text) of every page; text is null where
+    there is no article."""
+    return _select(parse_pages(pages, keep), keep)
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:

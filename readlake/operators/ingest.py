@@ -74,6 +74,13 @@ def already_saved(items: DataFrame, saved: DataFrame) -> DataFrame:
     return distinct.join(known_urls(saved, distinct), "url", "left_semi")
 
 
+def links_to_fetch(items: DataFrame, saved: DataFrame) -> DataFrame:
+    """The urls whose content is needed: not saved yet, and listed without their text."""
+    links = deduplicate(items).where(F.coalesce(F.col("text"), F.lit("")) == "").select("url")
+    links = materialize(links, "links")
+    return links.join(known_urls(saved, links), "url", "left_anti")
+
+
 def outcomes(items: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFrame:
     """What becomes of every url: one row per distinct url and per rejected item.
 

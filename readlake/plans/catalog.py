@@ -397,7 +397,12 @@ def _import_store(t: Tables) -> Store:
             F.lit("stored before").alias("text"), F.lit(NOW).alias("added_at"),
         )
         store.append(first, t.spark.createDataFrame([], "article_id bigint, tag string"), 0)
-        ingest.run_import(store, t["items"], _fetched(t), 1, F.lit(NOW))
+        html = t["pages"].select("page_id", "html")
+        responses = t["responses"].join(html, "page_id")
+        copies = resolve.pick_snapshots(t["snapshots"]).join(t["web_pages"], "url").join(html, "page_id")
+        links = ingest.links_to_fetch(t["items"], store.articles())
+        fetched = resolve.fetch_for_import(links, responses, copies)
+        ingest.run_import(store, t["items"], fetched, 1, F.lit(NOW))
         return root
 
     return Store(t.spark, _once("archive", t, run))

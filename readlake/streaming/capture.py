@@ -18,7 +18,7 @@ from ..operators.extract import extract_all
 from ..operators.ingest import NO_TEXT, NOT_FETCHED
 from ..operators.joins import spread_join
 from ..operators.numbering import number_rows
-from ..operators.resolve import check_addresses, resolve_add, resolve_redirects
+from ..operators.resolve import LIVE_COLUMNS, check_addresses, resolve_add, resolve_redirects
 from ..operators.store import Store, known_urls
 from ..session import materialize
 
@@ -99,13 +99,6 @@ def _sent_pages(checked: DataFrame) -> DataFrame:
     )
 
 
-def _extracted(pages: DataFrame) -> DataFrame:
-    """Add title, author and text to (url, html, ...) rows with distinct urls."""
-    keyed = pages.withColumn("page_id", F.xxhash64("url"))
-    found = extract_all(keyed.select("page_id", "url", "html"))
-    return pages.drop("html").join(found.drop("page_id"), "url", "left")
-
-
 def _named_pages(checked: DataFrame, web: Web) -> DataFrame:
     """The same for captures that only name a page: guarded, then looked up."""
     named = checked.where(F.col("refused").isNull() & ~_has_page()).select("event_id", "url")
@@ -113,8 +106,8 @@ def _named_pages(checked: DataFrame, web: Web) -> DataFrame:
     guarded = check_addresses(urls, web.hops, web.resolutions)
     resolved = resolve_redirects(urls, web.hops)
     wanted = resolved.select(F.col("given_url").alias("url")).distinct()
-    live = _extracted(web.responses.join(wanted, "url", "left_semi"))
-    copies = _extracted(web.copies.join(wanted, "url", "left_semi"))
+    live = extract_all(web.responses.join(wanted, "url", "left_semi"), LIVE_COLUMNS)
+    copies = extract_all(web.copies.join(wanted, "url", "left_semi"), ("url",))
     content = resolve_add(wanted, live, copies).withColumnRenamed("url", "given_url")
     safe = F.col("safe")
     # A copy from the archive is kept under the url that was given.

@@ -11,12 +11,14 @@ from readlake.operators.ingest import (
     ITEM_SCHEMA,
     deduplicate,
     failures,
+    links_to_fetch,
     run_import,
     write_failures,
 )
 from readlake.operators.numbering import number_rows, number_within
 from readlake.operators.resolve import (
     check_addresses,
+    fetch_for_import,
     pick_snapshots,
     resolve_add,
     resolve_import,
@@ -169,6 +171,26 @@ def test_import_rule(spark):
                      "offline": "no route"}
 
 
+def test_fetch_for_import_extracts_what_is_needed(spark):
+    page = "<article><h1>{0}</h1><p>{0} text</p></article>"
+    responses = spark.createDataFrame(
+        [("a", 200, None, page.format("live")), ("b", 200, None, "<p>"), ("c", 404, None, None),
+         ("not asked", 200, None, page.format("no"))],
+        "url string, status int, error string, html string")
+    kept = spark.createDataFrame([(u, page.format("old")) for u in "abx"], "url string, html string")
+    urls = spark.createDataFrame([(u,) for u in "abc"], "url string")
+    got = {r.url: (r.title, r.text, r.source, r.reason) for r in fetch_for_import(urls, responses, kept).collect()}
+    assert got == {"a": ("live", "live text", "live", None), "b": ("old", "old text", "wayback", None),
+                   "c": (None, None, None, "HTTP Error 404")}
+
+
+def test_only_new_links_are_fetched(spark, store):
+    run_import(store, the_list(spark), the_web(spark), 1, F.lit(NOW))
+    more = items(spark, ("https://e.org/live", None, None, None, None), ("https://e.org/n/", None, None, None, None),
+                 ("https://e.org/t", None, None, "text", None), ("ftp://e.org", None, None, None, None))
+    assert [r.url for r in links_to_fetch(more, store.articles()).collect()] == ["https://e.org/n"]
+
+
 def test_add_rule(spark):
     got = outcome(resolve_add(live_pages(spark).select("url"), live_pages(spark), copies(spark)))
     assert got == {"ok": "live", "empty": "no article text", "refused": "wayback", "gone": "HTTPError: gone",
