@@ -155,7 +155,7 @@ def write_index(
     replace_batch = {"partitionOverwriteMode": "dynamic"}
     rows = postings(spread_rows(articles.select("id", *FIELDS), "id"))
     if articles.count() < split_from:
-        rows = rows.withColumn("term_bucket", F.lit(WHOLE_BATCH)).repartition(partitions, "id")
+        rows = rows.withColumn("term_bucket", F.lit(WHOLE_BATCH)).repartition("id")
     else:
         rows = rows.repartition(partitions, "term_bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
     (

@@ -20,9 +20,8 @@ def number_rows(
     The rows are range-partitioned, sorted and written with their place in their
     partition; afterwards only one count per partition has to be summed up.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(
-        df.repartitionByRange(partitions, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))),

@@ -36,6 +36,9 @@ B = 0.75
 IDF_FLOOR = 1e-6
 NEAR_DISTANCE = 10
 
+# Scores that agree to this many digits are a tie.
+TIE_DIGITS = 9
+
 
 # -- query forms -----------------------------------------------------------
 
@@ -451,7 +454,9 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, salts: int = 16)
     The limit is applied before the rows of a query meet, so a query that matches a
     large part of the archive sends no more than ``k`` rows per task.
     """
-    by_rank = Window.partitionBy("query_id").orderBy("score", "id")
+    # The weights of a row are summed in no fixed order, so equal texts may differ in
+    # the last bits; rounding lets the id decide between them, as it should.
+    by_rank = Window.partitionBy("query_id").orderBy(F.round("score", TIE_DIGITS), "id")
     best = (
         match_batch(index, queries, salts)
         .withColumn("rank", F.row_number().over(by_rank))

@@ -268,7 +268,7 @@ _BATCH_WEIGHT = o.weight("p.f", "df.n")
 
 
 @query(o.statement(f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (
-    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank
+    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank
     FROM (SELECT q.query_id, p.id, sum({_BATCH_WEIGHT}) AS score
           FROM (SELECT DISTINCT item_id AS query_id, unnest({o.tokens('text')}) AS term FROM benchmark) q
           JOIN (SELECT id, term, count(*) AS f FROM words GROUP BY id, term) p ON p.term = q.term

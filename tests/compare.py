@@ -72,7 +72,7 @@ def main():
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g",
+        "spark.sql.shuffle.partitions": os.environ.get("PARTITIONS", "8"), "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
