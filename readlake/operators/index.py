@@ -33,6 +33,7 @@ ARTICLE_BUCKET = BUCKETS
 # this one, which every query reads as well.
 WHOLE_BATCH = -1
 SPLIT_FROM = 100_000
+WHOLE_BATCH_FILES = 8
 
 
 def bucket_of(term: Column) -> Column:
@@ -155,7 +156,8 @@ def write_index(
     replace_batch = {"partitionOverwriteMode": "dynamic"}
     rows = postings(spread_rows(articles.select("id", *FIELDS), "id"))
     if articles.count() < split_from:
-        rows = rows.withColumn("term_bucket", F.lit(WHOLE_BATCH)).repartition("id")
+        rows = rows.withColumn("term_bucket", F.lit(WHOLE_BATCH))
+        rows = rows.repartition(min(partitions, WHOLE_BATCH_FILES), "id")
     else:
         rows = rows.repartition(partitions, "term_bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
     (
