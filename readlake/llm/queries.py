@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, simhash, tokens
+from . import decontaminate, langid, mixing, pii, quality, simhash, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,25 @@ ORACLES["op3_mixing"] = (
     mixing.SQL.format(documents="documents")
     + "SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixture"
 )
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, langid.fit(documents))
+
+
+@query
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op6_warc_index"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+firsts AS (SELECT payload, max(page_id) AS first FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload)
+SELECT page_id, payload_bytes, sha1(p.payload) AS payload_digest,
+  CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM payloads p LEFT JOIN firsts f ON p.payload = f.payload
+"""
