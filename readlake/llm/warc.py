@@ -21,7 +21,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 import pyarrow as pa
 import pyarrow.fs
@@ -55,7 +55,7 @@ def _new_file(uri: str):
     system, path = _location(uri)
     if isinstance(system, pyarrow.fs.LocalFileSystem):
         system.create_dir(os.path.dirname(path), recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         yield out
 
 
@@ -69,11 +69,14 @@ def gzip_member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
+
+
 def sort_key(url: Column) -> Column:
     """The URL with its host reversed, com,example,www)/path; `-` for a null URL. Signs that
     would break a line are percent-encoded."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
-    rest = F.regexp_extract(url, r"(?s)^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
+    host = F.lower(F.regexp_extract(url, rf"{_AUTHORITY}([^/?#:]*)", 1))
+    rest = F.regexp_extract(url, rf"(?s){_AUTHORITY}[^/?#:]*(.*)$", 1)
     turned = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
     key = F.when(F.length(host) > 0, turned).otherwise(url)
     for sign, code in ((" ", "%20"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
@@ -164,26 +167,23 @@ def write_archive(pages: DataFrame, root: str, min_shared: int = MIN_SHARED, fil
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, out, uri, at = 0, None, "", 0
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if out is None or at >= file_bytes:
-                    if out is not None:
-                        out.__exit__(None, None, None)
-                    uri, at = f"{root}/warc/{_attempt()}-{number:05d}.warc.gz", 0
-                    out = _new_file(uri)
-                    stream, number = out.__enter__(), number + 1
-                response = row["refers_to"] is None
-                member = gzip_member(
-                    record(row["page_id"], row["url"], row["payload"] or b"", row["size"], row["digest"], row["refers_to"], response)
-                )
-                stream.write(member)
-                rows.append((row["key"], row["page_id"], uri, at, len(member)))
-                at += len(member)
-            yield pa.RecordBatch.from_pylist([dict(zip(_RECORD.names, r)) for r in rows], schema=_RECORD)
-        if out is not None:
-            out.__exit__(None, None, None)
+        number, stream, uri, at = 0, None, "", 0
+        with ExitStack() as files:
+            for batch in batches:
+                rows = []
+                for row in batch.to_pylist():
+                    if stream is None or at >= file_bytes:
+                        files.close()
+                        uri, at = f"{root}/warc/{_attempt()}-{number:05d}.warc.gz", 0
+                        stream, number = files.enter_context(_new_file(uri)), number + 1
+                    response = row["refers_to"] is None
+                    fields = [row[c] for c in ("size", "digest", "refers_to")]
+                    data = record(row["page_id"], row["url"], row["payload"] or b"", *fields, response)
+                    member = gzip_member(data)
+                    stream.write(member)
+                    rows.append((row["key"], row["page_id"], uri, at, len(member)))
+                    at += len(member)
+                yield pa.RecordBatch.from_pylist([dict(zip(_RECORD.names, r)) for r in rows], schema=_RECORD)
 
     return materialize(ready.mapInArrow(write, "key string, page_id bigint, file string, offset bigint, length bigint"), "records")
 
@@ -250,7 +250,7 @@ class Index:
     def _open(self, part: int) -> None:
         if self.part != part:
             system, path = _location(self.parts[part][3])
-            with system.open_input_stream(path) as stream:
+            with system.open_input_stream(path, compression=None) as stream:
                 lines = stream.read().decode().split("\n")
             self.directory = [line.split("\t") for line in lines]
             self.firsts = [line[0] for line in self.directory]
