@@ -53,16 +53,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed number."""
-    source = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    """(doc_id, text_hash, fp): a hash of the text's bytes, and its fingerprint as a signed number."""
+    text = F.col(f"`{text_column}`")
+    source = documents.select(F.col(f"`{id_column}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = [fingerprint(text) for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+                columns = [part.column("doc_id"), part.column("text_hash"), pa.array(found, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp"])
 
-    return source.mapInArrow(hashed, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(hashed, f"doc_id {kind}, text_hash bigint, fp bigint")
 
 
 def _remainder(block: int) -> int:
@@ -176,6 +179,15 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return pairs.union(stars.select("a", F.col("fp").alias("b")).distinct())
 
 
+def _grouped(documents: DataFrame, id_column: str, text_column: str, threshold: int) -> DataFrame:
+    marked = materialize(fingerprints(documents, id_column, text_column), "fingerprints")
+    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    linked = components(links(classes.select("fp"), threshold)).withColumnRenamed("node", "fp")
+    named = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(names, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD
 ) -> DataFrame:
@@ -187,22 +199,20 @@ def near_duplicates(
     component's name, unless all its ids are null. Repeated rows come back as they are; other
     columns are not read.
     """
-    marked = materialize(fingerprints(documents, id_column, text_column), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    linked = components(links(classes.select("fp"), threshold))
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("component", "fp")
-    )
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = named.join(names, "root").select("fp", "component_id")
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of each group of near-duplicates stays, that with the smallest doc_id; of
-    several rows with that id, one. Groups whose ids are all null keep all their rows."""
-    found = near_duplicates(documents, threshold=threshold)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nameless = documents.where(F.col("doc_id").isNull())
-    kept = documents.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(nameless) if documents.schema["doc_id"].nullable else kept
+    return _grouped(documents, id_column, text_column, threshold).select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD
+) -> DataFrame:
+    """One row of each group of near-duplicates stays, with all its columns: that with the
+    smallest id (null last), of those the one whose text has the smallest hash."""
+    found = _grouped(documents, id_column, text_column, threshold)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("kept")
+    kept = found.groupBy("root").agg(first).select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_hash"))
+    name = "text_hash"
+    while name in documents.columns:
+        name += "_"
+    keyed = documents.withColumn(name, F.xxhash64(F.col(f"`{text_column}`")))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_hash"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_column, name]).drop(name)
