@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import text as t
+from .columns import fresh
 
 MIN_MATCH = 5
 COVERAGE = 0.8
@@ -195,13 +196,13 @@ def with_contamination(
         judged = documents.withColumn(name, judges[0](text))
     else:
         # One pass per block over the different texts; documents then look theirs up.
-        key = F.sha2(F.coalesce(text, F.lit("")), 256).alias(f"{name}_key")
-        texts = documents.select(key, text.alias("text")).dropDuplicates([f"{name}_key"])
-        texts = materialize(texts, "texts")
-        passes = [texts.select(f"{name}_key", judge(F.col("text")).alias("found")) for judge in judges]
+        (by,) = fresh(documents, "text_key")
+        key = F.sha2(F.coalesce(text, F.lit("")), 256)
+        texts = materialize(documents.select(key.alias(by), text.alias("text")).dropDuplicates([by]), "texts")
+        passes = [texts.select(by, judge(F.col("text")).alias("found")) for judge in judges]
         merged = (
             reduce(DataFrame.unionByName, passes)
-            .groupBy(f"{name}_key")
+            .groupBy(by)
             .agg(
                 F.struct(
                     F.flatten(F.collect_list("found.item_ids")).alias("item_ids"),
@@ -210,7 +211,7 @@ def with_contamination(
                 ).alias(name)
             )
         )
-        judged = documents.withColumn(f"{name}_key", key).join(merged, f"{name}_key").drop(f"{name}_key")
+        judged = documents.withColumn(by, key).join(merged, by).drop(by)
     return judged.withColumn(name, F.col(name).withField("item_ids", F.array_sort(F.col(name)["item_ids"])))
 
 
@@ -226,8 +227,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_column: str = "
 
 def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item; all their columns stay."""
-    name = "found"
-    while name in documents.columns or f"{name}_key" in documents.columns:
-        name += "_"
+    (name,) = fresh(documents, "found")
     judged = with_contamination(documents, benchmark, name, **options)
     return judged.where(F.size(F.col(name)["item_ids"]) == 0).drop(name)

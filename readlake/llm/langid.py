@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as t
+from .columns import fresh
 
 BUCKET_BITS = 16
 SIZES = (2, 3, 4)
@@ -259,7 +260,5 @@ def identify(
 
 def accepted(documents: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
     """The documents that are not rejected, with their columns as they are."""
-    name = "found"
-    while name in documents.columns:
-        name += "_"
+    (name,) = fresh(documents, "found")
     return with_language(documents, model, name, text_column).where(~F.col(name)["rejected"]).drop(name)

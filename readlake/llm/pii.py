@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import fresh
+
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "iban", "national_id", "short_card", "secret"]
 THRESHOLD = 0.5
@@ -207,9 +209,7 @@ def find_pii(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 def redact(documents: DataFrame, text_column: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; spans that overlap are
     replaced together, by the first one's kind. Texts without spans stay as they are."""
-    name = "spans"
-    while name in documents.columns:
-        name += "_"
+    (name,) = fresh(documents, "spans")
     text = F.col(f"`{text_column}`")
     ordered = F.array_sort(
         F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))

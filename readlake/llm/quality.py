@@ -42,6 +42,8 @@ def common_prefixes(hashes: np.ndarray, owner: np.ndarray, width: int = WINDOW)
     n = len(hashes)
     windows = t.window_hashes(hashes, width)
     starts = np.flatnonzero(owner[: len(windows)] == owner[width - 1 :])
+    if not len(starts):
+        return starts, np.zeros(0, np.int64)
     keys = t.mix(windows[starts] + owner[starts].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
