@@ -5,9 +5,7 @@ from .tags import clean_tags, split_tags
 from .text import (
     display_title,
     escape_html,
-    mark_br_paragraphs,
     paragraphs,
-    restore_br_paragraphs,
     saved_day,
     slugify,
     strip,
@@ -33,11 +31,9 @@ __all__ = [
     "is_blocked_ipv4",
     "iso_from_string",
     "iso_from_unix",
-    "mark_br_paragraphs",
     "normalize_url",
     "paragraphs",
     "raw_snapshot_url",
-    "restore_br_paragraphs",
     "saved_day",
     "slugify",
     "split_tags",

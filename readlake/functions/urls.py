@@ -38,7 +38,22 @@ BLOCKED_IPV4 = (
     ("203.0.113.0", "203.0.113.255"),
     ("224.0.0.0", "255.255.255.255"),
 )
-IPV4 = r"\A\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\z"
+_OCTET = "(?:0|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+IPV4 = rf"\A{_OCTET}(?:\.{_OCTET}){{3}}\z"
+
+# Of the IPv6 blocks for public hosts, those that are not public
+# (first address, last address); outside of them nothing is public.
+PUBLIC_IPV6 = ("2000::", "3fff:ffff:ffff:ffff:ffff:ffff:ffff:ffff")
+BLOCKED_IPV6 = (
+    ("2001::", "2001:1::"),
+    ("2001:1::3", "2001:2:ffff:ffff:ffff:ffff:ffff:ffff"),
+    ("2001:4::", "2001:4:111:ffff:ffff:ffff:ffff:ffff"),
+    ("2001:4:113::", "2001:1f:ffff:ffff:ffff:ffff:ffff:ffff"),
+    ("2001:40::", "2001:1ff:ffff:ffff:ffff:ffff:ffff:ffff"),
+    ("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff"),
+    ("2002::", "2002:ffff:ffff:ffff:ffff:ffff:ffff:ffff"),
+    ("3fff::", "3fff:fff:ffff:ffff:ffff:ffff:ffff:ffff"),
+)
 
 
 def _tidy(url: Column) -> Column:
@@ -144,13 +159,48 @@ def _ipv4_int(ip: str) -> int:
     return ((a * 256 + b) * 256 + c) * 256 + d
 
 
-def is_blocked_ipv4(ip: Column) -> Column:
-    """Private, loopback, link-local, reserved, multicast or unspecified."""
-    number = ipv4_number(ip)
+def is_blocked_ipv4(number: Column) -> Column:
+    """Private, loopback, link-local, reserved, multicast or unspecified; also what could not
+    be read as an address. ``number`` is a column of its own."""
     blocked = F.lit(False)
     for first, last in BLOCKED_IPV4:
         blocked = blocked | number.between(_ipv4_int(first), _ipv4_int(last))
-    return blocked
+    return F.coalesce(blocked, F.lit(True))
+
+
+def ipv6_digits(ip: Column) -> Column:
+    """All 32 hexadecimal digits of an IPv6 address; null if it is not readable."""
+    # A dotted end is two groups.
+    dotted = F.split(F.regexp_extract(ip, rf"[:]({_OCTET}(?:\.{_OCTET}){{3}})\z", 1), r"\.")
+    octet = [F.lpad(F.conv(F.get(dotted, i), 10, 16), 2, "0") for i in range(4)]
+    tail = F.concat(octet[0], octet[1], F.lit(":"), octet[2], octet[3])
+    plain = F.when(ip.contains("."), F.concat(F.regexp_extract(ip, r"\A(.*:)", 1), tail)).otherwise(ip)
+    halves = F.split(F.lower(plain), "::")
+
+    def groups(half: Column) -> Column:
+        return F.when(F.coalesce(half, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    head, end = groups(F.get(halves, 0)), groups(F.get(halves, 1))
+    missing = 8 - F.size(head) - F.size(end)
+    whole = F.when(
+        (F.size(halves) == 2) & (missing >= 1), F.concat(head, F.array_repeat(F.lit("0"), missing), end)
+    ).when((F.size(halves) == 1) & (missing == 0), head)
+    readable = F.forall(whole, lambda group: group.rlike(r"\A[0-9a-f]{1,4}\z"))
+    return F.when(readable, F.array_join(F.transform(whole, lambda group: F.lpad(group, 4, "0")), ""))
+
+
+def _ipv6_digits(ip: str) -> str:
+    head, _, end = ip.partition("::")
+    first, last = (half.split(":") if half else [] for half in (head, end))
+    return "".join(group.zfill(4) for group in [*first, *["0"] * (8 - len(first) - len(last)), *last])
+
+
+def is_blocked_ipv6(digits: Column) -> Column:
+    """The same for the digits of an IPv6 address, a column of its own."""
+    blocked = ~digits.between(*map(_ipv6_digits, PUBLIC_IPV6))
+    for first, last in BLOCKED_IPV6:
+        blocked = blocked | digits.between(_ipv6_digits(first), _ipv6_digits(last))
+    return F.coalesce(blocked, F.lit(True))
 
 
 def raw_snapshot_url(snapshot_url: Column, timestamp: Column) -> Column:

@@ -15,15 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import (
-    display_title,
-    has_br_paragraphs,
-    mark_br_paragraphs,
-    restore_br_paragraphs,
-    strip,
-)
+from ..functions.text import display_title, strip
 from ..functions.urls import url_host
-from ..session import materialize, spread_rows
+from ..session import materialize
+from .joins import spread_join
 
 # How elements are treated.
 BLOCK_TAGS = frozenset(
@@ -37,8 +32,8 @@ NOT_TEXT = ("h1", "byline", "time")
 BYLINE = re.compile(r"\b(?:byline|author)\b", re.IGNORECASE)
 BY = r"(?i)\Aby\s+"
 
-# Outside an article element a block counts when it is long and hardly links.
-MIN_BLOCK_CHARS = 40
+# Without an article element a block counts unless it is mostly links; how long it is does
+# not matter. What only decorates a site is told by its repeats, with the corpus at hand.
 MAX_LINK_SHARE = 0.3
 MIN_REPEATS = 3
 
@@ -173,12 +168,9 @@ PAGE_KEY = ("page_id", "url")
 
 
 def parse_pages(pages: DataFrame, keep: tuple[str, ...] = PAGE_KEY) -> DataFrame:
-    """The kept columns with (marked, page_title, og_title, meta_author, blocks)."""
-    return spread_rows(pages.select(*keep, "html"), keep[0]).select(
-        *keep,
-        F.coalesce(has_br_paragraphs(F.col("html")), F.lit(False)).alias("marked"),
-        parse_html(mark_br_paragraphs(F.col("html"))).alias("page"),
-    ).select(*keep, "marked", "page.*")
+    """The kept columns with (page_title, og_title, meta_author, blocks). A <br> ends a block, so
+    paragraphs written with it are blocks like others."""
+    return pages.select(*keep, parse_html("html").alias("page")).select(*keep, "page.*")
 
 
 def explode_blocks(parsed: DataFrame) -> DataFrame:
@@ -222,27 +214,22 @@ def _first_text(blocks: Column, tag: str) -> Column:
     return F.get(F.filter(blocks, lambda b: b["tag"] == tag), 0)["text"]
 
 
-def _dense(block: Column) -> Column:
-    return (F.length(block["text"]) >= MIN_BLOCK_CHARS) & (
-        block["link_chars"] <= F.length(block["text"]) * MAX_LINK_SHARE
-    )
+def _hardly_links(block: Column) -> Column:
+    return block["link_chars"] <= F.length(block["text"]) * MAX_LINK_SHARE
 
 
 def _select(parsed: DataFrame, keep: tuple[str, ...] = PAGE_KEY) -> DataFrame:
     """Title, author and text of each page from its blocks."""
     blocks = F.col("blocks")
     article = F.filter(blocks, lambda b: b["place"] == "article")
-    dense = F.filter(blocks, lambda b: _dense(b) | b["tag"].isin("h1", "byline"))
+    dense = F.filter(blocks, lambda b: _hardly_links(b) | b["tag"].isin("h1", "byline"))
     has_article = F.exists(
         "blocks", lambda b: (b["place"] == "article") & ~b["tag"].isin(*NOT_TEXT)
     )
     with_choice = parsed.withColumn("chosen", F.when(has_article, article).otherwise(dense))
-    with_text = with_choice.withColumn("raw_text", _texts(F.col("chosen")))
-    text = F.when(F.col("marked"), restore_br_paragraphs(F.col("raw_text"))).otherwise(
-        F.col("raw_text")
-    )
+    text = _texts(F.col("chosen"))
     author = F.coalesce("meta_author", _first_text(blocks, "byline"))
-    return with_text.select(
+    return with_choice.select(
         *keep,
         F.coalesce(_first_text(F.col("chosen"), "h1"), "og_title", "page_title").alias("title"),
         F.nullif(strip(F.regexp_replace(author, BY, "")), F.lit("")).alias("author"),
@@ -273,17 +260,16 @@ def extract_corpus(pages: DataFrame, min_pages: int = MIN_REPEATS) -> DataFrame:
     """
     parsed = materialize(parse_pages(pages), "parsed-pages")
     unmarked = parsed.where(~F.exists("blocks", lambda b: b["place"] == "article"))
-    keys = explode_blocks(unmarked).select(
+    # An author's name may stand on many pages.
+    content = explode_blocks(unmarked).where(~F.col("tag").isin(*NOT_TEXT))
+    keys = content.select(
         "page_id", "block_no", "host", F.xxhash64("text").alias("block_hash"), "text"
     )
     repeats = boilerplate_blocks(keys, min_pages).select("host", "block_hash")
     # Spread the blocks of a repeated text, which may come from very many pages.
-    salts = 16
-    salted = keys.drop("text").withColumn("salt", F.pmod("page_id", F.lit(salts)).cast("int"))
-    marked = salted.join(
-        repeats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-        ["host", "block_hash", "salt"],
-        "left_semi",
+    same = keys.drop("text").withColumn("key", F.struct("host", "block_hash"))
+    marked = spread_join(
+        same.drop("host", "block_hash"), repeats.select(F.struct("host", "block_hash").alias("key")), "key", "page_id", "inner"
     )
     dropped = marked.groupBy("page_id").agg(F.collect_list("block_no").alias("dropped"))
     selected = _select(

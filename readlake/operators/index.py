@@ -17,28 +17,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import spread_rows
+from .generations import Generations
 
 FIELDS = ("title", "author", "text")
 FIELD_SPAN = 1 << 29
-BUCKETS = 64
-# Terms are bucketed by their first letters, so a prefix of that length or
-# longer prunes partitions exactly as a whole term does.
+# Terms are bucketed by their first letter, and within it by their first two: a prefix of
+# two letters prunes partitions as a whole term does, one of one letter to a GROUP of them.
+GROUPS = 8
+GROUP = 8
+BUCKETS = GROUPS * GROUP
 BUCKET_PREFIX = 2
 # One row per article, in a bucket of its own, holds the article's length. The
 # empty text is never a token.
 ARTICLE_ROW = ""
 ARTICLE_BUCKET = BUCKETS
-# A batch of few articles is not worth a folder per bucket: its postings all lie in
-# this one, which every query reads as well.
-WHOLE_BATCH = -1
-SPLIT_FROM = 100_000
-WHOLE_BATCH_FILES = 8
+
+POSTINGS_SCHEMA = "term string, id bigint, dl int, at array<int>, term_bucket int"
+TOTALS_SCHEMA = "n_docs bigint, n_tokens bigint"
+FREQUENCIES_SCHEMA = "term string, df bigint, hits bigint"
+TABLES = ("postings", "totals", "frequencies")
+
+
+def _group_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, 1)), F.lit(GROUPS)).cast("int")
 
 
 def bucket_of(term: Column) -> Column:
-    hashed = F.pmod(F.xxhash64(F.substring(term, 1, BUCKET_PREFIX)), F.lit(BUCKETS)).cast("int")
-    return F.when(term == ARTICLE_ROW, F.lit(ARTICLE_BUCKET)).otherwise(hashed)
+    within = F.pmod(F.xxhash64(F.substring(term, 1, BUCKET_PREFIX)), F.lit(GROUP)).cast("int")
+    return F.when(term == ARTICLE_ROW, F.lit(ARTICLE_BUCKET)).otherwise(_group_of(term) * GROUP + within)
+
+
+def may_hold(word: str, prefix: bool) -> Column:
+    """Whether a bucket can have the word, or words that begin with it. Constant but for the
+    bucket, so the optimizer prunes partitions by it."""
+    if prefix and len(word) < BUCKET_PREFIX:
+        first = _group_of(F.lit(word)) * GROUP
+        return F.col("term_bucket").between(first, first + (GROUP - 1))
+    return F.col("term_bucket") == bucket_of(F.lit(word))
 
 
 def field_start(name: str) -> int:
@@ -95,31 +110,46 @@ def postings(articles: DataFrame) -> DataFrame:
 
 def totals(rows: DataFrame) -> DataFrame:
     """One row: how many articles and how many tokens."""
-    article_rows = rows.where(
-        F.col("term_bucket").isin(ARTICLE_BUCKET, WHOLE_BATCH) & (F.col("term") == ARTICLE_ROW)
-    )
+    article_rows = rows.where((F.col("term_bucket") == ARTICLE_BUCKET) & (F.col("term") == ARTICLE_ROW))
     return article_rows.agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("n_tokens"),
     )
 
 
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(term, df, hits): one posting is one article."""
+    terms = rows.where((F.col("term_bucket") != ARTICLE_BUCKET) & (F.col("term") != ARTICLE_ROW))
+    return terms.groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.size("at")).alias("hits")
+    )
+
+
 @dataclass(frozen=True)
 class Index:
-    """The postings and the totals of every indexed batch."""
+    """The postings, the totals and the frequencies of single terms of every indexed batch."""
 
     postings: DataFrame
     totals: DataFrame
+    frequencies: DataFrame
 
     @staticmethod
     def of(articles: DataFrame) -> "Index":
         """An index that is not written: for one-off questions."""
         rows = postings(articles)
-        return Index(rows, totals(rows))
+        return Index(rows, totals(rows), frequencies(rows))
 
     @staticmethod
     def read(spark: SparkSession, root: str) -> "Index":
-        return Index(spark.read.parquet(f"{root}/postings"), spark.read.parquet(f"{root}/totals"))
+        return Index.committed(Generations(spark, root))
+
+    @staticmethod
+    def committed(batches: Generations, folder: str = "") -> "Index":
+        return Index(
+            batches.read(f"{folder}postings", POSTINGS_SCHEMA),
+            batches.read(f"{folder}totals", TOTALS_SCHEMA),
+            batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA),
+        )
 
     def terms(self) -> DataFrame:
         """The postings without the rows that describe articles."""
@@ -128,10 +158,8 @@ class Index:
         )
 
     def document_frequencies(self) -> DataFrame:
-        """(term, df, hits): one posting is one article."""
-        return self.terms().groupBy("term").agg(
-            F.count(F.lit(1)).alias("df"), F.sum(F.size("at")).alias("hits")
-        )
+        """(term, df, hits) over all batches, from what each has counted."""
+        return self.frequencies.groupBy("term").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
 
     def corpus(self) -> DataFrame:
         """One row summed over the batches: n_docs, n_tokens, avgdl."""
@@ -140,40 +168,28 @@ class Index:
         ).withColumn("avgdl", F.col("n_tokens").cast("double") / F.col("n_docs"))
 
 
-def write_index(
-    articles: DataFrame, root: str, batch_id: int = 0, split_from: int = SPLIT_FROM
+def write_index(articles: DataFrame, root: str, batch_id: int = 0) -> None:
+    """Index one batch of articles below a folder of its own; writing the batch again, also
+    with other articles or none, replaces it."""
+    batches = Generations(articles.sparkSession, root)
+    generation = batches.new(batch_id)
+    write_postings(postings(articles.select("id", *FIELDS)), batches, batch_id, generation)
+    batches.commit(generation, [batch_id], list(TABLES))
+
+
+def write_postings(
+    rows: DataFrame, batches: Generations, batch_id: int, generation: str, folder: str = ""
 ) -> None:
-    """Index one batch of articles; writing the same batch again replaces it.
+    """Write a batch's postings by bucket, and their counts.
 
-    A bucket's postings are spread over several tasks by article, so a stop word
-    that is in every article is never one task's work. Sorted by term, the files
-    let Parquet skip row groups. Hashing needs no sampling pass, which would
-    tokenize everything twice.
+    Spark deals them out by bucket and by size: a bucket with a stop word that every
+    article has is split over tasks, small ones share a task, and the number of files
+    follows the data. Sorted by term, the files let Parquet skip row groups.
     """
-    spark = articles.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = max(1, partitions // 8)
-    replace_batch = {"partitionOverwriteMode": "dynamic"}
-    rows = postings(spread_rows(articles.select("id", *FIELDS), "id"))
-    if articles.count() < split_from:
-        rows = rows.withColumn("term_bucket", F.lit(WHOLE_BATCH))
-        rows = rows.repartition(min(partitions, WHOLE_BATCH_FILES), "id")
-    else:
-        rows = rows.repartition(partitions, "term_bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
-    (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .sortWithinPartitions("term_bucket", "term", "id")
-        .write.mode("overwrite")
-        .options(**replace_batch)
-        .partitionBy("batch_id", "term_bucket")
-        .parquet(f"{root}/postings")
-    )
-    written = spark.read.parquet(f"{root}/postings").where(F.col("batch_id") == batch_id)
-    (
-        totals(written)
-        .withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .options(**replace_batch)
-        .partitionBy("batch_id")
-        .parquet(f"{root}/totals")
-    )
+    dealt = rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "id")
+    batches.write(dealt, f"{folder}postings", batch_id, generation, ("term_bucket",))
+    path = f"{batches.root}/{folder}postings/batch_id={batch_id}/generation={generation}"
+    written = rows.sparkSession.read.schema(POSTINGS_SCHEMA).parquet(path)
+    batches.write(totals(written).coalesce(1), f"{folder}totals", batch_id, generation)
+    counted = frequencies(written).hint("rebalance").sortWithinPartitions("term")
+    batches.write(counted, f"{folder}frequencies", batch_id, generation)

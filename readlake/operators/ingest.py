@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import clean_tags
 from ..functions.urls import has_import_scheme, normalize_url
-from ..session import materialize, spread_rows
+from ..session import materialize
 from .numbering import number_rows
 from .store import Store, known_urls
 
@@ -27,35 +27,68 @@ NO_TEXT = "no article text"
 NOT_FETCHED = "no response"
 
 _ORDER = ["source_file", "line_no"]
+PAGE_FIELDS = ("title", "author", "text", "source", "reason")
 
 
 def _order() -> Column:
     return F.struct(*_ORDER)
 
 
+def one_per_url(pages: DataFrame, fields: tuple[str, ...], name: str, rank: tuple[Column, ...] = ()) -> DataFrame:
+    """(url, name): one row per url, the fields as a struct. Crawls bring a page more than once;
+    the smallest by ``rank`` stays, then one with a text, then the smallest by the fields."""
+    empty = F.coalesce(F.col("text") == "", F.lit(True))
+    ranked = F.struct(*(r.alias(f"_{k}") for k, r in enumerate((*rank, empty))), *fields)
+    return pages.groupBy("url").agg(F.min(ranked).alias("one")).select(
+        "url", F.struct(*(F.col(f"one.{c}").alias(c) for c in fields)).alias(name)
+    )
+
+
 def rejected(items: DataFrame) -> DataFrame:
     """Items whose url is not a web address."""
     return items.where(~F.coalesce(has_import_scheme(F.col("url")), F.lit(False)))
 
 
+def _placed(items: DataFrame) -> DataFrame:
+    """Items with a place that can be compared."""
+    return items.withColumns(
+        {"source_file": F.coalesce("source_file", F.lit("")), "line_no": F.coalesce("line_no", F.lit(0))}
+    )
+
+
 def _addressed(items: DataFrame) -> DataFrame:
     """Items with a web address, by their normalized url."""
-    web = spread_rows(items, "line_no").where(has_import_scheme(F.col("url")))
+    web = _placed(items).where(has_import_scheme(F.col("url")))
     return web.withColumn("url", normalize_url(F.col("url")))
 
 
-def deduplicate(items: DataFrame) -> DataFrame:
-    """The first item of each normalized url, and how often the url occurs.
+def first_keys(items: DataFrame) -> DataFrame:
+    """(url, source_file, line_no, n_items): where each normalized url comes first, and how often.
 
-    A url may make up a large part of the list: the aggregate combines before the
-    shuffle, and tags, of which a url can have many, are not part of it.
+    Only keys are moved; they are combined before the shuffle, so a url that makes up a
+    large part of the list costs one row per task.
     """
-    first = F.struct("title", "author", "added_at", "text", *_ORDER)
-    return (
-        _addressed(items)
-        .groupBy("url")
-        .agg(F.min_by(first, _order()).alias("first"), F.count(F.lit(1)).alias("n_items"))
-        .select("url", "first.*", "n_items")
+    per_file = _addressed(items).groupBy("url", "source_file").agg(
+        F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")
+    )
+    # A few rows per url are left, one per file.
+    return per_file.groupBy("url").agg(
+        F.min(_order()).alias("first"), F.sum("n").alias("n_items")
+    ).select("url", "first.*", "n_items")
+
+
+def _with_content(keys: DataFrame, items: DataFrame) -> DataFrame:
+    """The keys with what the items at their places say: one row per key. Texts are moved
+    once, and repeats of a url do not meet."""
+    place = ["url", *_ORDER]
+    content = _addressed(items).select(*place, "title", "author", "added_at", "text")
+    return keys.join(content, place).dropDuplicates(place)
+
+
+def deduplicate(items: DataFrame) -> DataFrame:
+    """The first item of each normalized url, and how often the url occurs."""
+    return _with_content(first_keys(items), items).select(
+        "url", "title", "author", "added_at", "text", *_ORDER, "n_items"
     )
 
 
@@ -70,40 +103,42 @@ def url_tags(items: DataFrame) -> DataFrame:
 
 def already_saved(items: DataFrame, saved: DataFrame) -> DataFrame:
     """The distinct urls of a list that the archive has, with their occurrences."""
-    distinct = deduplicate(items).select("url", "n_items")
-    return distinct.join(known_urls(saved, distinct), "url", "left_semi")
+    keys = first_keys(items).select("url", "n_items")
+    return keys.join(known_urls(saved, keys), "url", "left_semi")
 
 
 def links_to_fetch(items: DataFrame, saved: DataFrame) -> DataFrame:
     """The urls whose content is needed: not saved yet, and listed without their text."""
-    links = deduplicate(items).where(F.coalesce(F.col("text"), F.lit("")) == "").select("url")
-    links = materialize(links, "links")
-    return links.join(known_urls(saved, links), "url", "left_anti")
+    keys = materialize(first_keys(items), "keys")
+    fresh = keys.join(known_urls(saved, keys), "url", "left_anti")
+    bare = _addressed(items).where(F.coalesce(F.col("text"), F.lit("")) == "")
+    return fresh.join(bare.select("url", *_ORDER), ["url", *_ORDER], "left_semi").select("url")
 
 
 def outcomes(items: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFrame:
     """What becomes of every url: one row per distinct url and per rejected item.
 
     ``fetched`` is (url, title, author, text, source, reason) for the links that
-    brought no text, with a null text where nothing could be had. status is saved,
-    skipped or failed; source is export, live or wayback.
+    brought no text, with a null text where nothing could be had; of several rows for
+    one url, the smallest. status is saved, skipped or failed; source is export, live or
+    wayback. Whatever the archive has needs no content: only keys of it are read.
     """
-    # Needed twice, and a repeated url makes it costly: written once.
-    listed = materialize(deduplicate(items), "listed")
-    known = known_urls(saved, listed).withColumn("known", F.lit(True))
-    # What was known or came with its text needs no content: look up only the rest.
-    checked = listed.join(known, "url", "left").withColumn(
-        "inline", F.coalesce(F.col("text") != "", F.lit(False))
-    )
-    pages = fetched.select(
+    keys = materialize(first_keys(items), "keys")
+    known = known_urls(saved, keys)
+    old = keys.join(known, "url", "left_semi").select(
         "url",
-        F.struct("title", "author", "text", "source", "reason").alias("page"),
+        F.lit("skipped").alias("status"),
+        *[F.lit(None).cast("string").alias(c) for c in ("source", "reason")],
+        "n_items",
+        *[F.lit(None).cast("string").alias(c) for c in ("title", "author", "text", "added_at")],
+        *_ORDER,
     )
-    joined = checked.join(pages, "url", "left")
-    found = F.coalesce(F.col("page.text") != "", F.lit(False))
-    status = (
-        F.when(F.col("known"), "skipped").when(F.col("inline") | found, "saved").otherwise("failed")
+    fresh = _with_content(keys.join(known, "url", "left_anti"), items).withColumn(
+        "inline", F.coalesce(F.col("text") != "", F.lit(False))
     )
+    joined = fresh.join(one_per_url(fetched, PAGE_FIELDS, "page"), "url", "left")
+    found = F.coalesce(F.col("page.text") != "", F.lit(False))
+    status = F.when(F.col("inline") | found, "saved").otherwise("failed")
     title = F.when(F.col("inline"), F.col("title")).otherwise(
         F.coalesce(F.nullif(F.col("page.title"), F.lit("")), F.col("title"))
     )
@@ -125,7 +160,7 @@ def outcomes(items: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFram
         "added_at",
         *_ORDER,
     )
-    bad = rejected(items).select(
+    bad = rejected(_placed(items)).select(
         "url",
         F.lit("failed").alias("status"),
         F.lit(None).cast("string").alias("source"),
@@ -137,7 +172,7 @@ def outcomes(items: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFram
         "added_at",
         *_ORDER,
     )
-    return done.unionByName(bad)
+    return done.unionByName(old).unionByName(bad)
 
 
 def summary(done: DataFrame) -> DataFrame:
@@ -164,14 +199,11 @@ def write_failures(done: DataFrame, path: str) -> None:
     failures(done).write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
 
 
-def new_articles(done: DataFrame, saved: DataFrame, now: Column | None = None) -> DataFrame:
-    """The rows to append, numbered in list order after the ids in use."""
+def _stamped(numbered: DataFrame, now: Column | None) -> DataFrame:
+    """Article rows; without a date of their own they get the time of the import."""
     now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
                         "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
-    fresh = done.where(F.col("status") == "saved")
-    last = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
-    ids = number_rows(fresh.select("url", *_ORDER), [*_ORDER, "url"], last + 1).select("url", "id")
-    return fresh.join(ids, "url").select(
+    return numbered.select(
         "id", "url", "title", "author", "text", F.coalesce("added_at", now).alias("added_at")
     )
 
@@ -206,9 +238,14 @@ def run_import(
     saves nothing.
     """
     saved = store.articles(before=batch_id)
+    last = store.last_id(before=batch_id)
     done = materialize(outcomes(items, saved, fetched), "outcomes")
-    articles = materialize(new_articles(done, saved, now), "articles")
-    addressed = saved.select("url", "id").unionByName(articles.select("url", "id"))
-    tags = new_tags(url_tags(items), addressed, store.tags(before=batch_id))
+    # Ids alone are written once more; the texts go from the outcomes to the archive.
+    fresh = done.where(F.col("status") == "saved")
+    ids = materialize(
+        number_rows(fresh.select("url", *_ORDER), [*_ORDER, "url"], F.lit(last + 1)).select("url", "id"), "ids"
+    )
+    articles = _stamped(fresh.join(ids, "url"), now)
+    tags = new_tags(url_tags(items), saved.select("url", "id").unionByName(ids), store.tags(before=batch_id))
     store.append(articles, tags, batch_id)
     return ImportResult(done)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,18 @@ _ROW_BITS = (1 << 33) - 1
 
 
 def number_rows(
-    df: DataFrame, order_by: list[str | Column], start: Column, name: str = "id"
+    df: DataFrame,
+    order_by: list[str | Column],
+    start: Column,
+    name: str = "id",
+    write: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> DataFrame:
     """Number the rows start, start + 1, ... in the given order.
 
-    The rows are range-partitioned, sorted and written with their place in their
-    partition; afterwards only one count per partition has to be summed up.
+    The rows are range-partitioned, sorted and written (by ``write``) with their place in
+    their partition; afterwards only one count per partition has to be summed up.
     """
-    placed = materialize(
+    placed = write(
         df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_part", F.spark_partition_id())

@@ -3,16 +3,15 @@ which addresses a capture may reach."""
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.urls import (
     WEB_SCHEMES,
     is_blocked_ipv4,
+    is_blocked_ipv6,
+    ipv4_number,
+    ipv6_digits,
     normalize_url,
     raw_snapshot_url,
     url_host,
@@ -20,7 +19,7 @@ from ..functions.urls import (
 )
 from ..session import materialize
 from .extract import extract_all
-from .ingest import NO_TEXT, NOT_FETCHED
+from .ingest import NO_TEXT, NOT_FETCHED, one_per_url
 from .joins import spread_join
 
 # The answers after which an archived copy may stand in.
@@ -65,11 +64,12 @@ def _error_text(live: str) -> Column:
 
 
 def _with_sources(urls: DataFrame, live: DataFrame, archived: DataFrame) -> DataFrame:
-    one_live = live.select(
-        "url", F.struct("status", "error", "title", "author", "text").alias("live")
-    )
-    one_copy = archived.select("url", F.struct("title", "author", "text").alias("copy"))
-    return urls.join(one_live, "url", "left").join(one_copy, "url", "left")
+    """One row per url, also where a crawl has several responses for it: of those, one that
+    answered, if possible with a text, else the smallest."""
+    unanswered = ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    one_live = one_per_url(live, ("status", "error", "title", "author", "text"), "live", (unanswered,))
+    one_copy = one_per_url(archived, ("title", "author", "text"), "copy")
+    return urls.select("url").distinct().join(one_live, "url", "left").join(one_copy, "url", "left")
 
 
 def _has_text(page: str) -> Column:
@@ -92,8 +92,8 @@ def resolve_import(
     """The import rule: any failure, even a page without article text, may fall back.
 
     ``live`` is (url, status, error, title, author, text) and ``archived`` (url,
-    title, author, text), both after extraction and one row per url. The result is
-    (url, title, author, text, source, reason).
+    title, author, text), both after extraction. The result is (url, title, author, text,
+    source, reason), one row per url.
     """
     answered = F.coalesce(F.col("live.status").between(200, 299), F.lit(False))
     source = F.when(answered & _has_text("live"), F.lit("live"))
@@ -141,13 +141,21 @@ def fetch_for_import(
 # -- redirects -----------------------------------------------------------------
 
 
+def _by_page(hops: DataFrame) -> DataFrame:
+    """Hops by the normalized url they begin at: whatever any spelling of it is known to
+    lead to counts for all spellings."""
+    return hops.select(normalize_url(F.col("url")).alias("given_url"), "hop", "target").distinct()
+
+
 def resolve_redirects(urls: DataFrame, hops: DataFrame) -> DataFrame:
-    """(url, final_url): both normalized; the last hop of a url is where it ends."""
-    last = hops.groupBy("url").agg(F.max_by("target", "hop").alias("target"))
-    return urls.join(last, "url", "left").select(
-        "url",
-        normalize_url(F.col("url")).alias("given_url"),
-        normalize_url(F.coalesce("target", "url")).alias("final_url"),
+    """(url, given_url, final_url): the latter two normalized; a page's last hop is where it
+    ends."""
+    last = _by_page(hops).groupBy("given_url").agg(
+        F.max_by("target", F.struct("hop", "target")).alias("target")
+    )
+    named = urls.select("url", normalize_url(F.col("url")).alias("given_url"))
+    return spread_join(named, last, "given_url", "url").select(
+        "url", "given_url", normalize_url(F.coalesce("target", "url")).alias("final_url")
     )
 
 
@@ -165,51 +173,42 @@ def same_final_page(resolved: DataFrame) -> DataFrame:
 # -- addresses a capture must not reach ------------------------------------------
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_blocked_address(ips: pd.Series) -> pd.Series:
-    def blocked(text: str) -> bool:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return True
-        return (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
-                or ip.is_multicast or ip.is_unspecified)
+def host_addresses(resolutions: DataFrame) -> DataFrame:
+    """(host, blocked): whether any address of a host is not public, or cannot be read."""
+    distinct = resolutions.select(F.lower("host").alias("host"), F.trim("ip").alias("ip")).distinct()
+    read = distinct.select("host", "ip", ipv4_number(F.col("ip")).alias("number"), ipv6_digits(F.col("ip")).alias("digits"))
+    v6 = F.coalesce(F.col("ip").contains(":"), F.lit(False))
+    blocked = F.when(v6, is_blocked_ipv6(F.col("digits"))).otherwise(is_blocked_ipv4(F.col("number")))
+    return read.groupBy("host").agg(F.bool_or(blocked).alias("blocked"))
 
-    return ips.map(blocked)
 
-
-def host_addresses(resolutions: DataFrame) -> DataFrame:
-    """(host, blocked): whether any address of a host is not public."""
-    distinct = resolutions.select(F.lower("host").alias("host"), "ip").distinct()
-    v6 = F.col("ip").contains(":")
-    checked = (
-        distinct.where(~v6)
-        .withColumn("blocked", is_blocked_ipv4(F.col("ip")))
-        .unionByName(distinct.where(v6).withColumn("blocked", _is_blocked_address("ip")))
-    )
-    return checked.groupBy("host").agg(F.bool_or("blocked").alias("blocked"))
+# Why a target is refused; with a host where there is one.
+NOT_WEB, HOSTLESS, UNKNOWN_HOST, INTERNAL = "not-web", "hostless", "unknown-host", "internal-host"
 
 
 def check_addresses(urls: DataFrame, hops: DataFrame, resolutions: DataFrame) -> DataFrame:
     """(url, safe, reason): the url and every redirect target must be public.
 
-    The reason is that of the first target that is refused. Many urls share a
+    Redirects are looked up by the normalized url, so another spelling does not get around
+    one. The reason is that of the first target that is refused. Many urls share a
     host, so the verdicts per host are joined spread over several tasks.
     """
-    targets = urls.select("url", F.lit(0).alias("hop"), F.col("url").alias("target")).unionByName(
-        hops.join(urls.select("url"), "url", "left_semi").select("url", "hop", "target")
-    )
-    named = targets.withColumn("host", url_host(F.col("target")))
-    verdicts = spread_join(named, host_addresses(resolutions), "host", "target")
+    named = urls.select("url", normalize_url(F.col("url")).alias("given_url")).distinct()
+    steps = _by_page(hops).groupBy("given_url").agg(F.collect_set(F.struct("hop", "target")).alias("steps"))
+    onward = spread_join(named, steps, "given_url", "url", "inner").select("url", F.inline("steps"))
+    targets = urls.select("url", F.lit(0).alias("hop"), F.col("url").alias("target")).distinct()
+    hosted = targets.unionByName(onward).withColumn("host", url_host(F.col("target")))
+    verdicts = spread_join(hosted, host_addresses(resolutions), "host", "target")
     reason = (
-        F.when(~url_scheme(F.col("target")).isin(*WEB_SCHEMES), F.lit("unsupported URL scheme"))
-        .when(F.col("host").isNull(), F.lit("URL has no host"))
-        .when(F.col("blocked").isNull(), F.concat(F.lit("could not resolve "), "host"))
-        .when(F.col("blocked"), F.concat("host", F.lit(" resolves to a non-public address")))
+        F.when(~url_scheme(F.col("target")).isin(*WEB_SCHEMES), F.lit(NOT_WEB))
+        .when(F.col("host").isNull(), F.lit(HOSTLESS))
+        .when(F.col("blocked").isNull(), F.concat(F.lit(f"{UNKNOWN_HOST} "), "host"))
+        .when(F.col("blocked"), F.concat(F.lit(f"{INTERNAL} "), "host"))
     )
+    refused = F.when(F.col("reason").isNotNull(), F.struct("hop", "target"))
     return (
         verdicts.withColumn("reason", reason)
         .groupBy("url")
-        .agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("hop"))).alias("reason"))
+        .agg(F.min_by("reason", refused).alias("reason"))
         .select("url", F.col("reason").isNull().alias("safe"), "reason")
     )

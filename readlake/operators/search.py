@@ -19,16 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_words, tokens
-from .index import (
-    ARTICLE_BUCKET,
-    BUCKET_PREFIX,
-    FIELDS,
-    WHOLE_BATCH,
-    Index,
-    bucket_of,
-    field_start,
-    positions_in,
-)
+from ..session import materialize
+from .index import FIELDS, Index, bucket_of, field_start, may_hold, positions_in
 
 # BM25 and NEAR as full-text indexes commonly define them.
 K1 = 1.2
@@ -199,35 +191,45 @@ def postings_of(index: Index, slots: Iterable[tuple[str, bool]]) -> DataFrame:
     """The postings of some words: partitions pruned by bucket, row groups by term."""
     slots = [_Slot(*slot) for slot in slots]
     rows = index.postings.where(_any(slot.matches() for slot in slots))
-    if all(not s.prefix or len(s.word) >= BUCKET_PREFIX for s in slots):
-        heads = sorted({s.word[:BUCKET_PREFIX] for s in slots})
-        # Constant expressions, so the optimizer folds them and prunes partitions.
-        buckets = [F.col("term_bucket") == bucket_of(F.lit(head)) for head in heads]
-        return rows.where(_any([F.col("term_bucket") == WHOLE_BATCH, *buckets]))
-    return rows.where(F.col("term_bucket") != ARTICLE_BUCKET)
+    return rows.where(_any(may_hold(s.word, s.prefix) for s in slots))
 
 
 # -- hits of a phrase in one article -------------------------------------------
 
 
+# Up to this window it is cheaper to list what positions cover than to compare them.
+LISTED_WINDOW = 64
+
+
 def _covered(positions: Column, before: int, after: int) -> Column:
     return F.flatten(F.transform(positions, lambda p: F.sequence(p - before, p + after)))
 
 
+def _follows_any(starts: Column, ends: Column, window: int) -> Column:
+    """The ends that have a start at most ``window`` before them."""
+    if window <= LISTED_WINDOW:
+        return F.array_intersect(ends, _covered(starts, 0, window))
+    return F.filter(ends, lambda e: F.exists(starts, lambda p: (p <= e) & (p >= e - window)))
+
+
+def _precedes_any(starts: Column, ends: Column, window: int) -> Column:
+    """The starts that have an end at most ``window`` after them."""
+    if window <= LISTED_WINDOW:
+        return F.array_intersect(starts, _covered(ends, window, 0))
+    return F.filter(starts, lambda p: F.exists(ends, lambda e: (p <= e) & (p >= e - window)))
+
+
 def _near_hits(members: list[Column], lengths: list[int], distance: int) -> list[Column]:
     """Of each member's positions, those that lie in a group within the distance.
 
-    A group ends at some position e; every member must start in [e - length -
-    distance, e]. Ends are found by intersecting what each member covers, which
-    is linear in the number of positions.
+    A group ends at some member's start e; every member must then start in
+    [e - length - distance, e]. What is compared does not grow with the distance.
     """
+    windows = [length + distance for length in lengths]
     ends = F.array_distinct(F.flatten(F.array(*members)))
-    for positions, length in zip(members, lengths, strict=True):
-        ends = F.array_intersect(ends, _covered(positions, 0, length + distance))
-    return [
-        F.array_intersect(positions, _covered(ends, length + distance, 0))
-        for positions, length in zip(members, lengths, strict=True)
-    ]
+    for starts, window in zip(members, windows, strict=True):
+        ends = _follows_any(starts, ends, window)
+    return [_precedes_any(starts, ends, window) for starts, window in zip(members, windows, strict=True)]
 
 
 def _phrase_positions(p: Phrase, at: dict[_Slot, Column]) -> Column:
@@ -336,6 +338,11 @@ def _evaluate(query: Query, first: int, weights: list[Column]) -> tuple[Column,
     return matched, F.when(matched, score).otherwise(0.0)
 
 
+def _is_counted(p: Phrase) -> bool:
+    """A whole word anywhere: the index keeps its number of articles."""
+    return len(p.words) == 1 and not p.prefix and not p.first and set(p.fields) == set(FIELDS)
+
+
 def matches(index: Index, query: Query) -> DataFrame:
     """(id, score) of the articles that match; the best score is the smallest."""
     if not isinstance(query, Query):
@@ -346,9 +353,22 @@ def matches(index: Index, query: Query) -> DataFrame:
     numbers = range(len(phrases))
     # One row of statistics each, read as scalar subqueries; every further column is
     # a step of its own, so that a subquery is not repeated for each use.
-    frequencies = hits.agg(
-        F.struct(*[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in numbers])
-    )
+    if all(_is_counted(p) for p in phrases):
+        known = index.frequencies.where(F.col("term").isin(*{p.words[0] for p in phrases}))
+        frequencies = known.agg(
+            F.struct(
+                *[
+                    F.coalesce(F.sum(F.when(F.col("term") == p.words[0], F.col("df"))), F.lit(0)).alias(f"n{i}")
+                    for i, p in enumerate(phrases)
+                ]
+            )
+        )
+    else:
+        # Hits are needed twice, to count and to rank, but the postings are read once.
+        hits = materialize(hits, "hits")
+        frequencies = hits.agg(
+            F.struct(*[F.count_if(F.col(f"h{i}") > 0).alias(f"n{i}") for i in numbers])
+        )
     with_statistics = hits.withColumns(
         {
             "_frequency": frequencies.scalar(),
@@ -390,65 +410,80 @@ def search(
 # -- many queries at once ------------------------------------------------------
 
 
-def match_batch(index: Index, queries: DataFrame, salts: int = 16) -> DataFrame:
+def match_batch(index: Index, queries: DataFrame, salts: int | None = None) -> DataFrame:
     """The articles that hold all words of each query: (query_id, id, score).
 
-    ``queries`` is (query_id, text). Candidates come from each query's rarest word
-    only; its other words are then looked up by (word, article), a key no single
-    value of which is frequent. Should the rarest word itself be common, its
-    postings are spread by article over ``salts`` keys.
+    ``queries`` is (query_id, text). Queries with the same words are answered once.
+    Candidates come from the rarest word only, by the counts that the index keeps; the
+    others are then looked up by (word, article), a key no value of which is frequent,
+    in the order of their rarity, so that each lookup leaves fewer candidates. Should the
+    rarest word itself be common, its postings are spread over ``salts`` keys, by default
+    as many as there are shuffle partitions.
     """
-    words = queries.select(
-        "query_id", F.array_distinct(tokens(F.col("text"))).alias("words")
-    ).select("query_id", F.size("words").alias("n_words"), F.explode("words").alias("term"))
+    spark = queries.sparkSession
+    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    worded = queries.select(
+        "query_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")
+    ).where(F.size("words") > 0)
+    worded = materialize(worded, "queries")
+    distinct = worded.select("words").distinct()
+    words = distinct.select(F.explode("words").alias("term"), "words")
+    asked = words.select("term").distinct()
+    counts = index.frequencies.join(asked, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("n_hits"))
+    # One row per set of words that all occur somewhere, with the words by rarity.
+    plans = materialize(
+        words.join(counts, "term")
+        .groupBy("words")
+        .agg(F.array_sort(F.collect_list(F.struct("n_hits", "term"))).alias("by_rarity"))
+        .where(F.size("words") == F.size("by_rarity")),
+        "plans",
+    )
+    wanted = plans.select(F.explode("by_rarity.term").alias("term")).distinct()
     # The bucket is a partition column: joined on it, other buckets are not read.
-    lies_in = F.explode(F.array(bucket_of(F.col("term")), F.lit(WHOLE_BATCH)))
-    wanted = words.select("term").distinct().select("term", lies_in.alias("term_bucket"))
-    terms = index.terms().join(wanted, ["term_bucket", "term"], "left_semi")
-    frequencies = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"))
+    located = wanted.withColumn("term_bucket", bucket_of(F.col("term")))
+    held = index.terms().join(located, ["term_bucket", "term"], "left_semi").select(
+        "term", "id", "dl", F.size("at").alias("hits")
+    )
+    held = materialize(held, "held")  # looked at three times; without positions
+    rarest = plans.select(F.col("by_rarity")[0]["term"].alias("term"), "words", "by_rarity")
+    salted = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    candidates = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(
+        salted, ["term", "salt"]
+    )
     corpus = index.corpus().select(F.struct("n_docs", "avgdl")).scalar()
-    # One row per query whose words all occur somewhere, with its rarest word.
-    plans = (
-        words.join(frequencies, "term")
-        .groupBy("query_id")
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.min_by("term", F.struct("n_hits", "term")).alias("rarest"),
-            F.collect_list(F.struct("term", "n_hits")).alias("words"),
-        )
-        .where(F.size("words") == F.col("n_words"))
+
+    def weight(n_hits: Column) -> Column:
+        return bm25(inverse_frequency(corpus["n_docs"], n_hits), F.col("hits"), F.col("dl"), corpus["avgdl"])
+
+    begun = candidates.select("words", "id", "by_rarity", weight(F.col("by_rarity")[0]["n_hits"]).alias("score"))
+    # A candidate's other words, one row each; those whose article lacks the second rarest
+    # word go before the rest is looked up.
+    several = begun.where(F.size("by_rarity") > 1)
+    second = several.withColumn("term", F.col("by_rarity")[1]["term"])
+    pair = held.select("term", "id", "dl", "hits")
+    narrowed = second.join(pair, ["term", "id"]).select(
+        "words", "id", "by_rarity", (F.col("score") + weight(F.col("by_rarity")[1]["n_hits"])).alias("score")
     )
-    salted = plans.select(
-        "query_id",
-        "n_words",
-        "words",
-        F.col("rarest").alias("term"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+    rest = narrowed.where(F.size("by_rarity") > 2).select(
+        "words", "id", "score", F.inline(F.slice("by_rarity", 3, F.size("by_rarity")))
     )
-    candidates = terms.select(
-        "term", "id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
-    ).join(salted, ["term", "salt"])
-    needed = candidates.select("query_id", "id", "n_words", F.inline("words"))
-    found = terms.select("term", "id", "dl", F.size("at").alias("hits")).join(needed, ["term", "id"])
-    weight = bm25(
-        inverse_frequency(corpus["n_docs"], F.col("n_hits")),
-        F.col("hits"),
-        F.col("dl"),
-        corpus["avgdl"],
+    found = (
+        rest.join(pair, ["term", "id"])
+        .groupBy("words", "id")
+        .agg(F.count(F.lit(1)).alias("n_found"), F.max("score").alias("score"), F.sum(weight(F.col("n_hits"))).alias("more"))
+        .where(F.col("n_found") == F.size("words") - 2)
+        .select("words", "id", (F.col("score") + F.col("more")).alias("score"))
     )
-    return (
-        found.groupBy("query_id", "id")
-        .agg(
-            F.count(F.lit(1)).alias("n_found"),
-            F.max("n_words").alias("n_words"),
-            F.sum(weight).alias("score"),
-        )
-        .where(F.col("n_found") == F.col("n_words"))
-        .select("query_id", "id", "score")
+    answered = (
+        begun.where(F.size("by_rarity") == 1)
+        .select("words", "id", "score")
+        .union(narrowed.where(F.size("by_rarity") == 2).select("words", "id", "score"))
+        .union(found)
     )
+    return worded.join(answered, "words").select("query_id", "id", "score")
 
 
-def search_batch(index: Index, queries: DataFrame, k: int = 10, salts: int = 16) -> DataFrame:
+def search_batch(index: Index, queries: DataFrame, k: int = 10, salts: int | None = None) -> DataFrame:
     """The best ``k`` articles of each query: (query_id, id, score, rank).
 
     The limit is applied before the rows of a query meet, so a query that matches a

@@ -1,26 +1,26 @@
-"""The archive: append-only Parquet tables, one partition per batch.
+"""The archive: Parquet tables of committed batches, with their index.
 
-A batch that is written again replaces its own partition, so a job that is
-retried leaves the same archive. There is one writer.
+A batch that is written again replaces all it wrote before: articles, tags and index
+are committed together. Articles are ordered by id, so a few ids are few row groups.
+There is one writer.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import clean_tag
 from ..functions.text import display_title
-from .index import Index, write_index
+from .generations import Generations, largest
+from .index import FIELDS, POSTINGS_SCHEMA, TABLES, Index, postings, write_postings
 
-ARTICLE_SCHEMA = (
-    "id bigint, url string, title string, author string, text string, added_at string, "
-    "batch_id bigint"
-)
-TAG_SCHEMA = "article_id bigint, tag string, batch_id bigint"
+ARTICLE_SCHEMA = "id bigint, url string, title string, author string, text string, added_at string"
+TAG_SCHEMA = "article_id bigint, tag string"
+INDEX = "index/"
+OWN_TABLES = ("articles", "tags", *(f"{INDEX}{table}" for table in TABLES))
 
 
 @dataclass(frozen=True)
@@ -28,45 +28,71 @@ class Store:
     spark: SparkSession
     root: str
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
-    def write(self, rows: DataFrame, table: str, batch_id: int) -> None:
-        (
-            rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{self.root}/{table}")
-        )
+    @property
+    def batches(self) -> Generations:
+        return Generations(self.spark, self.root)
 
     def articles(self, before: int | None = None) -> DataFrame:
         """All articles, or those saved by the batches before one."""
-        rows = self.read("articles", ARTICLE_SCHEMA)
-        return rows if before is None else rows.where(F.col("batch_id") < before)
+        return self.batches.read("articles", ARTICLE_SCHEMA, before)
 
     def tags(self, before: int | None = None) -> DataFrame:
-        rows = self.read("tags", TAG_SCHEMA)
-        return rows if before is None else rows.where(F.col("batch_id") < before)
+        return self.batches.read("tags", TAG_SCHEMA, before)
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        return self.batches.read(table, schema)
 
     def index(self) -> Index:
-        return Index.read(self.spark, f"{self.root}/index")
-
-    def append(self, articles: DataFrame, tags: DataFrame, batch_id: int) -> None:
-        """Write one batch: articles, their tags, and their part of the index."""
-        self.write(
-            articles.select("id", "url", "title", "author", "text", "added_at"),
-            "articles",
-            batch_id,
-        )
-        self.write(tags.select("article_id", "tag"), "tags", batch_id)
-        written = self.articles().where(F.col("batch_id") == batch_id)
-        write_index(written, f"{self.root}/index", batch_id)
+        return Index.committed(self.batches, INDEX)
+
+    def last_id(self, before: int | None = None) -> int:
+        """The largest id in use; kept with each commit, so no table is read."""
+        return self.batches.last_id(before)
+
+    def append(
+        self, articles: DataFrame, tags: DataFrame, batch_id: int, more: dict[str, DataFrame] | None = None
+    ) -> None:
+        """Write one batch and commit it: articles, their tags, their part of the index, and
+        other tables that belong to it."""
+        batches = self.batches
+        generation = batches.new(batch_id)
+        rows = articles.select("id", "url", "title", "author", "text", "added_at")
+        ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+        batches.write(ordered, "articles", batch_id, generation)
+        batches.write(tags.select("article_id", "tag"), "tags", batch_id, generation)
+        path = f"{self.root}/articles/batch_id={batch_id}/generation={generation}"
+        written = self.spark.read.schema(ARTICLE_SCHEMA).parquet(path)
+        write_postings(postings(written.select("id", *FIELDS)), batches, batch_id, generation, INDEX)
+        for table, frame in (more or {}).items():
+            batches.write(frame, table, batch_id, generation)
+        last = largest(written, "id", batches.last_id(before=batch_id))
+        batches.commit(generation, [batch_id], [*OWN_TABLES, *(more or {})], last)
+
+    def merge(self, batch_ids: list[int], more: dict[str, str] | None = None) -> None:
+        """Rewrite several batches as one, so that many small ones do not slow reading down.
+        They cannot be written again afterwards. ``more`` has the schemas of further tables
+        that they may have; tables not named are lost."""
+        batches = self.batches
+        commits = batches.commits()
+        unknown = sorted(set(batch_ids) - commits.keys())
+        if unknown or len(set(batch_ids)) < 2:
+            raise ValueError(f"two or more committed batches are needed; not committed: {unknown}")
+        owner, generation = max(batch_ids), batches.new(max(batch_ids))
+        last = max(commits[b].last_id for b in batch_ids)
+        articles = batches.read("articles", ARTICLE_SCHEMA, only=batch_ids).drop("batch_id")
+        ordered = articles.repartitionByRange("id").sortWithinPartitions("id")
+        batches.write(ordered, "articles", owner, generation)
+        for table, schema in {"tags": TAG_SCHEMA, **(more or {})}.items():
+            rows = batches.read(table, schema, only=batch_ids).drop("batch_id")
+            batches.write(rows.hint("rebalance"), table, owner, generation)
+        old = batches.read(f"{INDEX}postings", POSTINGS_SCHEMA, only=batch_ids).drop("batch_id")
+        write_postings(old, batches, owner, generation, INDEX)
+        batches.commit(generation, sorted(set(batch_ids)), [*OWN_TABLES, *(more or {})], last)
+
+    def vacuum(self) -> None:
+        """Delete what replaced, merged or unfinished batches have left."""
+        tables = {table for c in self.batches.commits().values() for table in c.tables}
+        self.batches.vacuum(*sorted(tables))
 
 
 def known_urls(saved: DataFrame, urls: DataFrame) -> DataFrame:

@@ -19,10 +19,8 @@ from ..functions import (
     escape_html,
     iso_from_string,
     iso_from_unix,
-    mark_br_paragraphs,
     normalize_url,
     paragraphs,
-    restore_br_paragraphs,
     slugify,
     tokens,
 )
@@ -131,15 +129,11 @@ _BR_PAGES = """SELECT conv_id, turn, concat('<td>', replace(replace(text, ' ', c
 
 
 @query(o.statement(f"""SELECT conv_id, turn, array_to_string(list_filter(list_transform(
-    string_split_regex(marked, '\\s*¶¶¶\\s*|\\n'), lambda p: trim(p, ' |')), lambda p: p <> ''), chr(10)) AS text
-    FROM (SELECT conv_id, turn, regexp_replace(CASE WHEN regexp_matches(html, '(?i)(?:<br\\s*/?>\\s*){{2,}}')
-      THEN regexp_replace(regexp_replace(html, '[ \\t]*\\r?\\n[ \\t]*', ' ', 'g'),
-           '(?i)(?:<br\\s*/?>\\s*){{2,}}', ' ¶¶¶ ', 'g') ELSE html END, '<[^>]*>', '', 'g') AS marked
-    FROM ({_BR_PAGES}))"""))
+    string_split_regex(html, '(?i)<br\\s*/?>|</?td>'),
+    lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), chr(10)) AS text
+    FROM ({_BR_PAGES})"""))
 def br_paragraphs(t: Tables) -> DataFrame:
-    marked = mark_br_paragraphs(F.col("html"))
-    text = F.replace(F.regexp_replace(marked, "<[^>]*>", ""), F.lit("&#182;"), F.lit("¶"))
-    return t.sql(_BR_PAGES).select("conv_id", "turn", restore_br_paragraphs(text).alias("text"))
+    return extract.extract_all(t.sql(_BR_PAGES), ("conv_id", "turn")).select("conv_id", "turn", "text")
 
 
 # -- index and search ------------------------------------------------------------
@@ -398,8 +392,10 @@ def _import_store(t: Tables) -> Store:
         )
         store.append(first, t.spark.createDataFrame([], "article_id bigint, tag string"), 0)
         html = t["pages"].select("page_id", "html")
+        # Every response and every copy twice, as crawls have them.
         responses = t["responses"].join(html, "page_id")
         copies = resolve.pick_snapshots(t["snapshots"]).join(t["web_pages"], "url").join(html, "page_id")
+        responses, copies = responses.union(responses), copies.union(copies)
         links = ingest.links_to_fetch(t["items"], store.articles())
         fetched = resolve.fetch_for_import(links, responses, copies)
         ingest.run_import(store, t["items"], fetched, 1, F.lit(NOW))
@@ -624,26 +620,18 @@ def resolve_content_add(t: Tables) -> DataFrame:
     return resolve.resolve_add(t["responses"].select("url"), _live(t), _copies(t))
 
 
-@query(o.statement(f"""SELECT p.url, {o.normalized('p.url')} AS given_url,
-    {o.normalized('coalesce(h.target, p.url)')} AS final_url FROM pages p
-    LEFT JOIN (SELECT url, arg_max(target, hop) AS target FROM hops GROUP BY url) h ON h.url = p.url"""))
+@query(o.statement("SELECT url, given_url, final_url FROM resolved"))
 def resolve_redirects(t: Tables) -> DataFrame:
     return resolve.resolve_redirects(t["pages"].select("url"), t["hops"])
 
 
-@query(o.statement(f"""SELECT final_url, count(*) AS n_urls FROM (SELECT DISTINCT
-    {o.normalized('p.url')} AS given_url, {o.normalized('coalesce(h.target, p.url)')} AS final_url FROM pages p
-    LEFT JOIN (SELECT url, arg_max(target, hop) AS target FROM hops GROUP BY url) h ON h.url = p.url)
+@query(o.statement("""SELECT final_url, count(*) AS n_urls FROM (SELECT DISTINCT given_url, final_url FROM resolved)
     GROUP BY final_url HAVING count(*) > 1"""))
 def same_final_page(t: Tables) -> DataFrame:
     return resolve.same_final_page(resolve.resolve_redirects(t["pages"].select("url"), t["hops"]))
 
 
-@query(o.statement("""SELECT url, reason IS NULL AS safe, reason FROM (
-    SELECT t.url, arg_min(CASE WHEN v.host IS NULL THEN 'could not resolve ' || split_part(t.target, '/', 3)
-        WHEN v.blocked THEN v.host || ' resolves to a non-public address' END, t.hop)
-        FILTER (v.host IS NULL OR v.blocked) AS reason
-    FROM targets t LEFT JOIN verdicts v ON v.host = split_part(t.target, '/', 3) GROUP BY t.url)"""))
+@query(o.statement("SELECT url, reason IS NULL AS safe, reason FROM guarded"))
 def unsafe_urls(t: Tables) -> DataFrame:
     return resolve.check_addresses(t["pages"].select("url"), t["hops"], t["resolutions"])
 
@@ -679,10 +667,17 @@ def extract_articles(t: Tables) -> DataFrame:
     return extract.extract_articles(t["pages"])
 
 
-@query(o.statement("""SELECT page_id, raw_url AS url, title, CAST(NULL AS VARCHAR) AS author, text
-    FROM page_articles WHERE text <> ''"""))
+@query(o.statement("""SELECT page_id, url, title, 'Pat Reader' AS author, array_to_string(texts, chr(10)) AS text
+    FROM bare_texts"""))
+def extract_bare_pages(t: Tables) -> DataFrame:
+    return extract.extract_articles(t["bare_pages"])
+
+
+@query(o.statement("""SELECT p.page_id, any_value(p.url) AS url, any_value(p.title) AS title, 'Pat Reader' AS author,
+    string_agg(b.text, chr(10) ORDER BY b.i) AS text FROM bare_texts p JOIN bare_blocks b ON b.page_id = p.page_id
+    WHERE NOT EXISTS (SELECT 1 FROM bare_repeats r WHERE r.host = b.host AND r.text = b.text) GROUP BY p.page_id"""))
 def extract_corpus(t: Tables) -> DataFrame:
-    return extract.extract_corpus(t["pages"])
+    return extract.extract_corpus(t["bare_pages"])
 
 
 @query(o.statement("""SELECT host, text, count(DISTINCT page_id) AS n_pages FROM block_rows

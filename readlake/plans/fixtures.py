@@ -16,6 +16,8 @@ from ..session import spread_rows
 
 GIVEN = ("pages", "documents", "events", "conversations", "benchmark")
 
+SPREAD_BY = {"pages": "page_id", "documents": "doc_id"}
+
 SPARK_WORDS = {
     "epoch_of_ts": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)",
     "no_text": "CAST(NULL AS STRING)",
@@ -68,6 +70,15 @@ SHARED = {
                'events' AS source_file,
                event_id AS line_no
         FROM visits v JOIN pages p ON p.page_id = v.page_id""",
+    # Pages as older sites write them: no article element, a byline, paragraphs by <br>, and
+    # short lines that a site repeats on all its pages.
+    "bare_pages": """
+        SELECT page_id, url, concat(
+                 replace(split_part(html, '</h1>', 1), '<article>', '<div>'),
+                 '</h1><p class="byline">By Pat Reader</p>',
+                 replace(replace(substr(html, instr(html, '</h1>') + 5), '. ', '.<br /> <br>'), '</article>',
+                         concat('<p>Share this</p><p>', split_part(url, '/', 3), ' news.</p></div>'))) AS html
+        FROM pages""",
     # One page per normalized url, and which of them earlier imports saved.
     "web_pages": """
         SELECT url, min(page_id) AS page_id FROM page_urls GROUP BY url""",
@@ -92,8 +103,12 @@ SHARED = {
                concat('http://web.archive.org/web/20240101000000/', url) AS snapshot_url
         FROM web_pages""",
     # Redirects: plain http moves to https; a page with a query moves on to the next page.
+    # They were seen from another spelling of the url, where there is an easy one.
     "hops": """
-        SELECT DISTINCT url, 1 AS hop, replace(url, 'http://', 'https://') AS target
+        SELECT DISTINCT CASE WHEN url LIKE '%#%' THEN split_part(url, '#', 1)
+                             WHEN url LIKE '%?%' THEN concat(url, '&utm_source=hop')
+                             ELSE concat(url, '/') END AS url,
+               1 AS hop, replace(url, 'http://', 'https://') AS target
         FROM pages WHERE url LIKE 'http://%'
         UNION ALL
         SELECT p.url, 2 AS hop, n.url AS target
@@ -109,7 +124,11 @@ SHARED = {
         FROM hosts WHERE host NOT LIKE '%pills%'
         UNION ALL
         SELECT host, CASE WHEN host LIKE 'blog.therr%' THEN 'fd00::1' ELSE '2606:4700::1111' END AS ip
-        FROM hosts WHERE host LIKE 'blog.%'""",
+        FROM hosts WHERE host LIKE 'blog.%'
+        UNION ALL
+        SELECT host, CASE WHEN host LIKE '%.net' THEN '999.1.1.1' WHEN host LIKE '%.org' THEN '2001:DB8::7'
+                          WHEN host LIKE '%.com' THEN '2001:4860:4860:0:0:0:0:8888' ELSE 'fe80::1%eth0' END AS ip
+        FROM hosts WHERE host LIKE 'm.%' OR host LIKE 'blog.%'""",
 }
 
 
@@ -134,7 +153,9 @@ class Tables:
 
     def _make(self, name: str) -> DataFrame:
         if name in GIVEN:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            # The given tables are a file or a few each; the work per row is heavy on these.
+            return spread_rows(rows, SPREAD_BY[name]) if name in SPREAD_BY else rows
         if name == "page_urls":
             return self["pages"].select("page_id", normalize_url(F.col("url")).alias("url"))
         if name == "items":

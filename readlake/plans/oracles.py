@@ -143,6 +143,13 @@ TABLES = {
         FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM (
               SELECT *, list_concat(list_concat(before, heading), list_concat(rest, after)) AS texts
               FROM page_blocks))""",
+    "bare_texts": f"""SELECT b.page_id, b.url, split_part(b.url, '/', 3) AS host, b.heading[1] AS title,
+               list_concat(list_concat(b.before, {_block_texts("replace(regexp_extract(p.body, '(?s)</h1>(.*?)</article>', 1), '. ', '.<br /> <br>')")}),
+                           ['Share this', split_part(b.url, '/', 3) || ' news.']) AS texts
+        FROM page_blocks b JOIN page_parts p ON p.page_id = b.page_id""",
+    "bare_blocks": """SELECT page_id, host, i, texts[i] AS text
+        FROM (SELECT *, unnest(range(1, len(texts) + 1)) AS i FROM bare_texts)""",
+    "bare_repeats": """SELECT host, text FROM bare_blocks GROUP BY host, text HAVING count(DISTINCT page_id) >= 3""",
     # Content of linked pages.
     "closest": """SELECT url, arg_max(struct_pack(available := available, status := status,
                snapshot_url := snapshot_url, ts := timestamp), timestamp) AS c
@@ -181,10 +188,19 @@ TABLES = {
                SELECT url, unnest(string_split(tag_text, '|')) AS tag FROM listed)
         WHERE trim(tag) <> ''""",
     # Addresses.
+    "page_hops": f"""SELECT DISTINCT {normalized('url')} AS given_url, hop, target FROM hops""",
+    "last_hops": """SELECT given_url, arg_max(target, (hop, target)) AS target FROM page_hops GROUP BY given_url""",
+    "given_pages": f"""SELECT url, {normalized('url')} AS given_url FROM pages""",
+    "resolved": f"""SELECT p.url, p.given_url, {normalized('coalesce(h.target, p.url)')} AS final_url
+        FROM given_pages p LEFT JOIN last_hops h ON h.given_url = p.given_url""",
     "targets": """SELECT url, 0 AS hop, url AS target FROM pages
-        UNION ALL SELECT url, hop, target FROM hops""",
-    "verdicts": """SELECT host, bool_or(ip LIKE '10.%' OR ip LIKE '169.254.%' OR ip LIKE 'fd%')
-               AS blocked FROM resolutions GROUP BY host""",
+        UNION ALL SELECT p.url, h.hop, h.target FROM given_pages p JOIN page_hops h ON h.given_url = p.given_url""",
+    "verdicts": """SELECT host, bool_or(ip LIKE '10.%' OR ip LIKE '169.254.%' OR ip LIKE 'fd%' OR ip LIKE 'fe80:%'
+               OR ip LIKE '999.%' OR lower(ip) LIKE '2001:db8:%') AS blocked FROM resolutions GROUP BY host""",
+    "guarded": """SELECT t.url, arg_min(CASE WHEN v.host IS NULL THEN 'unknown-host ' || split_part(t.target, '/', 3)
+            WHEN v.blocked THEN 'internal-host ' || v.host END, (t.hop, t.target))
+            FILTER (v.host IS NULL OR v.blocked) AS reason
+        FROM targets t LEFT JOIN verdicts v ON v.host = split_part(t.target, '/', 3) GROUP BY t.url""",
 }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,9 @@ def session(app_name: str = "readlake", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**SESSION_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -61,11 +65,63 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables that one job needs between its steps and deletes when it is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.drop()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
     """Deal out rows that come from few files, before work that is heavy per row.
 
-    One small file is one task however many cores there are. Data in many files is
-    left where it is: it already is many tasks, and moving it would cost a shuffle.
+    For callers who know that their files are few: one small file is one task however
+    many cores there are. Operators never do this by themselves. How many tasks there
+    are is left to Spark, which merges small ones and splits large ones.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+    return df.repartition(key)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Arrow functions find it
+    on workers that do not share the driver's Python path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="readlake-package-")  # the driver serves it to the others
+    archive = os.path.join(folder, "readlake-package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for parent, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(parent, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

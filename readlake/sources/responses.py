@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 # Content encodings that are undone.
 GZIP_ENCODINGS = ("gzip", "x-gzip")
 DEFLATE = "deflate"
-_CHARSET = re.compile(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?\s*([\w-]+)", re.IGNORECASE)
+_CHARSET = re.compile(rb"<meta[^>]*?charset\s*=\s*[\"']?\s*([\w-]+)", re.IGNORECASE)
 
 
 def _plain(body: bytes, encoding: str) -> bytes:

@@ -20,7 +20,7 @@ from ..operators.joins import spread_join
 from ..operators.numbering import number_rows
 from ..operators.resolve import LIVE_COLUMNS, check_addresses, resolve_add, resolve_redirects
 from ..operators.store import Store, known_urls
-from ..session import materialize
+from ..session import Scratch
 
 CAPTURE_SCHEMA = "event_id bigint, url string, html string, captured_at timestamp"
 OUTCOME_SCHEMA = "event_id bigint, url string, ok boolean, reason string, id bigint"
@@ -70,128 +70,165 @@ def first_captures(captures: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def check_captures(captures: DataFrame) -> DataFrame:
+def _has_page() -> Column:
+    return F.coalesce(F.col("html") != "", F.lit(False))
+
+
+def check_captures(captures: DataFrame, max_page_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
     """The captures with a reason why they are refused, or null."""
     url = F.coalesce("url", F.lit(""))
     reason = (
-        F.when(F.octet_length("html") > MAX_PAGE_BYTES, F.lit(TOO_LARGE))
+        F.when(F.octet_length("html") > max_page_bytes, F.lit(TOO_LARGE))
         .when(url == "", F.lit(NO_URL))
         .when(~has_web_scheme(url), F.lit(BAD_SCHEME))
     )
     return captures.withColumn("refused", reason)
 
 
-def _has_page() -> Column:
-    return F.coalesce(F.col("html") != "", F.lit(False))
+# Of each capture two things are kept apart: what happened to it, one narrow row (event_id,
+# url, content_key, reason), and what its page says (content_key, title, author, text), one
+# row per different page however often it was sent.
 
 
-def _sent_pages(checked: DataFrame) -> DataFrame:
-    """(event_id, url, title, author, text, reason) of captures that bring their page."""
-    sent = checked.where(F.col("refused").isNull() & _has_page())
-    pages = extract_all(sent.select(F.col("event_id").alias("page_id"), "url", "html"))
-    return pages.select(
-        F.col("page_id").alias("event_id"),
-        normalize_url(F.col("url")).alias("url"),
-        "title",
-        "author",
-        "text",
-        F.when(F.col("text").isNull(), F.lit(NO_TEXT)).alias("reason"),
-    )
+def _sent_pages(checked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Captures that bring their page. Equal pages are parsed once."""
+    sent = checked.where(F.col("refused").isNull() & (F.col("html") != ""))
+    keyed = sent.select("event_id", "url", F.sha2("html", 256).alias("content_key"), "html")
+    firsts = keyed.groupBy("content_key").agg(F.min("event_id").alias("event_id"))
+    pages = keyed.select("event_id", "content_key", "html").join(firsts, ["event_id", "content_key"], "left_semi")
+    content = scratch.write(extract_all(pages.dropDuplicates(["event_id", "content_key"]), ("content_key",)), "content")
+    empty = content.where(F.col("text").isNull()).select("content_key", F.lit(NO_TEXT).alias("reason"))
+    # Very many captures may send one page.
+    judged = spread_join(keyed.drop("html"), empty, "content_key", "event_id")
+    return judged.withColumn("url", normalize_url(F.col("url"))), content
 
 
-def _named_pages(checked: DataFrame, web: Web) -> DataFrame:
-    """The same for captures that only name a page: guarded, then looked up."""
+def _named_pages(checked: DataFrame, web: Web, guard: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Captures that only name a page: looked up, behind the address guard if asked for."""
     named = checked.where(F.col("refused").isNull() & ~_has_page()).select("event_id", "url")
-    urls = named.select("url").distinct()
-    guarded = check_addresses(urls, web.hops, web.resolutions)
+    urls = scratch.write(named.select("url").distinct(), "urls")
     resolved = resolve_redirects(urls, web.hops)
     wanted = resolved.select(F.col("given_url").alias("url")).distinct()
     live = extract_all(web.responses.join(wanted, "url", "left_semi"), LIVE_COLUMNS)
     copies = extract_all(web.copies.join(wanted, "url", "left_semi"), ("url",))
-    content = resolve_add(wanted, live, copies).withColumnRenamed("url", "given_url")
-    safe = F.col("safe")
+    content = scratch.write(resolve_add(wanted, live, copies).withColumnRenamed("url", "given_url"), "named")
+    if guard:
+        guarded = check_addresses(urls, web.hops, web.resolutions).withColumnRenamed("reason", "unsafe")
+    else:
+        guarded = urls.withColumn("unsafe", F.lit(None).cast("string"))
     # A copy from the archive is kept under the url that was given.
     final = F.when(F.col("source") == "wayback", F.col("given_url")).otherwise(F.col("final_url"))
     per_url = (
-        guarded.withColumnRenamed("reason", "unsafe")
-        .join(resolved, "url")
-        .join(content, "given_url", "left")
+        guarded.join(resolved, "url")
+        .join(content.select("given_url", "source", "reason"), "given_url", "left")
         .select(
             F.col("url").alias("raw_url"),
             final.alias("page_url"),
-            *[F.when(safe, F.col(c)).alias(c) for c in ("title", "author", "text")],
-            F.when(~safe, F.col("unsafe")).otherwise(F.col("reason")).alias("reason"),
+            F.concat(F.lit("named "), "given_url").alias("content_key"),
+            F.coalesce("unsafe", "reason").alias("reason"),
         )
     )
     # Very many captures may name one page.
     events = spread_join(
         named.withColumnRenamed("url", "raw_url"), per_url, "raw_url", "event_id", "inner"
     )
-    return events.select(
-        "event_id", F.col("page_url").alias("url"), "title", "author", "text", "reason"
+    key = F.concat(F.lit("named "), "given_url").alias("content_key")
+    return (
+        events.select("event_id", F.col("page_url").alias("url"), "content_key", "reason"),
+        content.select(key, "title", "author", "text"),
     )
 
 
 def save_captures(
-    store: Store, captures: DataFrame, batch_id: int, now: Column, web: Web | None = None
+    store: Store,
+    captures: DataFrame,
+    batch_id: int,
+    now: Column,
+    web: Web | None = None,
+    guard: bool = True,
+    max_page_bytes: int = MAX_PAGE_BYTES,
 ) -> DataFrame:
-    """Save one micro-batch; (event_id, url, ok, reason, id) for every capture in it."""
-    checked = check_captures(captures)
-    pages = _sent_pages(checked)
-    if web is not None:
-        pages = pages.unionByName(_named_pages(checked, web))
-    else:
-        missing = checked.where(F.col("refused").isNull() & ~_has_page())
-        pages = pages.unionByName(
-            missing.select("event_id", normalize_url(F.col("url")).alias("url"),
-                           F.lit(NOT_FETCHED).alias("reason")),
-            allowMissingColumns=True,
+    """Save one micro-batch; the outcome of every capture in it: (event_id, url, ok, reason,
+    id). Pages that are only named are looked up in ``web``."""
+    with Scratch(store.spark) as scratch:
+        # The batch is read once; its source may be gone or changed on another read.
+        checked = scratch.write(check_captures(captures, max_page_bytes), "batch")
+        events, content = _sent_pages(checked, scratch)
+        if web is not None:
+            more_events, more_content = _named_pages(checked, web, guard, scratch)
+            events, content = events.unionByName(more_events), content.unionByName(more_content)
+        else:
+            missing = checked.where(F.col("refused").isNull() & ~_has_page())
+            events = events.unionByName(
+                missing.select("event_id", normalize_url(F.col("url")).alias("url"),
+                               F.lit(NOT_FETCHED).alias("reason")),
+                allowMissingColumns=True,
+            )
+        events = scratch.write(events, "events")
+        # The first capture that has a text wins, unless an earlier batch has the url.
+        firsts = events.where(F.col("reason").isNull()).groupBy("url").agg(F.min("event_id").alias("event_id"))
+        firsts = scratch.write(firsts, "firsts")
+        fresh = firsts.join(known_urls(store.articles(before=batch_id), firsts), "url", "left_anti")
+        last = store.last_id(before=batch_id)
+        numbered = number_rows(fresh.select("event_id"), ["event_id"], F.lit(last + 1), write=scratch.write)
+        ids = scratch.write(numbered, "ids")
+        # A batch may hold an event twice; the page is saved once.
+        winners = events.join(ids, "event_id").where("reason IS NULL").dropDuplicates(["id"])
+        articles = winners.select("id", "url", "content_key").join(content, "content_key").select(
+            "id", "url", "title", "author", "text", now.alias("added_at")
         )
-    pages = materialize(pages, "captured-pages")
-    saved = store.articles(before=batch_id)
-    # The first capture that has a text wins, unless an earlier batch has the url.
-    firsts = (
-        pages.where(F.col("text").isNotNull())
-        .groupBy("url")
-        .agg(F.min("event_id").alias("event_id"))
-    )
-    fresh = firsts.join(known_urls(saved, firsts), "url", "left_anti")
-    last = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
-    ids = number_rows(fresh.select("event_id"), ["event_id"], last + 1)
-    articles = pages.join(ids, "event_id").select(
-        "id", "url", "title", "author", "text", now.alias("added_at")
-    )
-    no_tags = store.spark.createDataFrame([], "article_id bigint, tag string")
-    store.append(articles, no_tags, batch_id)
-    ok = F.col("id").isNotNull()
-    done = pages.join(ids, "event_id", "left").select(
-        "event_id",
-        "url",
-        ok.alias("ok"),
-        F.when(~ok, F.coalesce("reason", F.lit(ALREADY_SAVED))).alias("reason"),
-        "id",
-    )
-    refused = checked.where(F.col("refused").isNotNull()).select(
-        "event_id",
-        "url",
-        F.lit(False).alias("ok"),
-        F.col("refused").alias("reason"),
-        F.lit(None).cast("bigint").alias("id"),
+        ok = F.col("id").isNotNull()
+        done = events.join(ids, "event_id", "left").select(
+            "event_id",
+            "url",
+            ok.alias("ok"),
+            F.when(~ok, F.coalesce("reason", F.lit(ALREADY_SAVED))).alias("reason"),
+            "id",
+        )
+        refused = checked.where(F.col("refused").isNotNull()).select(
+            "event_id",
+            "url",
+            F.lit(False).alias("ok"),
+            F.col("refused").alias("reason"),
+            F.lit(None).cast("bigint").alias("id"),
+        )
+        no_tags = store.spark.createDataFrame([], "article_id bigint, tag string")
+        store.append(articles, no_tags, batch_id, {"outcomes": done.unionByName(refused)})
+    return store.batches.read("outcomes", OUTCOME_SCHEMA, only=[batch_id]).drop("batch_id")
+
+
+def add_links(
+    store: Store, links: DataFrame, web: Web, batch_id: int, now: Column | None = None, guard: bool = False
+) -> DataFrame:
+    """Add pages by their urls, as one batch: (event_id, url, ok, reason, id) of each link.
+
+    ``links`` is (event_id, url); the order of event_id decides which of several links to one
+    page is the one saved. A reader's own links are not guarded, unless asked for.
+    """
+    captures = links.select(
+        "event_id", "url", F.lit(None).cast("string").alias("html"), F.lit(None).cast("timestamp").alias("captured_at")
     )
-    return done.unionByName(refused)
+    return save_captures(store, captures, batch_id, _stamp(now), web, guard)
+
+
+def _stamp(now: Column | None) -> Column:
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
+                         "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
 
 
 def capture_stream(
-    stream: DataFrame, store: Store, checkpoint: str, now: Column | None = None,
+    stream: DataFrame,
+    store: Store,
+    checkpoint: str,
+    now: Column | None = None,
     web: Web | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
-    """Run a stream of captures into the archive until its input is used up."""
-    stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
-                          "yyyy-MM-dd'T'HH:mm:ss'Z'") if now is None else now
+    """Run a stream of captures into the archive until its input is used up. Micro-batch n is
+    batch ``first_batch`` + n of the archive."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        done = save_captures(store, batch, batch_id, stamp, web)
-        store.write(done, "outcomes", batch_id)
+        save_captures(store, batch, first_batch + batch_id, _stamp(now), web)
 
     return (
         stream.writeStream.foreachBatch(save)
@@ -202,4 +239,4 @@ def capture_stream(
 
 
 def read_outcomes(store: Store) -> DataFrame:
-    return store.read("outcomes", OUTCOME_SCHEMA + ", batch_id bigint")
+    return store.read("outcomes", OUTCOME_SCHEMA)

@@ -19,13 +19,15 @@ from readlake.operators.numbering import number_rows, number_within
 from readlake.operators.resolve import (
     check_addresses,
     fetch_for_import,
+    host_addresses,
     pick_snapshots,
     resolve_add,
     resolve_import,
     resolve_redirects,
     same_final_page,
 )
-from readlake.operators.search import matches, term
+from readlake.operators.index import Index
+from readlake.operators.search import either, matches, term
 from readlake.operators.store import Store, list_articles, read_article, tags_for
 from readlake.session import scratch_path
 
@@ -47,57 +49,68 @@ def store(spark):
 def the_list(spark):
     return items(
         spark,
-        ("https://e.org/live?utm_source=x", "listed", "2016-01-01T00:00:00Z", None, ["Python", "essays", "python ", ""]),
-        ("https://e.org/archived", None, None, None, None),
-        ("https://e.org/dead", None, None, None, ["lost"]),
-        ("https://e.org/inline/", "Inline", None, "its own text", []),
-        ("ftp://e.org/file", None, None, None, None),
-        ("https://e.org/live#again", "later", None, "later text", ["repeat"]),
+        ("https://bake.org/rye?utm_medium=mail", "as listed", "2019-03-02T08:00:00Z", None, ["Bread", " slow food", "bread"]),
+        ("https://bake.org/gone", None, None, None, ["lost"]),
+        ("https://bake.org/kept/", "From the export", None, "text of the export", None),
+        ("https://bake.org/old", None, None, None, None),
+        ("mailto:baker@bake.org", None, None, None, None),
+        ("https://bake.org/rye#crust", "listed twice", None, "later text", ["Rye"]),
     )
 
 
 def the_web(spark):
-    return spark.createDataFrame([
-        ("https://e.org/live", "Live", "Ann", "live text", "live", None),
-        ("https://e.org/archived", None, None, "old text", "wayback", None),
-        ("https://e.org/dead", None, None, None, None, "HTTP Error 404"),
-    ], FETCHED)
+    rows = [
+        ("https://bake.org/rye", "Rye", "Bo", "flour and water", "live", None),
+        ("https://bake.org/old", None, None, "a copy", "wayback", None),
+        ("https://bake.org/gone", None, None, None, None, "HTTP Error 410"),
+    ]
+    # A crawl may have brought a page more than once.
+    return spark.createDataFrame([*rows, *rows, ("https://bake.org/rye", "Rye", "Bo", None, None, "timed out")], FETCHED)
 
 
-def test_import_counts_rows_and_tags(spark, store):
+def test_import_saves_each_url_once(spark, store):
     result = run_import(store, the_list(spark), the_web(spark), 1, F.lit(NOW))
     assert result.summary().first().asDict() == {
         "saved": 3, "from_export": 1, "from_wayback": 1, "skipped": 1, "failed": 2}
     rows = {r.url: r for r in store.articles().collect()}
-    assert sorted(r.id for r in rows.values()) == [1, 2, 3]
-    live = rows["https://e.org/live"]
-    assert (live.id, live.title, live.author, live.text, live.added_at) == (
-        1, "Live", "Ann", "live text", "2016-01-01T00:00:00Z")
-    assert rows["https://e.org/archived"].added_at == NOW
-    assert rows["https://e.org/inline"].title == "Inline"
-    assert [r.tag for r in tags_for(store.tags(), 1).collect()] == ["essays", "python", "repeat"]
+    assert store.articles().count() == len(rows) == 3 and sorted(r.id for r in rows.values()) == [1, 2, 3]
+    rye = rows["https://bake.org/rye"]
+    assert (rye.id, rye.title, rye.author, rye.text, rye.added_at) == (
+        1, "Rye", "Bo", "flour and water", "2019-03-02T08:00:00Z")
+    assert rows["https://bake.org/old"].added_at == NOW and rows["https://bake.org/kept"].title == "From the export"
+    assert [r.tag for r in tags_for(store.tags(), 1).collect()] == ["bread", "rye", "slow food"]
     assert [tuple(r) for r in result.failures().collect()] == [
-        ("https://e.org/dead", "HTTP Error 404"), ("ftp://e.org/file", "not an http(s) URL")]
-    assert {r.id for r in matches(store.index(), term("text")).collect()} == {1, 2, 3}
+        ("https://bake.org/gone", "HTTP Error 410"), ("mailto:baker@bake.org", "not an http(s) URL")]
+    assert {r.id for r in matches(store.index(), term("copy")).collect()} == {3}
 
 
 def test_second_import_saves_nothing_but_brings_tags(spark, store):
     run_import(store, the_list(spark), the_web(spark), 1, F.lit(NOW))
-    again = items(spark, ("https://e.org/live/", None, None, None, ["New"]),
-                  ("https://e.org/inline", None, None, "other", None),
-                  ("https://e.org/inline?ref=z", None, None, "other", None),
-                  ("https://e.org/four", None, None, "four", None))
+    again = items(spark, ("https://bake.org/rye/", None, None, None, ["New"]),
+                  ("https://bake.org/kept", None, None, "other", None),
+                  ("https://bake.org/kept?ref=z", None, None, "other", None),
+                  ("https://bake.org/four", None, None, "four", None))
     result = run_import(store, again, the_web(spark), 2, F.lit(NOW))
     assert result.summary().first().asDict() == {
         "saved": 1, "from_export": 1, "from_wayback": 0, "skipped": 3, "failed": 0}
-    assert store.articles().where("url = 'https://e.org/four'").first().id == 4
+    assert store.articles().where("url = 'https://bake.org/four'").first().id == 4
     assert "new" in {r.tag for r in tags_for(store.tags(), 1).collect()}
-    # The same batch once more leaves the archive as it is.
-    before = (sorted(store.articles().collect()), sorted(store.tags().collect()),
-              sorted(store.index().document_frequencies().collect()))
-    run_import(store, again, the_web(spark), 2, F.lit(NOW))
-    assert before == (sorted(store.articles().collect()), sorted(store.tags().collect()),
-                      sorted(store.index().document_frequencies().collect()))
+
+    def state():
+        return (sorted(store.articles().collect()), sorted(store.tags().collect()),
+                sorted(store.index().document_frequencies().collect()))
+
+    before = state()
+    run_import(store, again, the_web(spark), 2, F.lit(NOW))  # the same batch once more
+    assert state() == before
+    # With another list it replaces all that it wrote: article, index and tags.
+    other = items(spark, ("https://bake.org/five", None, None, "fifth", ["five"]))
+    run_import(store, other, the_web(spark), 2, F.lit(NOW))
+    assert {r.url for r in store.articles().where("batch_id = 2").collect()} == {"https://bake.org/five"}
+    assert {r.tag for r in store.tags().where("batch_id = 2").collect()} == {"five"}
+    assert [matches(store.index(), term(w)).count() for w in ("four", "fifth")] == [0, 1]
+    run_import(store, other.limit(0), the_web(spark), 2, F.lit(NOW))
+    assert store.articles().count() == 3 and store.tags().where("batch_id = 2").count() == 0
 
 
 def test_one_url_as_a_third_of_the_list(spark):
@@ -113,19 +126,19 @@ def test_failure_report(spark, store, tmp_path):
     assert failures(done, 1).count() == 1
     write_failures(done, str(tmp_path / "failures"))
     lines = [line for f in sorted((tmp_path / "failures").glob("*.csv")) for line in f.read_text().splitlines()]
-    assert lines == ["https://e.org/dead\tHTTP Error 404", "ftp://e.org/file\tnot an http(s) URL"]
+    assert lines == ["https://bake.org/gone\tHTTP Error 410", "mailto:baker@bake.org\tnot an http(s) URL"]
 
 
 def test_list_filter_and_read(spark, store):
     run_import(store, the_list(spark), the_web(spark), 1, F.lit(NOW))
     rows = list_articles(store.articles(), store.tags()).collect()
     assert [r.id for r in rows] == [2, 3, 1]
-    assert rows[2].tags == "essays, python, repeat" and rows[0].tags is None
-    assert rows[0].name == "https://e.org/archived"
-    assert [r.id for r in list_articles(store.articles(), store.tags(), " PYTHON ").collect()] == [1]
+    assert rows[2].tags == "bread, rye, slow food" and rows[0].tags is None
+    assert rows[1].name == "https://bake.org/old"
+    assert [r.id for r in list_articles(store.articles(), store.tags(), " BREAD ").collect()] == [1]
     assert list_articles(store.articles(), store.tags(), "none").count() == 0
     assert list_articles(store.articles(), store.tags(), "  ").count() == 3
-    assert read_article(store.articles(), 1).first().text == "live text"
+    assert read_article(store.articles(), 1).first().text == "flour and water"
     assert read_article(store.articles(), 99).count() == 0
 
 
@@ -186,9 +199,18 @@ def test_fetch_for_import_extracts_what_is_needed(spark):
 
 def test_only_new_links_are_fetched(spark, store):
     run_import(store, the_list(spark), the_web(spark), 1, F.lit(NOW))
-    more = items(spark, ("https://e.org/live", None, None, None, None), ("https://e.org/n/", None, None, None, None),
-                 ("https://e.org/t", None, None, "text", None), ("ftp://e.org", None, None, None, None))
-    assert [r.url for r in links_to_fetch(more, store.articles()).collect()] == ["https://e.org/n"]
+    more = items(spark, ("https://bake.org/rye", None, None, None, None), ("https://bake.org/n/", None, None, None, None),
+                 ("https://bake.org/t", None, None, "text", None), ("ftp://bake.org", None, None, None, None))
+    assert [r.url for r in links_to_fetch(more, store.articles()).collect()] == ["https://bake.org/n"]
+
+
+def test_repeated_responses_do_not_multiply_rows(spark):
+    live = live_pages(spark)
+    more = spark.createDataFrame([("ok", 500, None, "no", None, None), ("ok", 200, None, None, None, None),
+                                  ("refused", None, "reset", None, None, None)], live.schema)
+    urls = live.select("url")
+    got = resolve_import(urls.union(urls), live.union(live).union(more), copies(spark).union(copies(spark))).collect()
+    assert len(got) == live.count() and {r.url: r.title for r in got}["ok"] == "T"
 
 
 def test_add_rule(spark):
@@ -209,45 +231,75 @@ def test_snapshots(spark):
 
 
 def test_redirects(spark):
-    urls = spark.createDataFrame([("http://s.org/1",), ("http://e.org/a/",), ("http://s.org/2",)], "url string")
-    hops = spark.createDataFrame([("http://s.org/1", 1, "http://x.org"), ("http://s.org/1", 2, "https://e.org/a/?ref=q"),
+    urls = spark.createDataFrame([("http://s.org/1",), ("http://e.org/a/",), ("http://s.org/2?utm_term=x",)], "url string")
+    hops = spark.createDataFrame([("http://s.org/1/", 1, "http://x.org"), ("http://s.org/1", 2, "https://e.org/a/?ref=q"),
                                   ("http://s.org/2", 1, "https://e.org/a#z")], "url string, hop int, target string")
     resolved = resolve_redirects(urls, hops)
     got = {r.url: (r.given_url, r.final_url) for r in resolved.collect()}
     assert got == {"http://s.org/1": ("http://s.org/1", "https://e.org/a"),
                    "http://e.org/a/": ("http://e.org/a", "http://e.org/a"),
-                   "http://s.org/2": ("http://s.org/2", "https://e.org/a")}
+                   "http://s.org/2?utm_term=x": ("http://s.org/2", "https://e.org/a")}
     assert [tuple(r) for r in same_final_page(resolved).collect()] == [("https://e.org/a", 2)]
 
 
 def test_addresses(spark):
-    cases = {"http://public.org/": None, "http://localhost/x": "localhost resolves to a non-public address",
-             "http://meta.org/": "meta.org resolves to a non-public address",
-             "http://mixed.org/": "mixed.org resolves to a non-public address",
-             "http://six.org/": "six.org resolves to a non-public address", "http://six-ok.org/": None,
-             "http://unknown.org/": "could not resolve unknown.org", "http:///path": "URL has no host",
-             "file:///etc/passwd": "unsupported URL scheme",
-             "http://hop.org/": "localhost resolves to a non-public address"}
-    ips = [("public.org", "93.184.216.34"), ("localhost", "127.0.0.1"), ("meta.org", "169.254.169.254"),
+    cases = {"http://fine.org/": None, "http://loop/x": "internal-host loop", "http://cloud.org/": "internal-host cloud.org",
+             "http://mixed.org/": "internal-host mixed.org", "http://six.org/": "internal-host six.org",
+             "http://six-ok.org/": None, "http://odd.org/": "internal-host odd.org",
+             "http://none.org/": "internal-host none.org", "http://unknown.org/": "unknown-host unknown.org",
+             "http:///path": "hostless", "ftp://fine.org/x": "not-web"}
+    # However a url that redirects inside is spelled, it is refused.
+    spellings = ["http://hop.org/x", "http://hop.org/x/", "http://hop.org/x?utm_source=q", "http://hop.org/x#part"]
+    cases |= {url: "internal-host loop" for url in spellings}
+    ips = [("fine.org", "93.184.216.34"), ("loop", "127.0.0.1"), ("cloud.org", "169.254.169.254"),
            ("mixed.org", "93.184.216.34"), ("mixed.org", "10.0.0.5"), ("six.org", "fd00::1"),
-           ("six-ok.org", "2606:4700::1111"), ("hop.org", "93.184.216.34")]
+           ("six-ok.org", "2606:4700::1111"), ("hop.org", "93.184.216.34"), ("odd.org", "93.184.216.34"),
+           ("odd.org", "999.1.1.1"), ("none.org", None)]
     got = check_addresses(
         spark.createDataFrame([(u,) for u in cases], "url string"),
-        spark.createDataFrame([("http://hop.org/", 1, "http://localhost:8080/")], "url string, hop int, target string"),
+        spark.createDataFrame([("http://hop.org/x/", 1, "http://loop:8080/")], "url string, hop int, target string"),
         spark.createDataFrame(ips, "host string, ip string"))
     rows = {r.url: r for r in got.collect()}
     assert {u: r.reason for u, r in rows.items()} == cases
     assert all(r.safe == (r.reason is None) for r in rows.values())
 
 
+def test_addresses_beside_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    texts = ["0.0.0.0", "1.2.3", "1.2.3.4.5", "01.2.3.4", "256.1.1.1", "", "x", "::", "::1", "1::2::3", ":::", "12345::", "g::",
+             "2001:db8::1", "2001:4860:4860::8888", "2001:1::1", "2001:1::3", "2001:20::1", "2001:2f:ffff::", "2001:30::",
+             "2001:4:112::1", "2001:200::", "2002::1", "3fff:fff::1", "3fff:1000::", "fe80::1", "ff02::1", "fec0::1",
+             "2600::1.2.3.4", "2600::1.2.3.400", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "2600:1:2:3:4:5:6::", "64:ff9b::1"]
+    texts += [".".join(str(rng.choice([0, 10, 100, 127, 169, 172, 192, 198, 203, 224, 255, rng.randrange(256)])) for _ in range(4)) for _ in range(150)]
+    texts += [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(60)]
+    texts += [str(ipaddress.IPv6Address((rng.choice([0x2001, 0x2002, 0x2600, 0x3FFF, 0xFE80]) << 112) | rng.getrandbits(112))) for _ in range(60)]
+
+    def blocked(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return True
+        return (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast
+                or ip.is_unspecified or ip.version == 6 and (
+                    ip not in ipaddress.ip_network("2000::/3") or ip in ipaddress.ip_network("3fff::/20")))
+
+    df = spark.createDataFrame([(f"h{k}", text) for k, text in enumerate(texts)], "host string, ip string")
+    got = {r.host: r.blocked for r in host_addresses(df).collect()}
+    wrong = [(text, got[f"h{k}"]) for k, text in enumerate(texts) if got[f"h{k}"] != blocked(text)]
+    assert wrong == []
+
+
 # -- exports -------------------------------------------------------------------
 
 
 @pytest.fixture(scope="module")
 def three(spark):
     return spark.createDataFrame([
-        (1, "https://e.org/1", 'Trains: "a" history', "Ann & Bob", "One.\n\n  Two <b>.\n", "2024-01-01T00:00:00Z"),
-        (2, "https://e.org/2", 'Trains: "a" history', None, "Other", "2024-01-03T00:00:00Z"),
+        (1, "https://e.org/1", 'Soup & "bread"', "Ann & Bob", "One.\n\n  Two <b>.\n", "2024-01-01T00:00:00Z"),
+        (2, "https://e.org/2", 'Soup & "bread"', None, "Other two", "2024-01-03T00:00:00Z"),
         (3, "https://e.org/3", "", None, "Third", "2024-01-02T00:00:00Z"),
     ], "id bigint, url string, title string, author string, text string, added_at string")
 
@@ -255,10 +307,10 @@ def three(spark):
 def test_markdown_files(spark, three, tmp_path):
     export.write_files(export.markdown(three), str(tmp_path))
     assert sorted(p.name for p in tmp_path.iterdir()) == [
-        "0001-trains-a-history.md", "0002-trains-a-history.md", "0003-httpseorg3.md"]
-    assert (tmp_path / "0001-trains-a-history.md").read_text(encoding="utf-8") == (
-        '---\ntitle: "Trains: \\"a\\" history"\nurl: "https://e.org/1"\nauthor: "Ann & Bob"\n'
-        'saved: "2024-01-01T00:00:00Z"\n---\n\n# Trains: "a" history\n\nOne.\n\nTwo <b>.\n')
+        "0001-soup-bread.md", "0002-soup-bread.md", "0003-httpseorg3.md"]
+    assert (tmp_path / "0001-soup-bread.md").read_text(encoding="utf-8") == (
+        '---\ntitle: "Soup & \\"bread\\""\nurl: "https://e.org/1"\nauthor: "Ann & Bob"\n'
+        'saved: "2024-01-01T00:00:00Z"\n---\n\n# Soup & "bread"\n\nOne.\n\nTwo <b>.\n')
 
 
 def test_chapters_are_newest_first_and_well_formed(three):
@@ -278,3 +330,16 @@ def test_export_order_and_search(spark, three):
     assert [r.id for r in export.select_articles(three).collect()] == [2, 3, 1]
     with pytest.raises(ValueError):
         export.select_articles(three, None, term("one"))
+
+
+def test_a_book_of_a_search_is_in_rank_order(spark, three, tmp_path):
+    index = Index.of(three)
+    found = export.select_articles(three, index, either(term("two"), term("one")))
+    ranked = {r.id: r.rank for r in found.collect()}
+    scores = {r.id: r.score for r in matches(index, either(term("two"), term("one"))).collect()}
+    assert sorted(ranked, key=ranked.get) == sorted(scores, key=lambda i: (scores[i], i)) and len(ranked) == 2
+    rows = export.chapters(export.whole_book(found, "soups")).orderBy("n").collect()
+    assert [r.id for r in rows] == sorted(ranked, key=ranked.get)
+    toc = export.table_of_contents(export.whole_book(found, "soups")).orderBy("n").collect()
+    assert [r.n for r in toc] == [1, 2]
+    assert {r.id: r["rank"] for r in export.markdown(found).collect()} == ranked

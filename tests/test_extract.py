@@ -26,8 +26,8 @@ over a line end, with a <a href="/x">link</a> in it.</p><p>The second one.
 <h2>A part</h2><p>The third &copy; one.</article>
 <aside class="related"><h3>More</h3><a href="/o">Other post</a></aside>
 <footer>All rights reserved.</footer></body></html>"""
-WRAPPED = "\n".join(["some words that fill a line of sixty six characters or somewhat more"] * 5)
-BR_PAGE = ("<html><body><table><tr><td>" + "<br /><br />\n".join([WRAPPED] * 6) + "</td></tr></table></body></html>")
+VERSES = [f"Verse {n} begins\n  and is wrapped\nby its editor, ¶¶¶ and all" for n in range(4)]
+BR_PAGE = "<body><table><tr><td>" + "<br><BR />\n".join(VERSES) + "<br>a last line</td></tr></table>"
 FALLBACK = "<html><head><title>T</title></head><body><div>{0}</div><div>{1}</div><div><a href='/a'>{2}</a></div></body></html>"
 LONG = "This is a long enough paragraph number {} that nobody repeats anywhere."
 
@@ -45,10 +45,23 @@ def test_article_page(spark):
         "A part", "The third © one."]
 
 
-def test_br_paragraphs_survive(spark):
+def test_breaks_end_paragraphs(spark):
     row = extract_articles(pages(spark, BR_PAGE)).first()
-    parts = row.text.split("\n")
-    assert len(parts) == 6 and all(len(p) > 250 and "¶" not in p for p in parts)
+    assert row.text.split("\n") == [
+        *(f"Verse {n} begins and is wrapped by its editor, ¶¶¶ and all" for n in range(4)), "a last line"]
+
+
+def test_short_lines_without_an_article_element(spark):
+    short = "<p>All short.</p><p>Every line.</p><h2>Why</h2><p>So.</p><ul><li><a href='/x'>a link</a></li></ul>"
+    assert extract_articles(pages(spark, short)).first().text == "All short.\nEvery line.\nWhy\nSo."
+
+
+def test_an_author_of_many_pages_is_kept(spark):
+    body = "<h1>Title {0}</h1><p class='author'>by Ann Onymous</p><p>Only here {0}.</p><p>Buy now</p>"
+    df = pages(spark, *(body.format(n) for n in range(4)), host="https://one.org/p")
+    got = {(r.title, r.author, r.text) for r in extract_corpus(df).collect()}
+    assert got == {(f"Title {n}", "Ann Onymous", f"Only here {n}.") for n in range(4)}
+    assert {r.text for r in extract_articles(df).collect()} == {f"Only here {n}.\nBuy now" for n in range(4)}
 
 
 @pytest.mark.parametrize("body", ["", "<html><body></body></html>", None,

@@ -16,11 +16,9 @@ from readlake.functions import (
     is_blocked_ipv4,
     iso_from_string,
     iso_from_unix,
-    mark_br_paragraphs,
     normalize_url,
     paragraphs,
     raw_snapshot_url,
-    restore_br_paragraphs,
     saved_day,
     slugify,
     strip,
@@ -28,6 +26,7 @@ from readlake.functions import (
     url_host,
     yaml_quote,
 )
+from readlake.functions.urls import ipv4_number
 from readlake.functions.text import tokenize_words
 from readlake.functions.urls import TRACKING_PARAMS, has_import_scheme, has_web_scheme
 
@@ -75,7 +74,7 @@ def test_blocked_addresses(spark):
     cases = {"127.0.0.1": True, "169.254.169.254": True, "10.0.0.5": True, "93.184.216.34": False,
              "172.31.0.1": True, "172.32.0.1": False, "192.0.0.9": False, "192.0.0.1": True,
              "240.0.0.1": True, "224.0.0.1": True, "0.0.0.0": True, "8.8.8.8": False}
-    assert evaluate(spark, is_blocked_ipv4, list(cases)) == list(cases.values())
+    assert evaluate(spark, lambda ip: is_blocked_ipv4(ipv4_number(ip)), list(cases)) == list(cases.values())
 
 
 def test_iso_from_unix(spark):
@@ -138,16 +137,6 @@ def test_strip_and_paragraphs_equal_stdlib(spark):
         [line.strip() for line in v.splitlines() if line.strip()] for v in values]
 
 
-def test_br_paragraphs(spark):
-    body = "\n".join(["word " * 13] * 6)
-    page = "<table><td>" + "<br /><br />\n".join([body] * 6) + "</td></table>"
-    marked = evaluate(spark, mark_br_paragraphs, [page, "<p>a<br>b</p>\n", "<pre>x</pre>\n<br><br>"])
-    assert "\n" not in marked[0] and marked[0].count("&#182;&#182;&#182;") == 5
-    assert marked[1:] == ["<p>a<br>b</p>\n", "<pre>x</pre>\n<br><br>"]
-    text = " | first ¶¶¶ second |\nthird ¶¶¶ | "
-    assert evaluate(spark, restore_br_paragraphs, [text]) == ["first\nsecond\nthird"]
-
-
 @pytest.mark.parametrize("text,expected", [
     ("Café señor don't under_score", ["cafe", "senor", "don", "t", "under", "score"]),
     ("Straße øre łódź Ünï é", ["straße", "øre", "łodz", "uni", "e"]),

@@ -15,6 +15,7 @@ from readlake.operators.search import (
     matches,
     near,
     phrase,
+    postings_of,
     search,
     search_batch,
     term,
@@ -45,9 +46,11 @@ def articles(spark):
 @pytest.fixture(scope="module")
 def index(spark, articles):
     root = scratch_path(spark, "index")
-    write_index(articles.where("id <= 25"), root, 0, split_from=0)
+    write_index(articles.where("id <= 25"), root, 0)
+    write_index(articles, root, 1)  # replaced by the next line
     write_index(articles.where("id > 25"), root, 1)
-    write_index(articles.where("id > 25"), root, 1)  # a replayed batch changes nothing
+    write_index(articles, root, 2)  # replaced by nothing
+    write_index(articles.limit(0), root, 2)
     return Index.read(spark, root)
 
 
@@ -187,12 +190,32 @@ def plan_of(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-def test_plan_prunes_buckets_and_stays_native(index):
-    plan = plan_of(matches(index, both(term("sea"), phrase("owl in", prefix=True))))
-    filters = [line for line in plan.split("\n") if line.startswith("PartitionFilters")]
-    assert any("term_bucket" in line for line in filters)
-    assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
-    assert "Exchange hashpartitioning(term" not in plan
+def test_plan_prunes_buckets_and_reads_postings_once(index):
+    for query in (term("sea"), both(term("sea"), term("owl")), either(term("sea"), without(term("owl"), term("ink")))):
+        plan = plan_of(matches(index, query))
+        scans = [line for line in plan.split("\n") if line.startswith("Location") and "/postings/" in line]
+        assert len(scans) == 1
+        filters = [line for line in plan.split("\n") if line.startswith("PartitionFilters")]
+        assert any("term_bucket" in line for line in filters)
+        assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan
+        assert "Exchange hashpartitioning(term" not in plan
+
+
+def test_one_letter_prefix_prunes_buckets(index):
+    everything = index.postings.select("term_bucket").distinct().count()
+    read = postings_of(index, [("s", True)])
+    assert {r.term[0] for r in read.select("term").distinct().collect()} == {"s"}
+    plan = plan_of(read)
+    filters = next(line for line in plan.split("\n") if line.startswith("PartitionFilters"))
+    assert "term_bucket" in filters and everything > 1
+
+
+def test_large_distances_compare_positions(index, fts):
+    for distance in (0, 70, 1000):
+        got = {r.id: r.score for r in matches(index, near("sea", "owl", "paper", distance=distance)).collect()}
+        expected = fts(f"NEAR(sea owl paper, {distance})")
+        assert got.keys() == expected.keys()
+        assert all(abs(got[i] - expected[i]) < 1e-9 for i in got)
 
 
 def test_totals_count_every_article(index):

@@ -68,6 +68,20 @@ def test_bookmarks(spark, tmp_path):
     assert rows[2].tags == ["x", "Y z"]
 
 
+def test_links_are_read_as_a_parser_does(spark, tmp_path):
+    page = """<!-- <a href="https://no.org/comment">no</a> --><script>var x = '<a href="https://no.org/script">no</a>';</script>
+<style>a:after{content:"<a href='https://no.org/style'>"}</style>
+<a title="a > b" href="https://e.org/gt">Gt</a> <a title="x href=bad" href="https://e.org/title">T</a>
+<a data-href="no" class=plain href=https://e.org/bare tags=one,two>Bare</a><a HREF = 'https://e.org/"q"'>Q</a>
+<a title='href="https://no.org/value"'>none</a><a href="https://e.org/lost">lost <a href="https://e.org/won">won</a>
+<a disabled href="https://e.org/flag" add_date="1500000000">F<!-- > -->lag</a><!-- <a href="https://no.org/end">"""
+    _, rows = load(spark, put(tmp_path, "p.html", page))
+    assert [(r.url, r.title) for r in rows] == [
+        ("https://e.org/gt", "Gt"), ("https://e.org/title", "T"), ("https://e.org/bare", "Bare"), ('https://e.org/"q"', "Q"),
+        ("https://e.org/won", "won"), ("https://e.org/flag", "Flag")]
+    assert rows[2].tags == ["one", "two"] and rows[5].added_at == "2017-07-14T02:40:00Z"
+
+
 def test_pocket_html(spark, tmp_path):
     path = put(tmp_path, "ril.html", '<ul><li><a href="https://e.org/a" time_added="1451606400" tags="x">T</a></li></ul>')
     kind, rows = load(spark, path)
@@ -136,9 +150,10 @@ def test_decode_responses(spark):
     rows = [(1, "gzip", gzip.compress(page.encode())), (2, " X-GZIP ", gzip.compress(page.encode())),
             (3, "deflate", zlib.compress(page.encode())), (4, "deflate", raw.compress(page.encode()) + raw.flush()),
             (5, None, page.encode()), (6, "gzip", b"broken"), (7, None, None),
-            (8, None, b'<meta charset="latin-1">\xe9')]
+            (8, None, b'<meta charset="latin-1">\xe9'),
+            (9, None, b'<meta data-long="' + b"x" * 500 + b'" charset="latin-1">\xe9')]
     df = spark.createDataFrame(rows, "i int, content_encoding string, body binary")
     got = {r.i: r for r in decode_responses(df).collect()}
     assert all(got[i].html == page for i in range(1, 6))
     assert got[6].html is None and "gzip" in got[6].error.lower() and got[7].html is None
-    assert got[8].html.endswith("é")
+    assert got[8].html.endswith("é") and got[9].html.endswith("é")

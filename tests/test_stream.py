@@ -73,11 +73,75 @@ def test_replayed_batch_changes_nothing(spark, place):
     assert store.index().corpus().first().n_docs == 3
 
 
-def test_size_limit(spark, monkeypatch):
-    monkeypatch.setattr(capture, "MAX_PAGE_BYTES", 20)
+def test_a_batch_that_runs_again_with_other_pages_replaces_the_first(spark, place):
+    _, store = place
+
+    def batch(*rows):
+        full = [(n, f"https://e.org/{n}", PAGE.format(n, word), None) for n, word in rows]
+        return spark.createDataFrame(full, capture.CAPTURE_SCHEMA)
+
+    save_captures(store, batch((1, "alpha"), (2, "beta")), 0, NOW())
+    save_captures(store, batch((3, "gamma")), 1, NOW())
+    save_captures(store, batch((1, "zulu")), 0, NOW())
+    assert {r.id: r.url for r in store.articles().collect()} == {1: "https://e.org/1", 3: "https://e.org/3"}
+    assert {w: matches(store.index(), term(w)).count() for w in ("alpha", "beta", "gamma", "zulu")} == {
+        "alpha": 0, "beta": 0, "gamma": 1, "zulu": 1}
+    assert store.index().corpus().first().n_docs == 2
+    save_captures(store, batch(), 0, NOW())
+    assert [r.id for r in store.articles().collect()] == [3] and outcomes(store).keys() == {3}
+    folders = store.spark._jvm.org.apache.hadoop.fs.Path(f"{store.root}/articles/batch_id=*/generation=*")
+    files = folders.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert len(files.globStatus(folders)) == 4
+    store.vacuum()
+    assert len(files.globStatus(folders)) == 2 and store.articles().count() == 1
+
+
+def test_merged_batches_read_the_same_and_are_closed(spark, place):
+    _, store = place
+    for n in range(4):
+        df = spark.createDataFrame([(n, f"https://e.org/{n}", PAGE.format(n, f"word{n} some"), None)], capture.CAPTURE_SCHEMA)
+        save_captures(store, df, n, NOW())
+
+    def state():
+        return (sorted(store.articles().drop("batch_id").collect()), outcomes(store), store.index().corpus().first(),
+                sorted(store.index().document_frequencies().collect()),
+                sorted((r.term, r.id, r.dl, r.at) for r in store.index().postings.collect()))
+
+    before = state()
+    store.merge([0, 1, 2], {"outcomes": capture.OUTCOME_SCHEMA})
+    assert state() == before and store.last_id() == 4
+    store.vacuum()
+    assert state() == before
+    with pytest.raises(ValueError, match="merged"):
+        save_captures(store, spark.createDataFrame([], capture.CAPTURE_SCHEMA), 1, NOW())
+    with pytest.raises(ValueError):
+        store.merge([3, 77])
+    df = spark.createDataFrame([(9, "https://e.org/9", PAGE.format(9, "more"), None)], capture.CAPTURE_SCHEMA)
+    assert [r.id for r in save_captures(store, df, 4, NOW()).collect()] == [5]
+
+
+def test_links_are_added_as_a_batch(spark, place):
+    _, store = place
+    web = Web(
+        spark.createDataFrame([("https://in.org/a", 200, None, PAGE.format("A", "inner")),
+                               ("https://in.org/a", 500, "again", None)],
+                              "url string, status int, error string, html string"),
+        spark.createDataFrame([], "url string, html string"),
+        spark.createDataFrame([], "url string, hop int, target string"),
+        spark.createDataFrame([("in.org", "10.1.1.1")], "host string, ip string"))
+    links = spark.createDataFrame([(1, "https://in.org/a/?ref=x"), (2, "https://in.org/a"), (3, "https://in.org/none"),
+                                   (4, "gopher://x"), (5, None)], "event_id bigint, url string")
+    got = {r.event_id: (r.ok, r.reason, r.id) for r in capture.add_links(store, links, web, 0, NOW()).collect()}
+    assert got == {1: (True, None, 1), 2: (False, "already saved", None), 3: (False, "no response", None),
+                   4: (False, "unsupported URL scheme", None), 5: (False, "no url given", None)}
+    guarded = capture.add_links(store, links, web, 1, NOW(), guard=True).where("event_id <= 3").collect()
+    assert {r.reason for r in guarded} == {"internal-host in.org"}
+
+
+def test_size_limit(spark):
     df = spark.createDataFrame([(1, "https://e.org", "é" * 10, None), (2, "https://e.org", "é" * 11, None)],
                                capture.CAPTURE_SCHEMA)
-    assert [r.refused for r in capture.check_captures(df).orderBy("event_id").collect()] == [
+    assert [r.refused for r in capture.check_captures(df, 20).orderBy("event_id").collect()] == [
         None, "missing or oversized body"]
 
 
@@ -101,7 +165,7 @@ def test_named_pages_are_guarded_and_looked_up(spark, place):
     rows += [(5, "https://local.org/", None, None), (6, "https://pub.org/a", None, None)]
     done = save_captures(store, spark.createDataFrame(rows, capture.CAPTURE_SCHEMA), 0, NOW(), web)
     got = {r.event_id: (r.ok, r.url, r.reason) for r in done.collect()}
-    blocked = "local.org resolves to a non-public address"
+    blocked = "internal-host local.org"
     assert got == {
         0: (True, "https://pub.org/a", None), 1: (True, "https://pub.org/final", None),
         2: (True, "https://pub.org/refused", None), 3: (False, "https://pub.org/down", "timed out"),
