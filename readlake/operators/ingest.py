@@ -188,6 +188,11 @@ def summary(done: DataFrame) -> DataFrame:
     )
 
 
+def counts(done: DataFrame) -> DataFrame:
+    """(status, source, n_items): how many items of the list ended how."""
+    return done.groupBy("status", "source").agg(F.sum("n_items").alias("n_items"))
+
+
 def failures(done: DataFrame, limit: int | None = None) -> DataFrame:
     """(url, reason) in list order; the first few for a screen, or all for a file."""
     rows = done.where(F.col("status") == "failed").orderBy(*_ORDER)

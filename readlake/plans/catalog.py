@@ -24,6 +24,7 @@ from ..functions import (
     slugify,
     tokens,
 )
+from ..files import arrow_location
 from ..operators import export, extract, ingest, resolve
 from ..operators import search as s
 from ..operators.index import Index
@@ -179,6 +180,29 @@ def build_index(t: Tables) -> DataFrame:
     )
 
 
+_POSTINGS = o.statement("""SELECT w.term, w.id, max(d.dl) AS dl,
+    string_agg(CAST(field * 536870912 + pos AS STRING), ' ' ORDER BY field, pos) AS at
+    FROM words w JOIN lengths d ON d.id = w.id GROUP BY w.term, w.id""")
+
+
+@query(_POSTINGS)
+def index_rerun(t: Tables) -> DataFrame:
+    """All documents in batches of their sources; one is written with other rows first, one
+    with rows that it loses, and two are merged in the end."""
+    store = Store(t.spark, scratch_path(t.spark, "rerun"))
+    rows, tags = t["articles"], t["tags"]
+    source = F.regexp_extract("url", "src([0-9]+)", 1).cast("int")
+    parts = {1: source < 5, 2: (source >= 5) & (source < 10), 3: (source >= 10) | source.isNull(), 4: F.lit(False)}
+    for batch_id, part in {**parts, 1: parts[2], 4: parts[1]}.items():
+        store.append(rows.where(part), tags.limit(0), batch_id)
+    for batch_id in (1, 4):
+        store.append(rows.where(parts[batch_id]), tags.limit(0), batch_id)
+    store.merge([1, 2])
+    return store.index().terms().select(
+        "term", "id", F.col("dl").cast("bigint").alias("dl"), F.array_join(F.col("at").cast("array<string>"), " ").alias("at")
+    )
+
+
 @query(o.statement("SELECT term, count(DISTINCT id) AS df, count(*) AS hits FROM words GROUP BY term"))
 def index_stats(t: Tables) -> DataFrame:
     return _index(t).document_frequencies()
@@ -374,10 +398,11 @@ def import_summary(t: Tables) -> DataFrame:
     return ingest.summary(_outcomes(t))
 
 
-@query(o.statement("""SELECT event_type AS kind, count(*) AS n_items FROM visits GROUP BY event_type"""))
+@query(o.statement("""SELECT status, source, CAST(sum(n) AS BIGINT) AS n_items FROM (
+    SELECT status, source, n_items AS n FROM outcomes UNION ALL SELECT 'failed', NULL, 1 FROM rejects)
+    GROUP BY status, source"""))
 def import_counts(t: Tables) -> DataFrame:
-    kind = F.split_part("tag_text", F.lit("|"), F.lit(1)).alias("kind")
-    return t["saves"].groupBy(kind).agg(F.count(F.lit(1)).alias("n_items"))
+    return ingest.counts(_outcomes(t))
 
 
 def _import_store(t: Tables) -> Store:
@@ -470,7 +495,8 @@ def _link(date_attribute: str, with_tags: bool) -> Column:
     shown = F.concat(F.lit("<b>"), escape_html(F.col("title")), F.lit("</b>"))
     tags = F.concat(F.lit('" TAGS="'), F.replace("tag_text", F.lit("|"), F.lit(",")))
     return F.concat(
-        F.lit('<DT><A HREF="'), escape_html(F.col("url")), F.lit(f'" {date_attribute}="'),
+        F.lit('<!-- <A HREF="http://no.example/1">no</A> --><script>var x = \'<a href="http://no.example/2">no</a>\';</script>'),
+        F.lit('<DT><A TITLE="a > b href=bad" HREF="'), escape_html(F.col("url")), F.lit(f'" {date_attribute}="'),
         F.col("saved_unix").cast("string"), tags if with_tags else F.lit(""), F.lit('">'),
         F.coalesce(shown, F.lit("")), F.lit("</A>"),
     )
@@ -534,6 +560,11 @@ _OMNIVORE = o.statement(f"""SELECT url, title, author, added_at,
 @query(_OMNIVORE)
 def import_omnivore(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "omnivore")
+    _write_omnivore(t, root)
+    return _item_columns(exports.read_omnivore(t.spark, root))
+
+
+def _write_omnivore(t: Tables, root: str) -> None:
     entries = _omnivore_entries(t)
     metadata = entries.select(
         F.concat(F.lit("metadata_"), F.col("bundle").cast("string"), F.lit(".json")).alias("path"),
@@ -544,7 +575,19 @@ def import_omnivore(t: Tables) -> DataFrame:
     )
     export.write_files(metadata, root)
     export.write_files(texts, f"{root}/content")
-    return _item_columns(exports.read_omnivore(t.spark, root))
+
+
+def _write_bytes(files: DataFrame, folder: str) -> None:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = arrow_location(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with system.open_output_stream(f"{base}/{path}", compression=None) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.mapInPandas(write, "n bigint").write.format("noop").mode("overwrite").save()
 
 
 def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -580,6 +623,41 @@ def detect_export_kind(t: Tables) -> DataFrame:
     return found.select(F.substring_index("path", "/", -1).alias("name"), "kind")
 
 
+@query(o.statement(f"""SELECT url, title, added_at, text, tags FROM (
+    SELECT url, title || chr(10) || 'again' AS title, {_UNIX_ISO} AS added_at, {_NO} AS text, replace(trim(tag_text), '|', ',') AS tags FROM saves
+    UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, {_NO} FROM saves
+    UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, '' FROM saves
+    UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, {_TYPED_TAGS} FROM saves
+    UNION ALL SELECT url, {_NO}, {_NO}, {_NO}, {_NO} FROM saves WHERE url LIKE 'http://%' OR url LIKE 'https://%'
+    UNION ALL SELECT url, title, added_at, CASE WHEN author IS NOT NULL THEN nullif({o.strip('text')}, '') END,
+        'Saved,' || substr(added_at, 1, 7) FROM articles
+    UNION ALL SELECT url, title, added_at, CASE WHEN author IS NOT NULL THEN nullif({o.strip('text')}, '') END,
+        'Saved,' || substr(added_at, 1, 7) FROM articles)"""))
+def import_mixed_folder(t: Tables) -> DataFrame:
+    """Exports of every kind in one folder, with telling names or without."""
+    root = scratch_path(t.spark, "mixed-exports")
+    saves = t["saves"]
+    pocket = saves.select(
+        F.concat("title", F.lit("\nagain")).alias("Title"), F.col("url").alias(" URL "), F.col("saved_unix").alias("time_added"),
+        F.col("tag_text").alias("tags"),
+    )
+    instapaper = saves.select(F.col("url").alias("URL"), F.col("title").alias("Title"), F.col("saved_unix").alias("Timestamp"))
+    for name, rows in (("pocket", pocket), ("instapaper", instapaper)):
+        rows.write.csv(f"{root}/{name}", header=True, quote='"', escape='"')
+    page = F.array_join(F.collect_list("value"), "\n").alias("content")
+    several = F.pmod("line_no", F.lit(8)).cast("string")
+    for folder, suffix, link in (("bookmarks", ".HTML", _link("ADD_DATE", False)), ("pocket-pages", "", _link("time_added", True))):
+        pages = saves.select(several.alias("n"), link.alias("value")).groupBy("n").agg(page)
+        export.write_files(pages.select(F.concat("n", F.lit(suffix)).alias("path"), "content"), f"{root}/{folder}")
+    urls = saves.select(several.alias("n"), F.col("url").alias("value")).groupBy("n").agg(page)
+    export.write_files(urls.select(F.concat("n", F.lit(".list")).alias("path"), "content"), f"{root}/urls")
+    _write_omnivore(t, f"{root}/omnivore")
+    zips = _omnivore_entries(t).mapInPandas(_zip, "path string, content binary")
+    _write_bytes(zips, f"{root}/zips")
+    found = exports.read_exports(t.spark, root)
+    return found.select("url", "title", "added_at", "text", F.array_join("tags", ",").alias("tags"))
+
+
 # -- responses, copies, redirects, addresses -------------------------------------------
 
 
@@ -742,10 +820,26 @@ def export_toc(t: Tables) -> DataFrame:
     return export.table_of_contents(export.by_tag(_articles(t), _tags(t)))
 
 
-@query(o.statement(f"""SELECT m.id, m.path, m.content FROM ({_markdown()}) m
-    WHERE m.id IN (SELECT id FROM words WHERE term = 'attion')"""))
+_RANKED = (
+    "SELECT id, row_number() OVER (ORDER BY score, id) AS rank FROM ("
+    + o.ranked({"h0": o.has_word("attion"), "h1": o.has_word("eron")}, "(jh0.f > 0 OR jh1.f > 0)", digits=None)
+    + ")"
+)
+
+
+def _found(t: Tables) -> DataFrame:
+    return export.select_articles(_articles(t), _index(t), s.either(s.term("attion"), s.term("eron")))
+
+
+@query(f"""SELECT m.id, r.rank, m.path, m.content FROM ({o.statement(_markdown())}) m JOIN ({_RANKED}) r ON r.id = m.id""")
 def export_search(t: Tables) -> DataFrame:
-    return export.markdown(export.select_articles(_articles(t), _index(t), s.term("attion")))
+    return export.markdown(_found(t))
+
+
+@query(f"""SELECT 'found' AS book, r.rank AS n, 'a' || CAST(r.rank AS STRING) || '.xhtml' AS file, b.name, b.id, b.content
+    FROM ({o.statement(f"SELECT id, name, {_CHAPTER} AS content FROM ({_BOOKS})")}) b JOIN ({_RANKED}) r ON r.id = b.id""")
+def export_search_book(t: Tables) -> DataFrame:
+    return export.chapters(export.whole_book(_found(t), "found"))
 
 
 # -- captures --------------------------------------------------------------------------
@@ -759,35 +853,85 @@ _CAPTURED = f"""SELECT c.event_id, CASE WHEN c.event_type = 'error' THEN c.raw_u
     FROM visits v JOIN pages p ON p.page_id = v.page_id) c"""
 
 
-def _capture_store(t: Tables) -> Store:
-    """All captures sent through the stream, several micro-batches of files."""
+def _web(t: Tables) -> capture.Web:
+    html = t["pages"].select("page_id", "html")
+    responses = t["responses"].join(html, "page_id").drop("page_id")
+    copies = resolve.pick_snapshots(t["snapshots"]).join(t["web_pages"], "url").join(html, "page_id").select("url", "html")
+    return capture.Web(responses.union(responses), copies, t["hops"], t["resolutions"])
 
-    def run() -> str:
-        root = scratch_path(t.spark, "captures")
-        inbox = f"{root}/inbox"
+
+def _inbox(t: Tables) -> str:
+    """All captures as files in two deliveries, so that the second micro-batch meets saved pages."""
+
+    def write() -> str:
+        inbox = scratch_path(t.spark, "inbox")
         captures = t.sql(_CAPTURES).withColumn("captured_at", F.replace("added_at", F.lit("T"), F.lit(" ")))
         middle = t["events"].agg(F.avg("event_id")).scalar()
-        # Two deliveries of two files, so that the second micro-batch meets saved pages.
         for delivery in (F.col("event_id") <= middle, F.col("event_id") > middle):
             captures.where(delivery).drop("added_at").repartition(2).write.mode("append").json(inbox)
+        return inbox
+
+    return _once("inbox", t, write)
+
+
+def _capture_store(t: Tables) -> Store:
+    """All captures sent through the stream, in two micro-batches; pages that are only named
+    are guarded and looked up."""
+
+    def run() -> str:
+        root = scratch_path(t.spark, "captures")
         store = Store(t.spark, f"{root}/store")
-        stream = capture.read_captures(t.spark, inbox, files_per_batch=2)
-        capture.capture_stream(stream, store, f"{root}/checkpoint", F.lit(NOW)).awaitTermination()
+        stream = capture.read_captures(t.spark, _inbox(t), files_per_batch=2)
+        capture.capture_stream(stream, store, f"{root}/checkpoint", F.lit(NOW), _web(t)).awaitTermination()
         return f"{root}/store"
 
     return Store(t.spark, _once("captures", t, run))
 
 
-@query(o.statement(f"""SELECT event_id, url, reason, ok FROM (SELECT event_id, url, CASE
-    WHEN event_type = 'error' THEN 'unsupported URL scheme' WHEN event_type = 'view' THEN 'no article text'
-    WHEN event_type = 'signup' THEN 'no response'
-    WHEN first THEN NULL ELSE 'already saved' END AS reason,
-    event_type IN ('click', 'purchase') AND first AS ok
-    FROM (SELECT *, event_id = min(CASE WHEN event_type IN ('click', 'purchase') THEN event_id END)
-          OVER (PARTITION BY url) AS first FROM ({_CAPTURED})))"""))
+# What becomes of a capture: refused, sent with its page, or named and looked up by the add rule.
+_ADDED = """SELECT url AS given_url, CASE WHEN source IS NULL THEN coalesce(
+        CASE WHEN status = 200 OR (refused AND raw_url IS NOT NULL) THEN 'no article text' END, error,
+        'HTTP Error ' || CAST(status AS STRING), 'no response') END AS reason, source, page_id
+    FROM (SELECT *, CASE WHEN status = 200 AND text <> '' THEN 'live'
+            WHEN refused AND raw_url IS NOT NULL AND text <> '' THEN 'wayback' END AS source
+          FROM (SELECT s.*, r.page_id, coalesce(s.status IN (403, 404, 410, 429, 451) OR s.status >= 500, false) AS refused
+                FROM sources s JOIN responses r ON r.url = s.url))"""
+_JUDGED = f"""SELECT v.event_id, CASE WHEN v.event_type = 'error' THEN c.raw_url
+        WHEN v.event_type <> 'signup' THEN c.url WHEN a.source = 'wayback' THEN r.given_url ELSE r.final_url END AS url,
+        CASE WHEN v.event_type = 'error' THEN 'unsupported URL scheme' WHEN v.event_type = 'view' THEN 'no article text'
+             WHEN v.event_type = 'signup' THEN coalesce(g.reason, a.reason) END AS refused,
+        CASE WHEN v.event_type = 'signup' THEN a.page_id ELSE v.page_id END AS content_id
+    FROM visits v JOIN ({_CAPTURED.replace("c.page_id FROM (SELECT", "c.page_id, c.raw_url, c.page_url FROM (SELECT")}) c ON c.event_id = v.event_id
+    JOIN resolved r ON r.url = c.page_url JOIN guarded g ON g.url = c.page_url
+    LEFT JOIN ({_ADDED}) a ON a.given_url = r.given_url"""
+_WINNERS = f"""SELECT event_id, url, content_id, row_number() OVER (ORDER BY event_id) AS id FROM (
+    SELECT event_id, url, content_id, event_id = min(event_id) OVER (PARTITION BY url) AS first
+    FROM ({_JUDGED}) WHERE refused IS NULL) WHERE first"""
+
+
+@query(o.statement(f"""SELECT j.event_id, j.url, w.id IS NOT NULL AS ok,
+    CASE WHEN w.id IS NULL THEN coalesce(j.refused, 'already saved') END AS reason, w.id
+    FROM ({_JUDGED}) j LEFT JOIN ({_WINNERS}) w ON w.event_id = j.event_id"""))
 def capture_stream(t: Tables) -> DataFrame:
-    # Which of a url's captures comes first depends on the order of the micro-batches.
-    return capture.read_outcomes(_capture_store(t)).select("event_id", "url", "reason", "ok")
+    return capture.read_outcomes(_capture_store(t)).select("event_id", "url", "ok", "reason", "id")
+
+
+@query(o.statement(f"""SELECT w.id, w.url, a.title, a.text FROM ({_WINNERS}) w
+    JOIN page_articles a ON a.page_id = w.content_id"""))
+def capture_articles(t: Tables) -> DataFrame:
+    return _capture_store(t).articles().select("id", "url", "title", "text")
+
+
+@query(o.statement(f"""SELECT p.page_id AS event_id, CASE WHEN a.source = 'wayback' THEN r.given_url ELSE r.final_url END AS url,
+    p.page_id = min(CASE WHEN a.reason IS NULL THEN p.page_id END) OVER (PARTITION BY
+        CASE WHEN a.source = 'wayback' THEN r.given_url ELSE r.final_url END) IS TRUE AS ok, a.reason
+    FROM pages p JOIN resolved r ON r.url = p.url LEFT JOIN ({_ADDED}) a ON a.given_url = r.given_url"""))
+def add_links(t: Tables) -> DataFrame:
+    """A reader's own links, without the guard."""
+    store = Store(t.spark, scratch_path(t.spark, "added"))
+    links = t["pages"].select(F.col("page_id").alias("event_id"), "url")
+    added = capture.add_links(store, links, _web(t), 0, F.lit(NOW))
+    return added.select("event_id", "url", "ok", F.when(F.col("reason") != capture.ALREADY_SAVED, F.col("reason")).alias("reason"))
 
 
 @query(o.statement(f"""SELECT url, arg_min(event_id, (added_at, event_id)) AS event_id FROM (
@@ -798,11 +942,22 @@ def capture_dedup(t: Tables) -> DataFrame:
     return capture.first_captures(captures).select("url", "event_id")
 
 
+@query(o.statement(f"SELECT DISTINCT {o.normalized('url')} AS url FROM ({_CAPTURES})"))
+def capture_dedup_stream(t: Tables) -> DataFrame:
+    """The same on the stream: repeats within a delay that covers all captures."""
+    root = scratch_path(t.spark, "firsts")
+    stream = capture.first_captures(capture.read_captures(t.spark, _inbox(t), 2), "10000 days")
+    (
+        stream.select("url").writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    )
+    return t.spark.read.schema("url string").parquet(f"{root}/out")
+
+
 @query(o.statement(f"""SELECT term, count(*) AS df, CAST(sum(f) AS BIGINT) AS hits FROM (
-    SELECT page_id, term, count(*) AS f FROM (
-        SELECT page_id, unnest({o.tokens("title || ' ' || text")}) AS term FROM page_articles
-        WHERE page_id IN (SELECT arg_min(page_id, event_id) FROM ({_CAPTURED})
-                          WHERE event_type IN ('click', 'purchase') GROUP BY url))
-    GROUP BY page_id, term) GROUP BY term"""))
+    SELECT id, term, count(*) AS f FROM (
+        SELECT w.id, unnest({o.tokens("a.title || ' ' || a.text")}) AS term FROM ({_WINNERS}) w
+        JOIN page_articles a ON a.page_id = w.content_id)
+    GROUP BY id, term) GROUP BY term"""))
 def incremental_index(t: Tables) -> DataFrame:
     return _capture_store(t).index().document_frequencies()

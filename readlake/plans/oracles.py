@@ -235,10 +235,12 @@ def statement(body: str) -> str:
 
 # -- search --------------------------------------------------------------------
 
-_FOUND = "a.id, a.url, a.title, a.author, a.added_at, round({score}, 6) AS score"
+_FOUND = "a.id, a.url, a.title, a.author, a.added_at, {score} AS score"
 
 
-def ranked(hits: dict[str, str], matched: str, counted: dict[str, str] | None = None) -> str:
+def ranked(
+    hits: dict[str, str], matched: str, counted: dict[str, str] | None = None, digits: int | None = 6
+) -> str:
     """Rank articles: ``hits`` gives (id, f) per phrase, ``matched`` the condition.
 
     ``counted`` gives other hit counts for the score where these differ (NEAR).
@@ -252,7 +254,8 @@ def ranked(hits: dict[str, str], matched: str, counted: dict[str, str] | None =
         joins.append(f"LEFT JOIN {near} AS j{k} ON j{k}.id = a.id")
         part = weight(f"j{k}.f", f"(SELECT count(*) FROM {k})")
         terms.append(f"coalesce({part}, 0)")
-    score = _FOUND.format(score=" + ".join(terms))
+    total = " + ".join(terms)
+    score = _FOUND.format(score=total if digits is None else f"round({total}, {digits})")
     body = (
         f"SELECT {score} FROM articles a JOIN lengths d ON d.id = a.id CROSS JOIN corpus c "
         f"{' '.join(joins)} WHERE {matched}"
