@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .columns import fresh
 from .components import components
 from .text import slices
 
@@ -209,10 +210,10 @@ def keep_one(
     smallest id (null last), of those the one whose text has the smallest hash."""
     found = _grouped(documents, id_column, text_column, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("kept")
-    kept = found.groupBy("root").agg(first).select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_hash"))
-    name = "text_hash"
-    while name in documents.columns:
-        name += "_"
+    name, own_id, own_hash = fresh(documents, "text_hash", "kept_id", "kept_hash")
+    kept = found.groupBy("root").agg(first).select(
+        F.col("kept.doc_id").alias(own_id), F.col("kept.text_hash").alias(own_hash)
+    )
     keyed = documents.withColumn(name, F.xxhash64(F.col(f"`{text_column}`")))
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.col(name) == F.col("_hash"))
+    same = F.col(f"`{id_column}`").eqNullSafe(F.col(own_id)) & (F.col(name) == F.col(own_hash))
     return keyed.join(kept, same, "left_semi").dropDuplicates([id_column, name]).drop(name)
