@@ -160,16 +160,20 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sent = distinct.mapInArrow(placed, "anchor bigint, fp bigint, home boolean")
     homes = materialize(sent.where("home").select("anchor", F.col("fp").alias("at_home")), "homes")
     dense = homes.groupBy("anchor").count().where(F.col("count") > DENSE_HOME).select("anchor")
+    # A dense home has one mark instead of its fingerprints: what is sent there is a crowd.
+    marks = homes.join(dense, "anchor", "left_anti").union(dense.withColumn("at_home", F.lit(None).cast("bigint")))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("at_home"))) <= threshold
-    pairs = (
+    met = materialize(
         sent.select("anchor", "fp")
-        .join(homes.join(dense, "anchor", "left_anti").hint("shuffle_hash"), "anchor")
-        .where((F.col("fp") < F.col("at_home")) & near)
-        .select(F.col("fp").alias("a"), F.col("at_home").alias("b"))
+        .join(marks.hint("shuffle_hash"), "anchor")
+        .where(F.col("at_home").isNull() | ((F.col("fp") < F.col("at_home")) & near))
+        .select("fp", "at_home"),
+        "met",
     )
-    if not dense.take(1):
+    pairs = met.where("at_home IS NOT NULL").select(F.col("fp").alias("a"), F.col("at_home").alias("b"))
+    crowd = met.where("at_home IS NULL").select("fp").distinct()
+    if not crowd.take(1):
         return pairs
-    crowd = sent.join(dense, "anchor", "left_semi").select("fp").distinct()
     around = materialize(crowd.mapInArrow(balls, "centre bigint, fp bigint"), "balls")
     # Neighbours of one string differ in at most two bits; two strings that differ in at
     # most two bits share a neighbour.
