@@ -151,8 +151,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     chances = softmax(logits / model.temperature)
     sure = chances.max(1)[chances.argmax(1) == right]
-    # Never so high that a text with a clear majority goes.
-    model.threshold = float(min(0.5, np.quantile(sure, REJECTED))) if len(sure) else 0.0
+    # Halfway from knowing nothing to the least sure of the rows that were right: texts like
+    # those are never near it.
+    nothing = 1 / len(languages)
+    least = float(np.quantile(sure, REJECTED)) if len(sure) else nothing
+    model.threshold = nothing + 0.5 * (least - nothing)
     return model
 
 
