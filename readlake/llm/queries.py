@@ -94,3 +94,49 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.chat_format(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op5_quotation_linking"] = r"""
+WITH messages AS (
+  SELECT row_number() OVER () AS message_no, conv_id, turn, coalesce(role, 'unknown') AS role,
+    string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS lines
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+numbered AS (
+  SELECT message_no, conv_id, turn, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM messages),
+marked AS (
+  SELECT *, CASE WHEN regexp_matches(line, '^[ \t]{0,3}>')
+    THEN len(regexp_replace(regexp_extract(line, '^[ \t>]*>'), '[^>]', '', 'g')) ELSE 0 END AS depth FROM numbered),
+bodies AS (
+  SELECT *, CASE WHEN depth > 0 THEN regexp_replace(line, '^[ \t>]*>[ \t]?', '') ELSE line END AS body FROM marked),
+worded AS (
+  SELECT *, trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')) AS words FROM bodies),
+cut AS (
+  SELECT *, coalesce(depth <> lag(depth) OVER w OR (words = '') <> (lag(words) OVER w = ''), true) AS opens
+  FROM worded WINDOW w AS (PARTITION BY message_no ORDER BY k)),
+runs AS (SELECT *, sum(opens::INT) OVER (PARTITION BY message_no ORDER BY k) AS run FROM cut),
+passages AS (
+  SELECT message_no, conv_id, turn, depth, string_agg(words, ' ' ORDER BY k) AS words
+  FROM runs WHERE words <> '' GROUP BY message_no, conv_id, turn, run, depth),
+quotes AS (
+  SELECT q.message_no, q.conv_id, q.turn, q.depth, (
+    SELECT max(p.turn) FROM passages p
+    WHERE p.depth = 0 AND p.conv_id = q.conv_id AND p.words = q.words AND p.turn < q.turn) AS original_turn
+  FROM passages q WHERE q.depth > 0),
+linked AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(original_turn) AS n_linked,
+    max(original_turn) FILTER (depth = 1) AS quoted
+  FROM quotes GROUP BY conv_id, turn),
+turns AS (
+  SELECT *, row_number() OVER w AS position, lag(turn) OVER w AS before
+  FROM (SELECT DISTINCT conv_id, turn FROM messages) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+unquoted AS (
+  SELECT message_no, regexp_replace(trim(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (depth = 0), ''),
+    ' ' || chr(9) || chr(10) || chr(13)), '\n{3,}', chr(10) || chr(10), 'g') AS message
+  FROM runs GROUP BY message_no)
+SELECT m.conv_id, m.turn, t.position, m.role, coalesce(l.quoted, t.before) AS reply_to,
+  coalesce(l.n_quotes, 0) AS n_quotes, coalesce(l.n_linked, 0) AS n_linked, u.message,
+  '<|' || m.role || '|>' || chr(10) || u.message || chr(10) || '<|end|>' || chr(10) AS formatted
+FROM messages m JOIN unquoted u ON u.message_no = m.message_no
+  JOIN turns t ON t.conv_id = m.conv_id AND t.turn = m.turn
+  LEFT JOIN linked l ON l.conv_id = m.conv_id AND l.turn = m.turn
+"""
