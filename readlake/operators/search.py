@@ -28,6 +28,9 @@ B = 0.75
 IDF_FLOOR = 1e-6
 NEAR_DISTANCE = 10
 
+# A search with a limit up to this looks its articles up by id.
+LOOKED_UP = 1000
+
 # Scores that agree to this many digits are a tie.
 TIE_DIGITS = 9
 
@@ -394,17 +397,18 @@ def search(
 ) -> DataFrame:
     """Matching articles, best first: id, url, title, author, added_at, score.
 
-    With a limit the best ids are picked first, so the join that adds the
-    columns has a right side of at most ``limit`` rows.
+    With a small limit the best ids are found first and then looked up by a filter on the
+    id, by which the articles are ordered: only row groups that hold one of them are read.
     """
     ranked = matches(index, query)
+    columns = articles.select("id", "url", "title", "author", "added_at")
     if limit is not None:
         ranked = ranked.orderBy("score", "id").limit(limit)
-    return (
-        articles.select("id", "url", "title", "author", "added_at")
-        .join(ranked, "id")
-        .orderBy("score", "id")
-    )
+        if limit <= LOOKED_UP:
+            best = ranked.collect()  # at most LOOKED_UP pairs of numbers
+            ranked = articles.sparkSession.createDataFrame(best, ranked.schema)
+            columns = columns.where(F.col("id").isin([row["id"] for row in best]))
+    return columns.join(ranked, "id").orderBy("score", "id")
 
 
 # -- many queries at once ------------------------------------------------------

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from ..functions.text import FOLD_FROM, FOLD_TO, TOKEN, WHITESPACE
-from ..functions.urls import TRACKING_PARAMS
-from ..operators.search import IDF_FLOOR, K1, B
+import unicodedata
+
 from .fixtures import SHARED, references
 
+# Stated here once more, so that a wrong value in the engine shows.
+K1, B, IDF_FLOOR = 1.2, 0.75, 0.000001
+TOKEN = r"[\p{L}\p{M}\p{N}\p{Co}]+"
+WHITESPACE = (
+    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}-\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid ref ref_src source".split()
+# Latin letters with one mark lose it, marks that stand alone too, some variants are folded.
+_LETTERS = [chr(c) for c in range(0xC0, 0x1F00) if chr(c).lower() == chr(c) and unicodedata.decomposition(chr(c)).count(" ") == 1]
+_PLAIN = {c: unicodedata.normalize("NFD", c)[0] for c in _LETTERS if unicodedata.decomposition(c)[0] != "<"}
+_PLAIN = {c: base for c, base in _PLAIN.items() if "a" <= base <= "z" and len(unicodedata.normalize("NFD", c)) == 2}
+_VARIANTS = dict(zip("µſςϐϑϕϖϰϱϵ", "μsσβθφπκρε"))
+_MARKS = "".join(
+    chr(c)
+    for first, last in ((0x300, 0x304), (0x306, 0x30C), (0x30F, 0x30F), (0x311, 0x311), (0x31B, 0x31B), (0x323, 0x328),
+                        (0x32D, 0x32E), (0x330, 0x331))
+    for c in range(first, last + 1)
+    if c not in (0x30D, 0x30E)
+)
+FOLD_FROM = "".join(_PLAIN) + "".join(_VARIANTS) + _MARKS
+FOLD_TO = "".join(_PLAIN.values()) + "".join(_VARIANTS.values())
+
 DUCKDB_WORDS = {
     "{epoch_of_ts}": "CAST(floor(epoch(ts)) AS BIGINT)",
     "{no_text}": "CAST(NULL AS STRING)",
 }
 
 _WS = f"[{WHITESPACE}]"
-_TRACKING = ", ".join(f"'{name}'" for name in TRACKING_PARAMS)
+_TRACKING = ", ".join(f"'{name}'" for name in TRACKING)
 
 
 def _quoted(text: str) -> str:
