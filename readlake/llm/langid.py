@@ -148,14 +148,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
         logs = np.log(softmax(logits / temperature) + 1e-300)
         return -((1 - doubt) * logs[np.arange(len(apart)), right] + doubt * logs.mean(1)).mean()
 
-    model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
+    model.temperature = float(min(np.geomspace(0.05, 200, 80), key=loss))
     chances = softmax(logits / model.temperature)
     sure = chances.max(1)[chances.argmax(1) == right]
-    # Halfway from knowing nothing to the least sure of the rows that were right: texts like
-    # those are never near it.
+    # Nearer to knowing nothing than to the least sure of the rows that were right: texts like
+    # those, and ones that hold two languages, are never below it.
     nothing = 1 / len(languages)
     least = float(np.quantile(sure, REJECTED)) if len(sure) else nothing
-    model.threshold = nothing + 0.5 * (least - nothing)
+    model.threshold = nothing + 0.25 * (least - nothing)
     return model
 
 
