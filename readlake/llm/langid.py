@@ -203,12 +203,12 @@ def fit(
     schema = f"id {source.schema['id'].dataType.simpleString()}, lang string, buckets array<int>, counts array<int>"
     # Repeated ids could make the sample larger than asked for; the order makes reruns agree.
     table = sample.mapInArrow(counted, schema).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(4 * sample_rows).toArrow()
-    rows = [
-        (np.array(b, np.int64), np.array(c, np.float32))
-        for b, c in zip(table.column("buckets").to_pylist(), table.column("counts").to_pylist())
-    ]
-    if not rows:
+    if not table.num_rows:
         return None
+    lists = [table.column(c).combine_chunks() for c in ("buckets", "counts")]
+    starts = lists[0].offsets.to_numpy()
+    buckets, counts = (x.values.to_numpy() for x in lists)
+    rows = [(buckets[a:b], counts[a:b].astype(np.float32)) for a, b in zip(starts, starts[1:])]
     number = {language: k for k, language in enumerate(languages)}
     return train(rows, np.array([number[x] for x in table.column("lang").to_pylist()]), languages)
 
