@@ -145,10 +145,11 @@ class Index:
 
     @staticmethod
     def committed(batches: Generations, folder: str = "") -> "Index":
+        valid = batches.commits()
         return Index(
-            batches.read(f"{folder}postings", POSTINGS_SCHEMA),
-            batches.read(f"{folder}totals", TOTALS_SCHEMA),
-            batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA),
+            batches.read(f"{folder}postings", POSTINGS_SCHEMA, valid=valid),
+            batches.read(f"{folder}totals", TOTALS_SCHEMA, valid=valid),
+            batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA, valid=valid),
         )
 
     def terms(self) -> DataFrame:
@@ -172,9 +173,10 @@ def write_index(articles: DataFrame, root: str, batch_id: int = 0) -> None:
     """Index one batch of articles below a folder of its own; writing the batch again, also
     with other articles or none, replaces it."""
     batches = Generations(articles.sparkSession, root)
-    generation = batches.new(batch_id)
+    valid = batches.commits()
+    generation = batches.new(batch_id, valid)
     write_postings(postings(articles.select("id", *FIELDS)), batches, batch_id, generation)
-    batches.commit(generation, [batch_id], list(TABLES))
+    batches.commit(generation, [batch_id], list(TABLES), valid=valid)
 
 
 def write_postings(

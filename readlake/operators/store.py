@@ -55,7 +55,8 @@ class Store:
         """Write one batch and commit it: articles, their tags, their part of the index, and
         other tables that belong to it."""
         batches = self.batches
-        generation = batches.new(batch_id)
+        valid = batches.commits()
+        generation = batches.new(batch_id, valid)
         rows = articles.select("id", "url", "title", "author", "text", "added_at")
         ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
         batches.write(ordered, "articles", batch_id, generation)
@@ -65,8 +66,8 @@ class Store:
         write_postings(postings(written.select("id", *FIELDS)), batches, batch_id, generation, INDEX)
         for table, frame in (more or {}).items():
             batches.write(frame, table, batch_id, generation)
-        last = largest(written, "id", batches.last_id(before=batch_id))
-        batches.commit(generation, [batch_id], [*OWN_TABLES, *(more or {})], last)
+        last = largest(written, "id", batches.last_id(batch_id, valid))
+        batches.commit(generation, [batch_id], [*OWN_TABLES, *(more or {})], last, valid)
 
     def merge(self, batch_ids: list[int], more: dict[str, str] | None = None) -> None:
         """Rewrite several batches as one, so that many small ones do not slow reading down.
@@ -77,17 +78,17 @@ class Store:
         unknown = sorted(set(batch_ids) - commits.keys())
         if unknown or len(set(batch_ids)) < 2:
             raise ValueError(f"two or more committed batches are needed; not committed: {unknown}")
-        owner, generation = max(batch_ids), batches.new(max(batch_ids))
+        owner, generation = max(batch_ids), batches.new(max(batch_ids), commits)
         last = max(commits[b].last_id for b in batch_ids)
-        articles = batches.read("articles", ARTICLE_SCHEMA, only=batch_ids).drop("batch_id")
+        articles = batches.read("articles", ARTICLE_SCHEMA, only=batch_ids, valid=commits).drop("batch_id")
         ordered = articles.repartitionByRange("id").sortWithinPartitions("id")
         batches.write(ordered, "articles", owner, generation)
         for table, schema in {"tags": TAG_SCHEMA, **(more or {})}.items():
-            rows = batches.read(table, schema, only=batch_ids).drop("batch_id")
+            rows = batches.read(table, schema, only=batch_ids, valid=commits).drop("batch_id")
             batches.write(rows.hint("rebalance"), table, owner, generation)
-        old = batches.read(f"{INDEX}postings", POSTINGS_SCHEMA, only=batch_ids).drop("batch_id")
+        old = batches.read(f"{INDEX}postings", POSTINGS_SCHEMA, only=batch_ids, valid=commits).drop("batch_id")
         write_postings(old, batches, owner, generation, INDEX)
-        batches.commit(generation, sorted(set(batch_ids)), [*OWN_TABLES, *(more or {})], last)
+        batches.commit(generation, sorted(set(batch_ids)), [*OWN_TABLES, *(more or {})], last, commits)
 
     def vacuum(self) -> None:
         """Delete what replaced, merged or unfinished batches have left."""
