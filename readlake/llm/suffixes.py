@@ -156,7 +156,8 @@ def repeats(documents: DataFrame, length: int = LENGTH, text_column: str = "text
         find, "k1 bigint, k2 bigint, anchor bigint, digest bigint, at int, before int, after int"
     )
     found = materialize(found, "anchors")
-    again = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join deals its sides out anew and a common anchor's rows can be split.
+    again = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
     places = materialize(found.join(again, "anchor", "left_semi"), "places")
     ones = [F.first(c).alias(c) for c in ("k1", "k2", "at", "before", "after")]  # all of one row
     kinds = places.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n"), *ones)
