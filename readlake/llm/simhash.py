@@ -157,7 +157,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                     [pa.array((fp[:, None] ^ flips).ravel()), pa.array(np.repeat(fp, 65))], ["centre", "fp"]
                 )
 
-    sent = distinct.mapInArrow(placed, "anchor bigint, fp bigint, home boolean")
+    # Fingerprints are few bytes, what becomes of them is many: as many tasks as the join has.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = distinct.repartition(tasks, "fp").mapInArrow(placed, "anchor bigint, fp bigint, home boolean")
     homes = materialize(sent.where("home").select("anchor", F.col("fp").alias("at_home")), "homes")
     dense = homes.groupBy("anchor").count().where(F.col("count") > DENSE_HOME).select("anchor")
     # A dense home has one mark instead of its fingerprints: what is sent there is a crowd.
