@@ -68,7 +68,11 @@ def first_keys(items: DataFrame) -> DataFrame:
     Only keys are moved; they are combined before the shuffle, so a url that makes up a
     large part of the list costs one row per task.
     """
-    per_file = _addressed(items).groupBy("url", "source_file").agg(
+    return _firsts(_addressed(items))
+
+
+def _firsts(addressed: DataFrame) -> DataFrame:
+    per_file = addressed.groupBy("url", "source_file").agg(
         F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")
     )
     # A few rows per url are left, one per file.
@@ -77,12 +81,17 @@ def first_keys(items: DataFrame) -> DataFrame:
     ).select("url", "first.*", "n_items")
 
 
+def _same_url() -> Column:
+    """Whether an item joined by its place is the one that was meant. Asked of both sides, so
+    that it is not a key of the join: urls are normalized only where places agree."""
+    return F.when(F.col("n_items") > 0, normalize_url(F.col("raw_url"))) == F.col("url")
+
+
 def _with_content(keys: DataFrame, items: DataFrame) -> DataFrame:
     """The keys with what the items at their places say: one row per key. Texts are moved
     once, and repeats of a url do not meet."""
-    place = ["url", *_ORDER]
-    content = _addressed(items).select(*place, "title", "author", "added_at", "text")
-    return keys.join(content, place).dropDuplicates(place)
+    content = _placed(items).select(F.col("url").alias("raw_url"), *_ORDER, "title", "author", "added_at", "text")
+    return keys.join(content, _ORDER).where(_same_url()).drop("raw_url").dropDuplicates(["url", *_ORDER])
 
 
 def deduplicate(items: DataFrame) -> DataFrame:
@@ -94,11 +103,11 @@ def deduplicate(items: DataFrame) -> DataFrame:
 
 def url_tags(items: DataFrame) -> DataFrame:
     """Distinct (url, tag) over all occurrences of a url: repeats bring their tags."""
-    return (
-        _addressed(items)
-        .select("url", F.explode(clean_tags(F.col("tags"))).alias("tag"))
-        .distinct()
-    )
+    return _tags_of(_addressed(items))
+
+
+def _tags_of(addressed: DataFrame) -> DataFrame:
+    return addressed.select("url", F.explode(clean_tags(F.col("tags"))).alias("tag")).distinct()
 
 
 def already_saved(items: DataFrame, saved: DataFrame) -> DataFrame:
@@ -111,19 +120,23 @@ def links_to_fetch(items: DataFrame, saved: DataFrame) -> DataFrame:
     """The urls whose content is needed: not saved yet, and listed without their text."""
     keys = materialize(first_keys(items), "keys")
     fresh = keys.join(known_urls(saved, keys), "url", "left_anti")
-    bare = _addressed(items).where(F.coalesce(F.col("text"), F.lit("")) == "")
-    return fresh.join(bare.select("url", *_ORDER), ["url", *_ORDER], "left_semi").select("url")
+    bare = _placed(items).where(F.coalesce(F.col("text"), F.lit("")) == "")
+    bare = bare.select(F.col("url").alias("raw_url"), *_ORDER)
+    return fresh.join(bare, _ORDER).where(_same_url()).select("url").distinct()
 
 
-def outcomes(items: DataFrame, saved: DataFrame, fetched: DataFrame) -> DataFrame:
+def outcomes(
+    items: DataFrame, saved: DataFrame, fetched: DataFrame, keys: DataFrame | None = None
+) -> DataFrame:
     """What becomes of every url: one row per distinct url and per rejected item.
 
     ``fetched`` is (url, title, author, text, source, reason) for the links that
     brought no text, with a null text where nothing could be had; of several rows for
     one url, the smallest. status is saved, skipped or failed; source is export, live or
-    wayback. Whatever the archive has needs no content: only keys of it are read.
+    wayback. Whatever the archive has needs no content: only keys of it are read. ``keys``
+    are the items' first keys, if they are at hand.
     """
-    keys = materialize(first_keys(items), "keys")
+    keys = materialize(first_keys(items) if keys is None else keys, "keys")
     known = known_urls(saved, keys)
     old = keys.join(known, "url", "left_semi").select(
         "url",
@@ -244,13 +257,15 @@ def run_import(
     """
     saved = store.articles(before=batch_id)
     last = store.last_id(before=batch_id)
-    done = materialize(outcomes(items, saved, fetched), "outcomes")
+    # Every url is normalized once.
+    addressed = materialize(_addressed(items).select("url", *_ORDER, "tags"), "addressed")
+    done = materialize(outcomes(items, saved, fetched, _firsts(addressed)), "outcomes")
     # Ids alone are written once more; the texts go from the outcomes to the archive.
     fresh = done.where(F.col("status") == "saved")
     ids = materialize(
         number_rows(fresh.select("url", *_ORDER), [*_ORDER, "url"], F.lit(last + 1)).select("url", "id"), "ids"
     )
     articles = _stamped(fresh.join(ids, "url"), now)
-    tags = new_tags(url_tags(items), saved.select("url", "id").unionByName(ids), store.tags(before=batch_id))
+    tags = new_tags(_tags_of(addressed), saved.select("url", "id").unionByName(ids), store.tags(before=batch_id))
     store.append(articles, tags, batch_id)
     return ImportResult(done)
