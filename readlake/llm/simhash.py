@@ -209,12 +209,9 @@ def near_duplicates(
     return _grouped(documents, id_column, text_column, threshold).select("doc_id", "fp", "component_id")
 
 
-def keep_one(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD
-) -> DataFrame:
-    """One row of each group of near-duplicates stays, with all its columns: that with the
-    smallest id (null last), of those the one whose text has the smallest hash."""
-    found = _grouped(documents, id_column, text_column, threshold)
+def keep_first(documents: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Of each group in ``found`` (doc_id, text_hash, root) the row with the smallest id (null
+    last), of those the one whose text has the smallest hash."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("kept")
     name, own_id, own_hash = fresh(documents, "text_hash", "kept_id", "kept_hash")
     kept = found.groupBy("root").agg(first).select(
@@ -223,3 +220,11 @@ def keep_one(
     keyed = documents.withColumn(name, F.xxhash64(F.col(f"`{text_column}`")))
     same = F.col(f"`{id_column}`").eqNullSafe(F.col(own_id)) & (F.col(name) == F.col(own_hash))
     return keyed.join(kept, same, "left_semi").dropDuplicates([id_column, name]).drop(name)
+
+
+def keep_one(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD
+) -> DataFrame:
+    """One row of each group of near-duplicates stays, with all its columns: that with the
+    smallest id (null last), of those the one whose text has the smallest hash."""
+    return keep_first(documents, _grouped(documents, id_column, text_column, threshold), id_column, text_column)

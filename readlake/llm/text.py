@@ -110,6 +110,11 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return rolling.hashes(table[raw], starts, ends)
 
 
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run of words, given by the hashes of the words."""
+    return _state()[1].hashes(hashes, starts, ends)
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """The hash of each ``width`` neighbouring words, by the first; texts are not looked at."""
     if len(hashes) < width:
