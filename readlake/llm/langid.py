@@ -3,9 +3,10 @@
 A text is the mean of the embeddings of its subwords (runs of 2 to 4 bytes within a word or
 at its border, hashed into buckets); a linear layer without bias gives one score per
 language. Both are trained in numpy by stochastic gradient descent on a bounded sample. A
-temperature, fitted on rows set apart, makes the scores calibrated; texts whose score is
-below what those rows reach are rejected. Buckets that training has not met are zero, so a
-text of unknown subwords scores the same for all languages.
+temperature, fitted on rows set apart, makes the scores calibrated. A text whose score is
+below what those rows reach is rejected, unless its pieces reach it on average, as those of a
+text in two languages do. Buckets that training has not met are zero, so a text of unknown
+subwords scores the same for all languages.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ DIMENSIONS = 16
 EPOCHS = 6
 RATE = 1.0
 SAMPLE_ROWS = 2400  # labelled rows to learn from, about as many of each language
-MAX_LANGUAGES = 200  # of more labels, the most frequent
+LEAST_ROWS = 12  # but not fewer of a language, however many languages there are
+PIECE = 150  # bytes of a text that are judged by themselves
 REJECTED = 0.002  # share of rightly labelled rows set apart that may fall below the threshold
 UNDETERMINED = "und"
 _STEPS = 1 << 20
@@ -106,12 +108,42 @@ class Model:
         best = chances.argmax(1)
         return best, chances[np.arange(len(best)), best]
 
+    def sure(self, column: pa.Array, score: np.ndarray) -> np.ndarray:
+        """Whether the score of a text, or of its pieces on average, reaches the threshold."""
+        out = score >= self.threshold
+        for k in np.flatnonzero(~out):
+            cut = pieces(column[k].as_py() or "")
+            sizes = [len(piece.encode()) for piece in cut]
+            if len(cut) > 1:
+                out[k] = np.average(self.predict(pa.array(cut))[1], weights=sizes) >= self.threshold
+        return out
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text in order, in parts of about ``PIECE`` bytes."""
+    words = text.split()
+    ends = np.cumsum([len(word.encode()) + 1 for word in words])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PIECE)) + 1).tolist(), len(words)]
+    return [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(-1, keepdims=True))
     return x / x.sum(-1, keepdims=True)
 
 
+def lower_end(scores: np.ndarray, share: float) -> float:
+    """The score that ``share`` of all rows like these are below. Few rows have no such quantile:
+    their lowest is above more of the others. So the log-odds of the lowest twentieth are
+    carried on as an exponential tail, and the result is never above the plain quantile."""
+    odds = np.sort(np.log(scores + 1e-12) - np.log(1 - scores + 1e-12))
+    count = max(1, len(odds) // 20)
+    from_here = odds[min(count, len(odds) - 1)]
+    fall = (from_here - odds[:count]).mean()
+    tail = from_here - fall * np.log(max(1.0, count / len(odds) / share))
+    return float(min(np.quantile(scores, share), 1 / (1 + np.exp(-tail))))
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], seed: int = 0) -> Model:
     """Fit to rows of (buckets, counts); every fifth row is set apart for the calibration."""
     rng = np.random.default_rng(seed)
@@ -151,11 +183,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
     model.temperature = float(min(np.geomspace(0.05, 200, 80), key=loss))
     chances = softmax(logits / model.temperature)
     sure = chances.max(1)[chances.argmax(1) == right]
-    # Nearer to knowing nothing than to the least sure of the rows that were right: texts like
-    # those, and ones that hold two languages, are never below it.
-    nothing = 1 / len(languages)
-    least = float(np.quantile(sure, REJECTED)) if len(sure) else nothing
-    model.threshold = nothing + 0.25 * (least - nothing)
+    model.threshold = lower_end(sure, REJECTED) if len(sure) else 1 / len(languages)
     return model
 
 
@@ -165,25 +193,24 @@ def fit(
     text_column: str = "text",
     lang_column: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
-    max_languages: int = MAX_LANGUAGES,
 ) -> Model | None:
     """Learn from about ``sample_rows`` rows that have an id, a language and a text and are not
-    held out, chosen by a hash of the id, about as many per language. Counts of subwords
-    are taken where the texts are; only those of the sample come to the driver. None if
+    held out, chosen by a hash of the id, about as many per language and of each some
+    ``LEAST_ROWS``. Counts of subwords are taken where the texts are; only those of the sample come to the driver. None if
     there is no such row.
     """
     source = documents.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
     ).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
     usable = source.where(F.col("text").isNotNull())
-    ranked = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    ranked = usable.groupBy("lang").count().collect()
     if not ranked:
         return None
     languages = sorted(row["lang"] for row in ranked)
-    each = sample_rows / len(languages)
+    each = max(LEAST_ROWS, sample_rows / len(languages))
     shares = F.create_map(*(F.lit(x) for row in ranked for x in (row["lang"], min(1.0, each / row["count"]))))
     chosen = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(_STEPS)) < _STEPS * shares[F.col("lang")]
-    sample = usable.where(F.col("lang").isin(languages) & chosen)
+    sample = usable.where(chosen)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +229,7 @@ def fit(
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, lang string, buckets array<int>, counts array<int>"
     # Repeated ids could make the sample larger than asked for; the order makes reruns agree.
-    table = sample.mapInArrow(counted, schema).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(4 * sample_rows).toArrow()
+    table = sample.mapInArrow(counted, schema).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(int(4 * each * len(languages))).toArrow()
     if not table.num_rows:
         return None
     lists = [table.column(c).combine_chunks() for c in ("buckets", "counts")]
@@ -214,17 +241,19 @@ def fit(
 
 
 def predictor(documents: DataFrame, model: Model):
-    """A column function: the language and the score of a text."""
+    """A column function: the language and the score of a text, and whether it is sure."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    @F.arrow_udf("struct<lang_pred:string,score:double,sure:boolean>")
     def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = pa.array(shared.value.languages, pa.string())
         for batch in texts:
             parts = []
             for part in t.slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
                 best, score = shared.value.predict(part.column("text"))
-                parts.append(pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(score)], ["lang_pred", "score"]))
+                sure = shared.value.sure(part.column("text"), score)
+                found = [names.take(pa.array(best)), pa.array(score), pa.array(sure)]
+                parts.append(pa.StructArray.from_arrays(found, ["lang_pred", "score", "sure"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.null())
 
     return predict.asNondeterministic()  # or a filter on its result would run it twice
@@ -246,7 +275,7 @@ def with_language(documents: DataFrame, model: Model | None, name: str, text_col
     found = F.struct(
         F.col(name)["lang_pred"].alias("lang_pred"),
         F.col(name)["score"].alias("score"),
-        (F.col(name)["score"] < model.threshold).alias("rejected"),
+        (~F.col(name)["sure"]).alias("rejected"),
     )
     return judged.withColumn(name, F.when(has_letter(text), found).otherwise(nothing))
 
