@@ -645,7 +645,7 @@ def import_mixed_folder(t: Tables) -> DataFrame:
     for name, rows in (("pocket", pocket), ("instapaper", instapaper)):
         rows.write.csv(f"{root}/{name}", header=True, quote='"', escape='"')
     page = F.array_join(F.collect_list("value"), "\n").alias("content")
-    several = F.pmod("line_no", F.lit(8)).cast("string")
+    several = F.floor(F.col("line_no") / 1000).cast("string")  # files of some 1,000 links, as many as it takes
     for folder, suffix, link in (("bookmarks", ".HTML", _link("ADD_DATE", False)), ("pocket-pages", "", _link("time_added", True))):
         pages = saves.select(several.alias("n"), link.alias("value")).groupBy("n").agg(page)
         export.write_files(pages.select(F.concat("n", F.lit(suffix)).alias("path"), "content"), f"{root}/{folder}")
