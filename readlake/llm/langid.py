@@ -134,10 +134,10 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def lower_end(scores: np.ndarray, share: float) -> float:
     """The score that ``share`` of all rows like these are below. Few rows have no such quantile:
-    their lowest is above more of the others. So the log-odds of the lowest twentieth are
+    their lowest is above more of the others. So the log-odds of the lowest twentieth (seven at least) are
     carried on as an exponential tail, and the result is never above the plain quantile."""
     odds = np.sort(np.log(scores + 1e-12) - np.log(1 - scores + 1e-12))
-    count = max(1, len(odds) // 20)
+    count = max(1, len(odds) // 20, min(7, len(odds) // 4))
     from_here = odds[min(count, len(odds) - 1)]
     fall = (from_here - odds[:count]).mean()
     tail = from_here - fall * np.log(max(1.0, count / len(odds) / share))
