@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, pii, quality, quotes, simhash, suffixes, tokens, warc
+from . import collocations, decontaminate, langid, mixing, pii, quality, quotes, simhash, suffixes, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,11 @@ FROM messages m JOIN unquoted u ON u.message_no = m.message_no
   JOIN turns t ON t.conv_id = m.conv_id AND t.turn = m.turn
   LEFT JOIN linked l ON l.conv_id = m.conv_id AND l.turn = m.turn
 """
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = collocations.SQL
