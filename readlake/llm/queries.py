@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, langid, mixing, pii, quality, quotes, simhash, suffixes, tokens, warc
+from . import collocations, decontaminate, langid, mixing, negatives, pii, quality, quotes, simhash, suffixes, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,3 +148,22 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_phrase_collocations"] = collocations.SQL
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    embeddings = table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return negatives.hard_negatives(embeddings, F.col("id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = negatives.SQL
+
+
+@query
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    scored = toxicity.toxicity(documents, toxicity.fit(documents, labels, learn_from=~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", *toxicity.KINDS)
