@@ -26,7 +26,8 @@ from .text import _members, range_hashes, runs, slices, text_of, utf8
 
 SAMPLE_ROWS = 4000  # labelled rows of each class to learn from, at most
 LEXICON_WORDS = 2000  # learned words, at most
-LEAST_SUPPORT, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 20.0
+LEAST_SUPPORT, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 60.0
+FULL_ODDS = 1000.0  # from these odds on a learned word counts fully
 SEED_WEIGHT = 0.6
 THRESHOLD = 0.7
 
@@ -307,7 +308,7 @@ def _learned(rows: DataFrame) -> dict[str, float]:
     # A given word that clean texts use as well is no insult here.
     used = per_word.where(F.col("word").isin(seeds) & (F.col("clean") >= LEAST_SUPPORT) & (F.col("odds") < 2)).collect()
     insults |= {r["word"]: 0.0 for r in used}
-    insults |= {r["word"]: 1.0 for r in found.collect()}
+    insults |= {r["word"]: min(1.0, float(np.log(r["odds"]) / np.log(FULL_ODDS))) for r in found.collect()}
     return insults
 
 

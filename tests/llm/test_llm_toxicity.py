@@ -106,7 +106,7 @@ def test_learns_insults_from_different_texts_only(spark):
     docs, labels = corpus(spark)
     model = fit(docs, labels, learn_from=F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     learned = {w: x for w, kind, x in model.words if kind == toxicity.INSULT}
-    assert learned.get("zorkhead") == 1.0
+    assert learned.get("zorkhead", 0) > 0.8
     assert not {"lorem", "copied"} & learned.keys()
     held_out = {k for k in range(600) if zlib.crc32(str(k).encode()) % 3 == 1}
     got = {r.doc_id: r for r in score(docs, model).collect()}
