@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .generations import Generations
+from .generations import Generations, State, Table
 
 FIELDS = ("title", "author", "text")
 FIELD_SPAN = 1 << 29
@@ -144,12 +144,12 @@ class Index:
         return Index.committed(Generations(spark, root))
 
     @staticmethod
-    def committed(batches: Generations, folder: str = "") -> "Index":
-        valid = batches.commits()
+    def committed(batches: Generations, folder: str = "", state: State | None = None) -> "Index":
+        state = batches.state() if state is None else state
         return Index(
-            batches.read(f"{folder}postings", POSTINGS_SCHEMA, valid=valid),
-            batches.read(f"{folder}totals", TOTALS_SCHEMA, valid=valid),
-            batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA, valid=valid),
+            batches.read(f"{folder}postings", POSTINGS_SCHEMA, state=state),
+            batches.read(f"{folder}totals", TOTALS_SCHEMA, state=state),
+            batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA, state=state),
         )
 
     def terms(self) -> DataFrame:
@@ -173,25 +173,26 @@ def write_index(articles: DataFrame, root: str, batch_id: int = 0) -> None:
     """Index one batch of articles below a folder of its own; writing the batch again, also
     with other articles or none, replaces it."""
     batches = Generations(articles.sparkSession, root)
-    valid = batches.commits()
-    generation = batches.new(batch_id, valid)
-    write_postings(postings(articles.select("id", *FIELDS)), batches, batch_id, generation)
-    batches.commit(generation, [batch_id], list(TABLES), valid=valid)
+    state = batches.state()
+    generation = batches.new(batch_id, state)
+    tables = write_postings(postings(articles.select("id", *FIELDS)), batches, batch_id, generation)
+    batches.commit(generation, batch_id, tables, state)
 
 
 def write_postings(
     rows: DataFrame, batches: Generations, batch_id: int, generation: str, folder: str = ""
-) -> None:
-    """Write a batch's postings by bucket, and their counts.
+) -> dict[str, Table]:
+    """Write a batch's postings by bucket, and their counts; the tables written.
 
     Spark deals them out by bucket and by size: a bucket with a stop word that every
     article has is split over tasks, small ones share a task, and the number of files
     follows the data. Sorted by term, the files let Parquet skip row groups.
     """
     dealt = rows.hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term", "id")
-    batches.write(dealt, f"{folder}postings", batch_id, generation, ("term_bucket",))
-    path = f"{batches.root}/{folder}postings/batch_id={batch_id}/generation={generation}"
+    tables = {f"{folder}postings": batches.write(dealt, f"{folder}postings", batch_id, generation, ("term_bucket",))}
+    path = batches.path(f"{folder}postings", batch_id, generation)
     written = rows.sparkSession.read.schema(POSTINGS_SCHEMA).parquet(path)
-    batches.write(totals(written).coalesce(1), f"{folder}totals", batch_id, generation)
-    counted = frequencies(written).hint("rebalance").sortWithinPartitions("term")
-    batches.write(counted, f"{folder}frequencies", batch_id, generation)
+    tables[f"{folder}totals"] = batches.write(totals(written).coalesce(1), f"{folder}totals", batch_id, generation)
+    found = frequencies(written).hint("rebalance").sortWithinPartitions("term")
+    tables[f"{folder}frequencies"] = batches.write(found, f"{folder}frequencies", batch_id, generation)
+    return tables

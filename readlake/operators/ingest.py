@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import clean_tags
 from ..functions.urls import has_import_scheme, normalize_url
-from ..session import materialize
+from ..session import Scratch, materialize
+from .generations import Conflict, State
 from .numbering import number_rows
 from .store import Store, known_urls
 
@@ -29,6 +30,10 @@ NOT_FETCHED = "no response"
 _ORDER = ["source_file", "line_no"]
 PAGE_FIELDS = ("title", "author", "text", "source", "reason")
 
+# A batch that clashes with one committed meanwhile is made again, so often at most.
+ATTEMPTS = 5
+_PLACES = (1 << 62) - 1
+
 
 def _order() -> Column:
     return F.struct(*_ORDER)
@@ -50,10 +55,10 @@ def rejected(items: DataFrame) -> DataFrame:
 
 
 def _placed(items: DataFrame) -> DataFrame:
-    """Items with a place that can be compared."""
-    return items.withColumns(
-        {"source_file": F.coalesce("source_file", F.lit("")), "line_no": F.coalesce("line_no", F.lit(0))}
-    )
+    """Items with a place that can be compared. One that has none gets one from its url, so
+    that items without places do not all meet at one."""
+    place = F.coalesce("line_no", F.xxhash64("url").bitwiseAND(F.lit(_PLACES)))
+    return items.withColumns({"source_file": F.coalesce("source_file", F.lit("")), "line_no": place})
 
 
 def _addressed(items: DataFrame) -> DataFrame:
@@ -134,9 +139,9 @@ def outcomes(
     brought no text, with a null text where nothing could be had; of several rows for
     one url, the smallest. status is saved, skipped or failed; source is export, live or
     wayback. Whatever the archive has needs no content: only keys of it are read. ``keys``
-    are the items' first keys, if they are at hand.
+    are the items' first keys, if they are at hand as a written table.
     """
-    keys = materialize(first_keys(items) if keys is None else keys, "keys")
+    keys = materialize(first_keys(items), "keys") if keys is None else keys
     known = known_urls(saved, keys)
     old = keys.join(known, "url", "left_semi").select(
         "url",
@@ -252,20 +257,46 @@ def run_import(
 ) -> ImportResult:
     """Save every item that the archive does not have; repeats bring their tags.
 
-    Running a batch again replaces what it wrote; a later batch with the same list
-    saves nothing.
+    Running a batch again replaces what it wrote, also when later batches were committed since:
+    what those have saved is skipped, a url that the batch had saved before keeps its id, and
+    new ones get ids that were never given. A later batch with the same list saves nothing.
+    If another job takes one of the urls or ids meanwhile, the batch is made once more.
     """
-    saved = store.articles(before=batch_id)
-    last = store.last_id(before=batch_id)
-    # Every url is normalized once.
-    addressed = materialize(_addressed(items).select("url", *_ORDER, "tags"), "addressed")
-    done = materialize(outcomes(items, saved, fetched, _firsts(addressed)), "outcomes")
-    # Ids alone are written once more; the texts go from the outcomes to the archive.
-    fresh = done.where(F.col("status") == "saved")
-    ids = materialize(
-        number_rows(fresh.select("url", *_ORDER), [*_ORDER, "url"], F.lit(last + 1)).select("url", "id"), "ids"
-    )
-    articles = _stamped(fresh.join(ids, "url"), now)
-    tags = new_tags(_tags_of(addressed), saved.select("url", "id").unionByName(ids), store.tags(before=batch_id))
-    store.append(articles, tags, batch_id)
+    for left in reversed(range(ATTEMPTS)):
+        try:
+            return _import(store, items, fetched, batch_id, now)
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError
+
+
+def _import(store: Store, items: DataFrame, fetched: DataFrame, batch_id: int, now: Column | None) -> ImportResult:
+    state = store.batches.state()
+    store.batches.new(batch_id, state)  # a closed batch is refused before any work
+    with Scratch(store.spark) as scratch:
+        # Every url is normalized once.
+        addressed = scratch.write(_addressed(items).select("url", *_ORDER, "tags"), "addressed")
+        keys = scratch.write(_firsts(addressed), "keys")
+        saved = store.keys(keys, state, without=batch_id)
+        done = materialize(outcomes(items, saved, fetched, keys), "outcomes")
+        fresh = done.where(F.col("status") == "saved")
+        ids = scratch.write(assign_ids(store, fresh.select("url", *_ORDER), batch_id, state, scratch), "ids")
+        # Ids alone were written; the texts go from the outcomes to the archive.
+        articles = _stamped(fresh.join(ids, "url"), now)
+        tagged = saved.unionByName(ids)
+        tags = new_tags(_tags_of(addressed), tagged, store.tags(state, without=batch_id))
+        store.append(articles, tags, batch_id, state=state)
     return ImportResult(done)
+
+
+def assign_ids(store: Store, fresh: DataFrame, batch_id: int, state: State, scratch: Scratch) -> DataFrame:
+    """(url, id) for the urls that a batch is going to save, one row per url with its place: the
+    id they had if the batch is written again, else the next ones in the order of the list."""
+    start = F.lit(state.last_id + 1)
+    if batch_id not in state.valid:
+        return number_rows(fresh, [*_ORDER, "url"], start, write=scratch.write).select("url", "id")
+    had = scratch.write(store.keys(fresh, state, only=[batch_id]), "had")
+    new = fresh.join(had, "url", "left_anti")
+    numbered = number_rows(new, [*_ORDER, "url"], start, write=scratch.write).select("url", "id")
+    return numbered.unionByName(had)

@@ -2,25 +2,38 @@
 
 A batch that is written again replaces all it wrote before: articles, tags and index
 are committed together. Articles are ordered by id, so a few ids are few row groups.
-There is one writer.
+
+Beside the articles stand their keys, (url, id) in buckets by the hash of the url, with a
+Bloom filter of the urls in every file. Whether urls are saved is asked of their buckets.
+
+An id is given once: new ones begin above the largest that was ever given. Several jobs may
+write; a batch whose urls or ids another one took meanwhile is refused at its commit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import clean_tag
 from ..functions.text import display_title
-from .generations import Generations, largest
-from .index import FIELDS, POSTINGS_SCHEMA, TABLES, Index, postings, write_postings
+from .generations import FANOUT, Commit, Conflict, Generations, Rewrite, State, Table, counted
+from .index import FIELDS, Index, postings, write_postings
 
 ARTICLE_SCHEMA = "id bigint, url string, title string, author string, text string, added_at string"
 TAG_SCHEMA = "article_id bigint, tag string"
+KEY_SCHEMA = "url string, id bigint, url_bucket int"
 INDEX = "index/"
-OWN_TABLES = ("articles", "tags", *(f"{INDEX}{table}" for table in TABLES))
+URL_BUCKETS = 64
+# So few urls are looked up by value, which Parquet answers from its Bloom filters.
+FEW_URLS = 500
+
+
+def url_bucket(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(URL_BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -32,12 +45,12 @@ class Store:
     def batches(self) -> Generations:
         return Generations(self.spark, self.root)
 
-    def articles(self, before: int | None = None) -> DataFrame:
-        """All articles, or those saved by the batches before one."""
-        return self.batches.read("articles", ARTICLE_SCHEMA, before)
+    def articles(self, state: State | None = None) -> DataFrame:
+        return self.batches.read("articles", ARTICLE_SCHEMA, state=state)
 
-    def tags(self, before: int | None = None) -> DataFrame:
-        return self.batches.read("tags", TAG_SCHEMA, before)
+    def tags(self, state: State | None = None, without: int | None = None) -> DataFrame:
+        """The tags that all batches brought, or all but one."""
+        return self.batches.read("tags", TAG_SCHEMA, without=without, state=state)
 
     def read(self, table: str, schema: str) -> DataFrame:
         return self.batches.read(table, schema)
@@ -45,55 +58,107 @@ class Store:
     def index(self) -> Index:
         return Index.committed(self.batches, INDEX)
 
-    def last_id(self, before: int | None = None) -> int:
-        """The largest id in use; kept with each commit, so no table is read."""
-        return self.batches.last_id(before)
+    def last_id(self) -> int:
+        """The largest id that was ever given; kept with the commits, so no table is read."""
+        return self.batches.state().last_id
+
+    def keys(
+        self,
+        urls: DataFrame,
+        state: State | None = None,
+        only: Collection[int] | None = None,
+        without: int | None = None,
+    ) -> DataFrame:
+        """(url, id) of those of some distinct urls that the archive has, or some of its batches.
+
+        The buckets that the urls fall into are read, and no others. A few urls are looked
+        up by value besides, so that files without any of them are passed over.
+        """
+        wanted = urls.select("url", url_bucket(F.col("url")).alias("url_bucket"))
+        # At most URL_BUCKETS numbers.
+        buckets = sorted(r[0] for r in wanted.select("url_bucket").distinct().collect())
+        saved = self.batches.read("keys", KEY_SCHEMA, only=only, without=without, state=state)
+        saved = saved.where(F.col("url_bucket").isin(buckets))
+        if len(buckets) < URL_BUCKETS:  # else there are many
+            few = [r[0] for r in wanted.select("url").limit(FEW_URLS + 1).collect()]
+            if len(few) <= FEW_URLS:
+                saved = saved.where(F.col("url").isin(few))
+        return saved.join(wanted, ["url_bucket", "url"], "left_semi").select("url", "id")
+
+    def _write_keys(self, rows: DataFrame, batch_id: int, generation: str, n: int) -> dict[str, Table]:
+        dealt = rows.select("url", "id", url_bucket(F.col("url")).alias("url_bucket"))
+        dealt = dealt.hint("rebalance", "url_bucket").sortWithinPartitions("url_bucket", "url")
+        options = {"parquet.bloom.filter.enabled#url": "true",
+                   "parquet.bloom.filter.expected.ndv#url": str(max(64, 2 * n // URL_BUCKETS))}
+        return {"keys": self.batches.write(dealt, "keys", batch_id, generation, ("url_bucket",), options)}
+
+    def _write_articles(self, rows: DataFrame, batch_id: int, generation: str) -> dict[str, Table]:
+        rows = rows.select("id", "url", "title", "author", "text", "added_at")
+        ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+        return {"articles": self.batches.write(ordered, "articles", batch_id, generation)}
+
+    def _no_clash(self, own: DataFrame, later: list[Commit], now: State) -> None:
+        """Refuse a batch if one committed meanwhile has one of its urls or ids."""
+        theirs = self.batches.read("keys", KEY_SCHEMA, only={c.batch_id for c in later}, state=now)
+        for column in ("url", "id"):
+            found = own.join(theirs.select(column), column, "left_semi").first()
+            if found:
+                raise Conflict(f"{column} {found[column]} was saved by another batch meanwhile")
 
     def append(
-        self, articles: DataFrame, tags: DataFrame, batch_id: int, more: dict[str, DataFrame] | None = None
+        self,
+        articles: DataFrame,
+        tags: DataFrame,
+        batch_id: int,
+        more: dict[str, DataFrame] | None = None,
+        state: State | None = None,
     ) -> None:
-        """Write one batch and commit it: articles, their tags, their part of the index, and
-        other tables that belong to it."""
-        batches = self.batches
-        valid = batches.commits()
-        generation = batches.new(batch_id, valid)
-        rows = articles.select("id", "url", "title", "author", "text", "added_at")
-        ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
-        batches.write(ordered, "articles", batch_id, generation)
-        batches.write(tags.select("article_id", "tag"), "tags", batch_id, generation)
-        path = f"{self.root}/articles/batch_id={batch_id}/generation={generation}"
-        written = self.spark.read.schema(ARTICLE_SCHEMA).parquet(path)
-        write_postings(postings(written.select("id", *FIELDS)), batches, batch_id, generation, INDEX)
-        for table, frame in (more or {}).items():
-            batches.write(frame, table, batch_id, generation)
-        last = largest(written, "id", batches.last_id(batch_id, valid))
-        batches.commit(generation, [batch_id], [*OWN_TABLES, *(more or {})], last, valid)
-
-    def merge(self, batch_ids: list[int], more: dict[str, str] | None = None) -> None:
-        """Rewrite several batches as one, so that many small ones do not slow reading down.
-        They cannot be written again afterwards. ``more`` has the schemas of further tables
-        that they may have; tables not named are lost."""
+        """Write one batch and commit it: articles, their keys and tags, their part of the index,
+        and other tables that belong to it. ``state`` is the one that ids and urls were
+        compared with; ``Conflict`` is raised if what was committed since clashes with them."""
         batches = self.batches
-        commits = batches.commits()
-        unknown = sorted(set(batch_ids) - commits.keys())
-        if unknown or len(set(batch_ids)) < 2:
-            raise ValueError(f"two or more committed batches are needed; not committed: {unknown}")
-        owner, generation = max(batch_ids), batches.new(max(batch_ids), commits)
-        last = max(commits[b].last_id for b in batch_ids)
-        articles = batches.read("articles", ARTICLE_SCHEMA, only=batch_ids, valid=commits).drop("batch_id")
-        ordered = articles.repartitionByRange("id").sortWithinPartitions("id")
-        batches.write(ordered, "articles", owner, generation)
-        for table, schema in {"tags": TAG_SCHEMA, **(more or {})}.items():
-            rows = batches.read(table, schema, only=batch_ids, valid=commits).drop("batch_id")
-            batches.write(rows.hint("rebalance"), table, owner, generation)
-        old = batches.read(f"{INDEX}postings", POSTINGS_SCHEMA, only=batch_ids, valid=commits).drop("batch_id")
-        write_postings(old, batches, owner, generation, INDEX)
-        batches.commit(generation, sorted(set(batch_ids)), [*OWN_TABLES, *(more or {})], last, commits)
-
-    def vacuum(self) -> None:
-        """Delete what replaced, merged or unfinished batches have left."""
-        tables = {table for c in self.batches.commits().values() for table in c.tables}
-        self.batches.vacuum(*sorted(tables))
+        state = batches.state() if state is None else state
+        generation = batches.new(batch_id, state)
+        tables = self._write_articles(articles, batch_id, generation)
+        written = self.spark.read.schema(ARTICLE_SCHEMA).parquet(batches.path("articles", batch_id, generation))
+        n, last = counted(written, "id")
+        if n:
+            tables |= self._write_keys(written, batch_id, generation, n)
+            tables |= write_postings(postings(written.select("id", *FIELDS)), batches, batch_id, generation, INDEX)
+        else:
+            tables = {}
+        for table, frame in {"tags": tags.select("article_id", "tag"), **(more or {})}.items():
+            tables[table] = batches.write(frame, table, batch_id, generation)
+        own = written.select("url", "id")
+        batches.commit(
+            generation, batch_id, tables, state, n, last, check=lambda later, now: self._no_clash(own, later, now)
+        )
+
+    def _rewrite(self) -> dict[str, Rewrite]:
+        """How tables with an order of their own are merged; what is derived from one is made anew."""
+
+        def articles(rows: DataFrame, batch_id: int, generation: str) -> dict[str, Table]:
+            tables = self._write_articles(rows, batch_id, generation)
+            written = self.spark.read.schema(ARTICLE_SCHEMA).parquet(self.batches.path("articles", batch_id, generation))
+            return tables | self._write_keys(written, batch_id, generation, written.count())
+
+        def terms(rows: DataFrame, batch_id: int, generation: str) -> dict[str, Table]:
+            return write_postings(rows, self.batches, batch_id, generation, INDEX)
+
+        return {"articles": articles, f"{INDEX}postings": terms}
+
+    def merge(self, batch_ids: Collection[int]) -> None:
+        """Rewrite several batches as one, with all their tables, so that many small ones do not
+        slow reading down. They cannot be written again afterwards."""
+        self.batches.merge(batch_ids, self._rewrite())
+
+    def compact(self, keep: Collection[int] = (), fanout: int = FANOUT) -> int:
+        """Merge batches of like size until few are left; those to ``keep`` stay open."""
+        return self.batches.compact(keep, self._rewrite(), fanout)
+
+    def vacuum(self, older_than: float = 0) -> None:
+        """Delete what replaced, merged or unfinished batches have left, so many seconds ago."""
+        self.batches.vacuum(older_than)
 
 
 def known_urls(saved: DataFrame, urls: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -20,6 +21,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # So many urls are looked up by the Bloom filters of the key files.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
 }
 
 _local_scratch: dict[str, str] = {}
@@ -91,8 +94,61 @@ class Scratch:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+    _, files, location = _located(spark, path)
+    files.delete(location, True)
+
+
+# Small files that the driver itself reads and writes, on whatever file system Spark uses.
+
+
+def _located(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    location = hadoop.Path(path)
+    return hadoop, location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the files in a folder, sorted; none if there is no such folder."""
+    _, files, location = _located(spark, folder)
+    if not files.exists(location):
+        return []
+    return sorted(status.getPath().getName() for status in files.listStatus(location))
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file as text; null if it is gone."""
+    _, files, location = _located(spark, path)
+    if not files.exists(location):
+        return None
+    stream = files.open(location)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that does not exist yet, whole or not at all; false if it exists.
+
+    It is written aside and renamed: of two writers of one name, one loses, where the file
+    system renames without replacing (HDFS, ABFS, local disks).
+    """
+    hadoop, files, location = _located(spark, path)
+    location = files.makeQualified(location)
+    aside = hadoop.Path(location.getParent(), f".{location.getName()}.{uuid.uuid4().hex}")
+    out = files.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(location.toUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(aside, location, no_options)
+    except Py4JJavaError as error:
+        files.delete(aside, False)
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    return True
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The stream carries (event_id, url, html, captured_at); event_id gives the order.
 Exactness comes from the archive itself: a micro-batch is compared with everything
-that earlier batches saved, and a batch that is run again replaces what it wrote.
+that other batches saved, and a batch that is run again replaces what it wrote.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import has_web_scheme, normalize_url
 from ..operators.extract import extract_all
-from ..operators.ingest import NO_TEXT, NOT_FETCHED
+from ..operators.generations import Conflict
+from ..operators.ingest import ATTEMPTS, NO_TEXT, NOT_FETCHED, assign_ids
 from ..operators.joins import spread_join
-from ..operators.numbering import number_rows
 from ..operators.resolve import LIVE_COLUMNS, check_addresses, resolve_add, resolve_redirects
-from ..operators.store import Store, known_urls
+from ..operators.store import Store
 from ..session import Scratch
 
 CAPTURE_SCHEMA = "event_id bigint, url string, html string, captured_at timestamp"
@@ -149,7 +149,23 @@ def save_captures(
     max_page_bytes: int = MAX_PAGE_BYTES,
 ) -> DataFrame:
     """Save one micro-batch; the outcome of every capture in it: (event_id, url, ok, reason,
-    id). Pages that are only named are looked up in ``web``."""
+    id). Pages that are only named are looked up in ``web``. A batch that is saved again keeps
+    the ids of its pages; one that clashes with another job's is made once more."""
+    for left in reversed(range(ATTEMPTS)):
+        try:
+            _save(store, captures, batch_id, now, web, guard, max_page_bytes)
+            break
+        except Conflict:
+            if not left:
+                raise
+    return store.batches.read("outcomes", OUTCOME_SCHEMA, only=[batch_id]).drop("batch_id")
+
+
+def _save(
+    store: Store, captures: DataFrame, batch_id: int, now: Column, web: Web | None, guard: bool, max_page_bytes: int
+) -> None:
+    state = store.batches.state()
+    store.batches.new(batch_id, state)  # a closed batch is refused before any work
     with Scratch(store.spark) as scratch:
         # The batch is read once; its source may be gone or changed on another read.
         checked = scratch.write(check_captures(captures, max_page_bytes), "batch")
@@ -165,13 +181,13 @@ def save_captures(
                 allowMissingColumns=True,
             )
         events = scratch.write(events, "events")
-        # The first capture that has a text wins, unless an earlier batch has the url.
+        # The first capture that has a text wins, unless another batch has the url.
         firsts = events.where(F.col("reason").isNull()).groupBy("url").agg(F.min("event_id").alias("event_id"))
         firsts = scratch.write(firsts, "firsts")
-        fresh = firsts.join(known_urls(store.articles(before=batch_id), firsts), "url", "left_anti")
-        last = store.last_id(before=batch_id)
-        numbered = number_rows(fresh.select("event_id"), ["event_id"], F.lit(last + 1), write=scratch.write)
-        ids = scratch.write(numbered, "ids")
+        fresh = firsts.join(store.keys(firsts, state, without=batch_id), "url", "left_anti")
+        placed = fresh.select("url", F.lit("").alias("source_file"), F.col("event_id").alias("line_no"))
+        ids = assign_ids(store, placed, batch_id, state, scratch).join(firsts, "url").select("event_id", "id")
+        ids = scratch.write(ids, "ids")
         # A batch may hold an event twice; the page is saved once.
         winners = events.join(ids, "event_id").where("reason IS NULL").dropDuplicates(["id"])
         articles = winners.select("id", "url", "content_key").join(content, "content_key").select(
@@ -193,8 +209,7 @@ def save_captures(
             F.lit(None).cast("bigint").alias("id"),
         )
         no_tags = store.spark.createDataFrame([], "article_id bigint, tag string")
-        store.append(articles, no_tags, batch_id, {"outcomes": done.unionByName(refused)})
-    return store.batches.read("outcomes", OUTCOME_SCHEMA, only=[batch_id]).drop("batch_id")
+        store.append(articles, no_tags, batch_id, {"outcomes": done.unionByName(refused)}, state)
 
 
 def add_links(
@@ -223,12 +238,16 @@ def capture_stream(
     now: Column | None = None,
     web: Web | None = None,
     first_batch: int = 0,
+    compact_every: int | None = None,
 ) -> StreamingQuery:
     """Run a stream of captures into the archive until its input is used up. Micro-batch n is
-    batch ``first_batch`` + n of the archive."""
+    batch ``first_batch`` + n of the archive. After every so many micro-batches the small ones
+    are merged, but for the last, which the stream may send again."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         save_captures(store, batch, first_batch + batch_id, _stamp(now), web)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            store.compact(keep=[first_batch + batch_id])
 
     return (
         stream.writeStream.foreachBatch(save)

@@ -108,7 +108,7 @@ def test_merged_batches_read_the_same_and_are_closed(spark, place):
                 sorted((r.term, r.id, r.dl, r.at) for r in store.index().postings.collect()))
 
     before = state()
-    store.merge([0, 1, 2], {"outcomes": capture.OUTCOME_SCHEMA})
+    store.merge([0, 1, 2])
     assert state() == before and store.last_id() == 4
     store.vacuum()
     assert state() == before
@@ -120,6 +120,34 @@ def test_merged_batches_read_the_same_and_are_closed(spark, place):
     assert [r.id for r in save_captures(store, df, 4, NOW()).collect()] == [5]
 
 
+def test_a_stream_of_many_small_batches_is_compacted(spark, place):
+    root, store = place
+    for n in range(6):
+        put(spark, f"{root}/in", (n, f"https://e.org/{n % 5}", PAGE.format(n, f"word{n}")))
+    stream = read_captures(spark, f"{root}/in", files_per_batch=1)
+    capture_stream(stream, store, f"{root}/checkpoint", NOW(), compact_every=5).awaitTermination()
+    state = store.batches.state()
+    assert len(state.valid) <= 3 and 5 in state.valid and state.closed == ((0, 3),)
+    assert {n: r[0] for n, r in outcomes(store).items()} == {0: True, 1: True, 2: True, 3: True, 4: True, 5: False}
+    assert sorted(r.id for r in store.articles().collect()) == [1, 2, 3, 4, 5]
+    assert {matches(store.index(), term(f"word{n}")).count() for n in range(5)} == {1}
+
+
+def test_a_replay_after_later_batches_keeps_ids_and_urls_unique(spark, place):
+    _, store = place
+
+    def batch(*names):
+        rows = [(n, f"https://e.org/{name}", PAGE.format(name, "some"), None) for n, name in enumerate(names)]
+        return spark.createDataFrame(rows, capture.CAPTURE_SCHEMA)
+
+    save_captures(store, batch("a", "b"), 0, NOW())
+    save_captures(store, batch("c", "d"), 1, NOW())
+    done = save_captures(store, batch("b", "e", "c"), 0, NOW())
+    assert {r.url[-1]: (r.ok, r.reason, r.id) for r in done.collect()} == {
+        "b": (True, None, 2), "e": (True, None, 5), "c": (False, "already saved", None)}
+    assert {r.url[-1]: r.id for r in store.articles().collect()} == {"b": 2, "c": 3, "d": 4, "e": 5}
+
+
 def test_links_are_added_as_a_batch(spark, place):
     _, store = place
     web = Web(
