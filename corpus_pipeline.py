@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import decontaminate, langid, mixing, pii, similar
+from readlake.llm import decontaminate, langid, mixing, pii, simhash
 from readlake.session import materialize
 
 
@@ -19,8 +19,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: texts that share 0.8 of their five-word shingles."""
-    return similar.keep_one(docs)
+    """One document of each group stays: fingerprints that differ in at most two bits, by anchor
+    points of a covering code."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
