@@ -147,15 +147,55 @@ def _by_page(hops: DataFrame) -> DataFrame:
     return hops.select(normalize_url(F.col("url")).alias("given_url"), "hop", "target").distinct()
 
 
+def _chain_ends(steps: DataFrame) -> DataFrame:
+    """(page, end, reason): where each page's redirects lead in the end, and the first reason on
+    the way, its own included.
+
+    ``steps`` is (page, next, reason), one row per page that leads anywhere. Pointers are jumped:
+    in every round a page takes over the page that the one it points to points to, so a chain
+    takes as many rounds as the logarithm of its length. Pages that lead around in a circle, and
+    those that lead into it, end at the circle's smallest page.
+    """
+    state = materialize(steps.select("page", F.col("next").alias("ptr"), F.col("page").alias("low"), "reason"), "chains")
+    pages, reached = state.count(), 1
+
+    def ahead(*names: str) -> DataFrame:
+        return state.select(F.col("page").alias("ptr"), *(F.col(n).alias(f"{n}_ahead") for n in names))
+
+    while reached <= pages:
+        # Very many pages may lead to one.
+        onward = ahead("low", "reason").join(state.select(F.col("page").alias("ptr"), F.col("ptr").alias("ptr_ahead")), "ptr")
+        joined = spread_join(state, onward, "ptr", "page")
+        state = materialize(
+            joined.select(
+                "page",
+                F.coalesce("ptr_ahead", "ptr").alias("ptr"),
+                F.least("low", "low_ahead").alias("low"),
+                F.coalesce("reason", "reason_ahead").alias("reason"),
+                F.coalesce(F.col("ptr_ahead") != F.col("ptr"), F.lit(False)).alias("moved"),
+            ),
+            "chains",
+        )
+        reached *= 2
+        if state.where("moved").isEmpty():
+            break
+    ends = spread_join(state, ahead("low"), "ptr", "page")
+    return ends.select("page", F.coalesce("low_ahead", "ptr").alias("end"), "reason")
+
+
 def resolve_redirects(urls: DataFrame, hops: DataFrame) -> DataFrame:
-    """(url, given_url, final_url): the latter two normalized; a page's last hop is where it
-    ends."""
-    last = _by_page(hops).groupBy("given_url").agg(
-        F.max_by("target", F.struct("hop", "target")).alias("target")
+    """(url, given_url, final_url): the latter two normalized. A page leads to its last hop's
+    target; if that page is known to lead on, so does this one, and so forth."""
+    last = _by_page(hops).groupBy("given_url").agg(F.max_by("target", F.struct("hop", "target")).alias("target"))
+    steps = last.select(
+        F.col("given_url").alias("page"),
+        F.coalesce(normalize_url(F.col("target")), "given_url").alias("next"),
+        F.lit(None).cast("string").alias("reason"),
     )
+    ends = _chain_ends(steps).select(F.col("page").alias("given_url"), "end")
     named = urls.select("url", normalize_url(F.col("url")).alias("given_url"))
-    return spread_join(named, last, "given_url", "url").select(
-        "url", "given_url", normalize_url(F.coalesce("target", "url")).alias("final_url")
+    return spread_join(named, ends, "given_url", "url").select(
+        "url", "given_url", F.coalesce("end", "given_url").alias("final_url")
     )
 
 
@@ -186,29 +226,37 @@ def host_addresses(resolutions: DataFrame) -> DataFrame:
 NOT_WEB, HOSTLESS, UNKNOWN_HOST, INTERNAL = "not-web", "hostless", "unknown-host", "internal-host"
 
 
+def _refusals(targets: DataFrame, resolutions: DataFrame, spread_by: str) -> DataFrame:
+    """The targets with the reason why each is refused, or null."""
+    hosted = targets.withColumn("host", url_host(F.col("target")))
+    reason = (
+        F.when(~url_scheme(F.col("target")).isin(*WEB_SCHEMES), F.lit(NOT_WEB))
+        .when(F.col("host").isNull(), F.lit(HOSTLESS))
+        .when(F.col("blocked").isNull(), F.concat(F.lit(f"{UNKNOWN_HOST} "), "host"))
+        .when(F.col("blocked"), F.concat(F.lit(f"{INTERNAL} "), "host"))
+    )
+    judged = spread_join(hosted, host_addresses(resolutions), "host", spread_by)
+    return judged.withColumn("reason", reason).drop("host", "blocked")
+
+
 def check_addresses(urls: DataFrame, hops: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """(url, safe, reason): the url and every redirect target must be public.
+    """(url, safe, reason): the url and every redirect target must be public, also those of the
+    pages that it leads to.
 
     Redirects are looked up by the normalized url, so another spelling does not get around
     one. The reason is that of the first target that is refused. Many urls share a
     host, so the verdicts per host are joined spread over several tasks.
     """
-    named = urls.select("url", normalize_url(F.col("url")).alias("given_url")).distinct()
-    steps = _by_page(hops).groupBy("given_url").agg(F.collect_set(F.struct("hop", "target")).alias("steps"))
-    onward = spread_join(named, steps, "given_url", "url", "inner").select("url", F.inline("steps"))
-    targets = urls.select("url", F.lit(0).alias("hop"), F.col("url").alias("target")).distinct()
-    hosted = targets.unionByName(onward).withColumn("host", url_host(F.col("target")))
-    verdicts = spread_join(hosted, host_addresses(resolutions), "host", "target")
-    reason = (
-        F.when(~url_scheme(F.col("target")).isin(*WEB_SCHEMES), F.lit(NOT_WEB))
-        .when(F.col("host").isNull(), F.lit(HOSTLESS))
-        .when(F.col("blocked").isNull(), F.concat(F.lit(f"{UNKNOWN_HOST} "), "host"))
-        .when(F.col("blocked"), F.concat(F.lit(f"{INTERNAL} "), "host"))
+    judged = _refusals(_by_page(hops), resolutions, "given_url")
+    hop = F.struct("hop", "target")
+    per_page = judged.groupBy("given_url").agg(
+        F.max_by("target", hop).alias("target"), F.min_by("reason", F.when(F.col("reason").isNotNull(), hop)).alias("reason")
     )
-    refused = F.when(F.col("reason").isNotNull(), F.struct("hop", "target"))
-    return (
-        verdicts.withColumn("reason", reason)
-        .groupBy("url")
-        .agg(F.min_by("reason", refused).alias("reason"))
-        .select("url", F.col("reason").isNull().alias("safe"), "reason")
+    steps = per_page.select(
+        F.col("given_url").alias("page"), F.coalesce(normalize_url(F.col("target")), "given_url").alias("next"), "reason"
     )
+    onward = _chain_ends(steps).select(F.col("page").alias("given_url"), F.col("reason").alias("reason_ahead"))
+    named = urls.select("url", F.col("url").alias("target"), normalize_url(F.col("url")).alias("given_url")).distinct()
+    own = _refusals(named, resolutions, "url")
+    reason = F.coalesce("reason", "reason_ahead")
+    return spread_join(own, onward, "given_url", "url").select("url", reason.isNull().alias("safe"), reason.alias("reason"))

@@ -28,7 +28,7 @@ from ..files import arrow_location
 from ..operators import export, extract, ingest, resolve
 from ..operators import search as s
 from ..operators.index import Index
-from ..operators.store import Store, list_articles, read_article, tags_for
+from ..operators.store import Store, list_articles, read_article, tag_strings, tags_for
 from ..session import materialize, scratch_path
 from ..sources import exports
 from ..sources.responses import decode_responses
@@ -140,13 +140,13 @@ def br_paragraphs(t: Tables) -> DataFrame:
 # -- index and search ------------------------------------------------------------
 
 
-def _library(t: Tables) -> tuple[DataFrame, DataFrame, Index]:
-    """All documents as a written archive, opened once: articles, tags and index."""
+def _library(t: Tables) -> tuple[DataFrame, DataFrame, Index, Store]:
+    """All documents as a written archive, opened once: articles, tags, index and the store."""
 
-    def build() -> tuple[DataFrame, DataFrame, Index]:
+    def build() -> tuple[DataFrame, DataFrame, Index, Store]:
         store = Store(t.spark, scratch_path(t.spark, "library"))
         store.append(t["articles"], t["tags"], 0)
-        return store.articles().drop("batch_id"), store.tags().drop("batch_id"), store.index()
+        return store.articles().drop("batch_id"), store.tags().drop("batch_id"), store.index(), store
 
     return _once("library", t, build)
 
@@ -440,6 +440,55 @@ def merge_tags(t: Tables) -> DataFrame:
     return _import_store(t).tags().drop("batch_id")
 
 
+@query(o.statement("SELECT url, id FROM articles"))
+def saved_keys(t: Tables) -> DataFrame:
+    """Which of all links, to articles and to other pages, the archive has."""
+    urls = t["articles"].select("url").union(t["pages"].select(normalize_url(F.col("url")))).distinct()
+    return _library(t)[3].keys(materialize(urls, "links"))
+
+
+# Every document in a list by its language, with its text.
+_LISTED_DOCUMENTS = """SELECT a.url, a.title, a.author, a.added_at, concat('saved ', coalesce(a.text, '')) AS text,
+    a.id AS line_no, coalesce(d.lang, 'none') AS lang FROM articles a JOIN documents d ON d.doc_id + 1 = a.id"""
+
+
+@query(o.statement(f"""SELECT CAST(CASE lang WHEN 'es' THEN first WHEN 'fr' THEN first_n + second
+        ELSE first_n + second_n + third END AS BIGINT) AS id, url, title, text FROM (
+    SELECT *, count(*) FILTER (lang IN ('en', 'es')) OVER () AS first_n, count(*) FILTER (lang = 'fr') OVER () AS second_n,
+        count(*) FILTER (lang IN ('en', 'es')) OVER w AS first, count(*) FILTER (lang = 'fr') OVER w AS second,
+        count(*) FILTER (lang NOT IN ('en', 'es', 'fr')) OVER w AS third
+    FROM ({_LISTED_DOCUMENTS}) WINDOW w AS (ORDER BY line_no)) WHERE lang <> 'en'"""))
+def import_rerun(t: Tables) -> DataFrame:
+    """A first batch is imported, then a second, then the first once more with another list: what
+    the second saved is skipped, what the first had keeps its id, new ids were never given."""
+    store = Store(t.spark, scratch_path(t.spark, "imports"))
+    listed = materialize(t.sql(_LISTED_DOCUMENTS), "listed").withColumns(
+        {"source_file": F.lit("documents"), "tags": F.array().cast("array<string>")})
+    nothing = t.spark.createDataFrame([], "url string, title string, author string, text string, source string, reason string")
+    lang = F.col("lang")
+    for batch_id, part in ((1, lang.isin("en", "es")), (2, lang.isin("es", "fr")), (1, lang != "en")):
+        ingest.run_import(store, listed.where(part).drop("lang"), nothing, batch_id, F.lit(NOW))
+    return store.articles().select("id", "url", "title", "text")
+
+
+@query(o.statement(f"""SELECT a.id, a.url, g.tags, w.n_terms FROM articles a LEFT JOIN ({_TAG_TEXT}) g ON g.article_id = a.id
+    LEFT JOIN (SELECT id, count(DISTINCT term) AS n_terms FROM words GROUP BY id) w ON w.id = a.id"""))
+def merge_batches(t: Tables) -> DataFrame:
+    """All documents in batches by source, merged by size: articles, tags and index as before."""
+    store = Store(t.spark, scratch_path(t.spark, "merged"))
+    part = F.coalesce(F.regexp_extract("url", "src([0-9]+)", 1).try_cast("int") % 6, F.lit(0))
+    articles = materialize(t["articles"].withColumn("part", part), "parted")
+    for n in range(6):
+        own = articles.where(F.col("part") == n).drop("part")
+        tags = t["tags"].join(own.select(F.col("id").alias("article_id")), "article_id", "left_semi")
+        store.append(own, tags, n)
+    store.compact(fanout=3)
+    store.vacuum()
+    terms = store.index().terms().groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"))
+    tagged = tag_strings(store.tags()).withColumnRenamed("article_id", "id")
+    return store.articles().select("id", "url").join(tagged, "id", "left").join(terms, "id", "left")
+
+
 # -- export files, written from the tables and read back -----------------------------
 
 
@@ -627,6 +676,8 @@ def detect_export_kind(t: Tables) -> DataFrame:
     SELECT url, title || chr(10) || 'again' AS title, {_UNIX_ISO} AS added_at, {_NO} AS text, replace(trim(tag_text), '|', ',') AS tags FROM saves
     UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, {_NO} FROM saves
     UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, '' FROM saves
+    UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, '' FROM saves
+    UNION ALL SELECT url, {_NO}, {_NO}, {_NO}, {_NO} FROM saves
     UNION ALL SELECT url, title, {_UNIX_ISO}, {_NO}, {_TYPED_TAGS} FROM saves
     UNION ALL SELECT url, {_NO}, {_NO}, {_NO}, {_NO} FROM saves WHERE url LIKE 'http://%' OR url LIKE 'https://%'
     UNION ALL SELECT url, title, added_at, CASE WHEN author IS NOT NULL THEN nullif({o.strip('text')}, '') END,
@@ -652,6 +703,14 @@ def import_mixed_folder(t: Tables) -> DataFrame:
     urls = saves.select(several.alias("n"), F.col("url").alias("value")).groupBy("n").agg(page)
     export.write_files(urls.select(F.concat("n", F.lit(".list")).alias("path"), "content"), f"{root}/urls")
     _write_omnivore(t, f"{root}/omnivore")
+    # Names that end otherwise than they look, a url far to the right, files that belong to an export.
+    odd = saves.select(several.alias("n"), _link("ADD_DATE", False).alias("value")).groupBy("n").agg(page)
+    export.write_files(odd.select(F.concat("n", F.lit(".html.bak")).alias("path"), "content"), f"{root}/odd")
+    lines = saves.select(several.alias("n"), F.concat(F.lit("," * 299), "url").alias("value")).groupBy("n").agg(page)
+    header = ",".join(f"c{k}" for k in range(299)) + ",URL\n"
+    wide = lines.select(F.concat("n", F.lit(".html.csv")).alias("path"), F.concat(F.lit(header), "content").alias("content"))
+    export.write_files(wide, f"{root}/wide")
+    export.write_files(odd.select(F.concat("n", F.lit(".html")).alias("path"), "content"), f"{root}/omnivore/content")
     zips = _omnivore_entries(t).mapInPandas(_zip, "path string, content binary")
     _write_bytes(zips, f"{root}/zips")
     found = exports.read_exports(t.spark, root)

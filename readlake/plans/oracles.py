@@ -212,14 +212,23 @@ TABLES = {
     "page_hops": f"""SELECT DISTINCT {normalized('url')} AS given_url, hop, target FROM hops""",
     "last_hops": """SELECT given_url, arg_max(target, (hop, target)) AS target FROM page_hops GROUP BY given_url""",
     "given_pages": f"""SELECT url, {normalized('url')} AS given_url FROM pages""",
-    "resolved": f"""SELECT p.url, p.given_url, {normalized('coalesce(h.target, p.url)')} AS final_url
-        FROM given_pages p LEFT JOIN last_hops h ON h.given_url = p.given_url""",
-    "targets": """SELECT url, 0 AS hop, url AS target FROM pages
-        UNION ALL SELECT p.url, h.hop, h.target FROM given_pages p JOIN page_hops h ON h.given_url = p.given_url""",
+    # From page to page until it stops, or comes to one where it was before.
+    "onward": f"""SELECT given_url, {normalized('target')} AS next FROM last_hops""",
+    "walked": """SELECT given_url AS page, [given_url] AS path, next FROM onward
+        UNION ALL SELECT w.page, list_append(w.path, w.next), n.next FROM walked w JOIN onward n ON n.given_url = w.next
+        WHERE NOT list_contains(w.path, w.next)""",
+    "ends": """SELECT page, arg_max(path, len(path)) AS path, arg_max(next, len(path)) AS next FROM walked GROUP BY page""",
+    "resolved": """SELECT p.url, p.given_url, CASE WHEN e.page IS NULL THEN p.given_url
+            WHEN list_contains(e.path, e.next) THEN list_min(e.path[list_position(e.path, e.next) :]) ELSE e.next END AS final_url
+        FROM given_pages p LEFT JOIN ends e ON e.page = p.given_url""",
+    "targets": """SELECT url, 0 AS step, 0 AS hop, url AS target FROM pages
+        UNION ALL SELECT p.url, s.step, h.hop, h.target FROM given_pages p
+        JOIN (SELECT page, unnest(path) AS at, unnest(range(1, len(path) + 1)) AS step FROM ends) s ON s.page = p.given_url
+        JOIN page_hops h ON h.given_url = s.at""",
     "verdicts": """SELECT host, bool_or(ip LIKE '10.%' OR ip LIKE '169.254.%' OR ip LIKE 'fd%' OR ip LIKE 'fe80:%'
                OR ip LIKE '999.%' OR lower(ip) LIKE '2001:db8:%') AS blocked FROM resolutions GROUP BY host""",
     "guarded": """SELECT t.url, arg_min(CASE WHEN v.host IS NULL THEN 'unknown-host ' || split_part(t.target, '/', 3)
-            WHEN v.blocked THEN 'internal-host ' || v.host END, (t.hop, t.target))
+            WHEN v.blocked THEN 'internal-host ' || v.host END, (t.step, t.hop, t.target))
             FILTER (v.host IS NULL OR v.blocked) AS reason
         FROM targets t LEFT JOIN verdicts v ON v.host = split_part(t.target, '/', 3) GROUP BY t.url""",
 }
@@ -248,7 +257,7 @@ def statement(body: str) -> str:
         if name in needed:
             place(name)
     ctes = ",\n".join(f"{name} AS ({TABLES[name]})" for name in order)
-    sql = f"WITH {ctes}\n{body}" if ctes else body
+    sql = f"WITH RECURSIVE {ctes}\n{body}" if ctes else body
     for word, meaning in DUCKDB_WORDS.items():
         sql = sql.replace(word, meaning)
     return sql

@@ -242,6 +242,30 @@ def test_redirects(spark):
     assert [tuple(r) for r in same_final_page(resolved).collect()] == [("https://e.org/a", 2)]
 
 
+def test_redirect_chains(spark):
+    """Across pages, whatever the spelling; circles end at their smallest page."""
+    chain = [(f"http://c.org/{n}?utm_source=z", 1, f"http://c.org/{n + 1}/") for n in range(70)]
+    circles = [("http://o.org/b", 1, "http://o.org/c"), ("http://o.org/c", 1, "http://o.org/a"),
+               ("http://o.org/a", 1, "http://o.org/b"), ("http://o.org/tail", 1, "http://o.org/c"),
+               ("http://t.org/2", 1, "http://t.org/1"), ("http://t.org/1", 1, "http://t.org/2"),
+               ("http://s.org/self", 1, "http://s.org/self/?ref=x")]
+    hops = spark.createDataFrame([*chain, *circles], "url string, hop int, target string")
+    urls = [f"http://c.org/{n}" for n in (0, 1, 33, 69, 70)] + [u for u, _, _ in circles] + ["http://none.org/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r.final_url for r in resolve_redirects(df, hops).collect()}
+    assert {u: got[u] for u in urls[:5]} == dict.fromkeys(urls[:5], "http://c.org/70")
+    assert {got[u] for u, _, _ in circles[:4]} == {"http://o.org/a"}
+    assert {got[u] for u, _, _ in circles[4:6]} == {"http://t.org/1"}
+    assert got["http://s.org/self"] == "http://s.org/self" and got["http://none.org/"] == "http://none.org/"
+    # The guard follows them too.
+    ips = [("c.org", "93.184.216.34"), ("o.org", "8.8.8.8"), ("t.org", "8.8.8.8"), ("s.org", "8.8.8.8"),
+           ("none.org", "8.8.4.4"), ("in.org", "10.0.0.1")]
+    inside = spark.createDataFrame([("http://c.org/70", 1, "http://in.org/"), ("http://c.org/70", 2, "http://s.org/x")], hops.schema)
+    hosts = spark.createDataFrame(ips, "host string, ip string")
+    reasons = {r.url: r.reason for r in check_addresses(df, hops.union(inside), hosts).collect()}
+    assert {reasons[u] for u in urls[:5]} == {"internal-host in.org"} and {reasons[u] for u in urls[5:]} == {None}
+
+
 def test_addresses(spark):
     cases = {"http://fine.org/": None, "http://loop/x": "internal-host loop", "http://cloud.org/": "internal-host cloud.org",
              "http://mixed.org/": "internal-host mixed.org", "http://six.org/": "internal-host six.org",

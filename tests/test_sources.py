@@ -144,6 +144,27 @@ def test_mixed_folder(spark, tmp_path):
     assert {r.t for r in tags.collect()} == {"x", "y z", "plain", "named"}
 
 
+def test_files_of_a_mixed_folder_are_read_once(spark, tmp_path):
+    root = tmp_path / "odd"
+    link = '<a href="https://e.org/{0}">{0}</a>'
+    put(root, "a.html.bak", link.format("bak"))
+    put(root, "b.html.csv", "url\nhttps://e.org/csv\n")
+    put(root, "c.htmx", link.format("htmx"))
+    wide = ",".join(['"a, ""b"""', *(f"c{k}" for k in range(298)), " URL "])
+    put(root, "wide.csv", "\ufeff\n" + wide + "\n" + "x," * 299 + "https://e.org/wide\n")
+    put(root, "empty.csv", "")
+    put(root, "header.csv", "a,b\n")
+    put(root, "o/metadata_0.json", json.dumps(METADATA))
+    put(root, "o/own.csv", "url\nhttps://e.org/own\n")
+    put(root, "o/own.html", link.format("own"))
+    put(root, "o/content/page.HTML", link.format("own"))
+    got = sorted(r.url for r in read_exports(spark, str(root)).collect())
+    assert got == sorted(f"https://e.org/{n}" for n in ("bak", "csv", "htmx", "wide", "1", "2"))
+    put(root, "wrong.csv", "a,b\n1,2\n")
+    with pytest.raises(Exception, match="no 'url' column in the header of .*wrong.csv"):
+        read_exports(spark, str(root)).collect()
+
+
 def test_decode_responses(spark):
     page = "<p>naïve “quotes”</p>"
     raw = zlib.compressobj(wbits=-15)
