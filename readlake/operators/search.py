@@ -200,7 +200,7 @@ def postings_of(index: Index, slots: Iterable[tuple[str, bool]]) -> DataFrame:
 # -- hits of a phrase in one article -------------------------------------------
 
 
-# Up to this window it is cheaper to list what positions cover than to compare them.
+# Up to this window what positions cover is listed; for a wider one they are swept in order.
 LISTED_WINDOW = 64
 
 
@@ -210,23 +210,19 @@ def _covered(positions: Column, before: int, after: int) -> Column:
 
 def _follows_any(starts: Column, ends: Column, window: int) -> Column:
     """The ends that have a start at most ``window`` before them."""
-    if window <= LISTED_WINDOW:
-        return F.array_intersect(ends, _covered(starts, 0, window))
-    return F.filter(ends, lambda e: F.exists(starts, lambda p: (p <= e) & (p >= e - window)))
+    return F.array_intersect(ends, _covered(starts, 0, window))
 
 
 def _precedes_any(starts: Column, ends: Column, window: int) -> Column:
     """The starts that have an end at most ``window`` after them."""
-    if window <= LISTED_WINDOW:
-        return F.array_intersect(starts, _covered(ends, window, 0))
-    return F.filter(starts, lambda p: F.exists(ends, lambda e: (p <= e) & (p >= e - window)))
+    return F.array_intersect(starts, _covered(ends, window, 0))
 
 
 def _near_hits(members: list[Column], lengths: list[int], distance: int) -> list[Column]:
     """Of each member's positions, those that lie in a group within the distance.
 
     A group ends at some member's start e; every member must then start in
-    [e - length - distance, e]. What is compared does not grow with the distance.
+    [e - length - distance, e].
     """
     windows = [length + distance for length in lengths]
     ends = F.array_distinct(F.flatten(F.array(*members)))
@@ -235,6 +231,35 @@ def _near_hits(members: list[Column], lengths: list[int], distance: int) -> list
     return [_precedes_any(starts, ends, window) for starts, window in zip(members, windows, strict=True)]
 
 
+def _swept(found: DataFrame, first: int, group: Near) -> DataFrame:
+    """(id, f..): the same counts for any distance, by two sweeps over an article's positions.
+
+    Going up, the last start of each member is kept: a position ends a group if all of them are
+    near enough. Going down, the last such end is kept: a start counts if that is near enough.
+    A sweep is linear in the positions, and long articles are sorted outside memory.
+    """
+    numbers = range(first, first + len(group.phrases))
+    windows = {n: len(p.words) + group.distance for n, p in zip(numbers, group.phrases)}
+    all_there = reduce(lambda a, b: a & b, [F.size(f"p{n}") > 0 for n in numbers])
+
+    def marked(n: int) -> Column:
+        return F.transform(f"p{n}", lambda pos: F.struct(F.lit(n).alias("member"), pos.alias("pos")))
+
+    starts = [marked(n) for n in numbers]
+    rows = found.where(all_there).select("id", F.inline(F.concat(*starts)))
+    # A frame by range takes in what stands at the same position.
+    up, down = (
+        Window.partitionBy("id").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        for order in (F.asc("pos"), F.desc("pos"))
+    )
+    last = {n: F.max(F.when(F.col("member") == n, F.col("pos"))).over(up) for n in numbers}
+    ends = reduce(lambda a, b: a & b, [F.coalesce(F.col("pos") - last[n] <= windows[n], F.lit(False)) for n in numbers])
+    swept = rows.withColumn("end", F.when(ends, F.col("pos")))
+    swept = swept.withColumn("next_end", F.min("end").over(down))
+    near_enough = {n: (F.col("member") == n) & (F.col("next_end") - F.col("pos") <= windows[n]) for n in numbers}
+    return swept.groupBy("id").agg(*[F.count_if(near_enough[n]).alias(f"swept{n}") for n in numbers])
+
+
 def _phrase_positions(p: Phrase, at: dict[_Slot, Column]) -> Column:
     """Where the phrase starts, in its allowed columns."""
     slots = _slots(p)
@@ -275,17 +300,29 @@ def _article_hits(index: Index, query: Query) -> tuple[DataFrame, list[Phrase]]:
     found = per_article.select(
         "id", "dl", *[_phrase_positions(p, at).alias(f"p{i}") for i, p in enumerate(phrases)]
     )
-    counted = {i: F.col(f"p{i}") for i in range(len(phrases))}
+    counted = {i: F.size(f"p{i}") for i in range(len(phrases))}
+    wide = []
     for first, group in _near_groups(query):
         members = [F.col(f"p{first + k}") for k in range(len(group.phrases))]
         lengths = [len(p.words) for p in group.phrases]
+        if max(lengths) + group.distance > LISTED_WINDOW:
+            wide.append((first, group))
+            continue
         for k, hits in enumerate(_near_hits(members, lengths, group.distance)):
-            counted[first + k] = hits
+            counted[first + k] = F.size(hits)
+    if wide:
+        found = materialize(found, "positions")  # read once here and once per sweep
+        joined = found
+        for first, group in wide:
+            joined = joined.join(_swept(found, first, group), "id", "left")
+            for n in range(first, first + len(group.phrases)):
+                counted[n] = F.coalesce(f"swept{n}", F.lit(0)).cast("int")
+        found = joined
     return found.select(
         "id",
         "dl",
         *[F.size(f"p{i}").alias(f"h{i}") for i in counted],
-        *[F.size(hits).alias(f"f{i}") for i, hits in counted.items()],
+        *[hits.alias(f"f{i}") for i, hits in counted.items()],
     ), phrases
 
 

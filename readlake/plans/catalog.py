@@ -266,6 +266,15 @@ _search(
         {"h0": o.has_near("erin", "eron", 20), "h1": o.has_near("eron", "erin", 20)},
     ),
 )
+_search(
+    "search_near_far",
+    s.near("erin", "eron", distance=1000),
+    o.ranked(
+        {"h0": o.has_word("erin"), "h1": o.has_word("eron")},
+        "jh0.f > 0 AND jh1.f > 0",
+        {"h0": o.has_near("erin", "eron", 1000), "h1": o.has_near("eron", "erin", 1000)},
+    ),
+)
 _search(
     "search_first",
     s.within(s.term("the", first=True), "title"),
@@ -652,8 +661,9 @@ def _zip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @query(_OMNIVORE)
 def import_omnivore_zip(t: Tables) -> DataFrame:
-    files = _omnivore_entries(t).mapInPandas(_zip, "path string, content binary")
-    return _item_columns(exports.omnivore_zip_items(files))
+    root = scratch_path(t.spark, "zips")
+    _write_bytes(_omnivore_entries(t).mapInPandas(_zip, "path string, content binary"), root)
+    return _item_columns(exports.read_omnivore_zip(t.spark, root))
 
 
 _FILES = """SELECT concat('f', CAST(page_id AS STRING), CASE WHEN url LIKE '%.html' THEN '.HTML'
@@ -710,7 +720,7 @@ def import_mixed_folder(t: Tables) -> DataFrame:
     header = ",".join(f"c{k}" for k in range(299)) + ",URL\n"
     wide = lines.select(F.concat("n", F.lit(".html.csv")).alias("path"), F.concat(F.lit(header), "content").alias("content"))
     export.write_files(wide, f"{root}/wide")
-    export.write_files(odd.select(F.concat("n", F.lit(".html")).alias("path"), "content"), f"{root}/omnivore/content")
+    export.write_files(odd.select(F.concat("n", F.lit(".html")).alias("path"), "content"), f"{root}/omnivore/content", add=True)
     zips = _omnivore_entries(t).mapInPandas(_zip, "path string, content binary")
     _write_bytes(zips, f"{root}/zips")
     found = exports.read_exports(t.spark, root)

@@ -337,6 +337,21 @@ def test_markdown_files(spark, three, tmp_path):
         'saved: "2024-01-01T00:00:00Z"\n---\n\n# Soup & "bread"\n\nOne.\n\nTwo <b>.\n')
 
 
+def test_an_export_is_there_as_a_whole_or_not_at_all(spark, tmp_path):
+    good = spark.createDataFrame([("a", "x"), ("b", "é")], "path string, content string").repartition(2)
+    bad = good.withColumn("path", F.when(F.col("path") == "b", F.raise_error(F.lit("stop"))).otherwise(F.col("path")))
+    with pytest.raises(Exception, match="stop"):
+        export.write_files(bad, str(tmp_path / "out"))
+    assert list(tmp_path.iterdir()) == []
+    export.write_files(good, str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="has files"):
+        export.write_files(good, str(tmp_path / "out"))
+    export.write_files(good.limit(1).withColumn("path", F.lit("c")), str(tmp_path / "out"), add=True)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a", "b", "c"] and len(list(tmp_path.iterdir())) == 1
+    export.write_files(good.limit(0), str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
 def test_chapters_are_newest_first_and_well_formed(three):
     rows = export.chapters(export.by_month(three)).orderBy("n").collect()
     assert [(r.id, r.file) for r in rows] == [(2, "a1.xhtml"), (3, "a2.xhtml"), (1, "a3.xhtml")]

@@ -10,11 +10,11 @@ SF = "/root/testdata/sf0.01"
 def test_no_file_holds_a_share_of_all_links(spark, monkeypatch):
     write, lines = catalog.export.write_files, {}
 
-    def watched(documents, folder):
+    def watched(documents, folder, **more):
         if folder.endswith(("/bookmarks", "/pocket-pages", "/urls")):
             counted = documents.select(F.size(F.split("content", "\n")).alias("n"))
             lines[folder.rsplit("/", 1)[-1]] = [r.n for r in counted.collect()]
-        write(documents, folder)
+        write(documents, folder, **more)
 
     monkeypatch.setattr(catalog.export, "write_files", watched)
     catalog.QUERIES["import_mixed_folder"](spark, SF)

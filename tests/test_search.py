@@ -218,6 +218,32 @@ def test_large_distances_compare_positions(index, fts):
         assert all(abs(got[i] - expected[i]) < 1e-9 for i in got)
 
 
+@pytest.mark.parametrize("listed", [64, -1])
+def test_near_in_long_articles_equals_a_plain_count(spark, monkeypatch, listed):
+    """Positions are swept in order, also for short distances; every start that counts is counted."""
+    from readlake.operators import search as module
+
+    monkeypatch.setattr(module, "LISTED_WINDOW", listed)
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice(["sea", "owl", "ink", *["x"] * density]) for _ in range(400)) for density in (1, 20, 90, 300)]
+    rows = [(n, "u", "sea", None, text, "2024-01-01T00:00:00Z") for n, text in enumerate(texts)]
+    index = Index.of(spark.createDataFrame(rows, SCHEMA))
+    for distance in (0, 5, 70, 150):
+        query = near("sea x", "owl", "ink", distance=distance)
+        got = {r.id: (r.f0, r.f1, r.f2) for r in module._article_hits(index, query)[0].collect() if r.f0}
+        wanted = {}
+        for n, text in enumerate(texts):
+            words = text.split()
+            at = [[i for i in range(len(words)) if words[i : i + len(p)] == p] for p in (["sea", "x"], ["owl"], ["ink"])]
+            reach = [distance + 2, distance + 1, distance + 1]
+            ends = [e for e in sorted({i for m in at for i in m})
+                    if all(any(e - w <= i <= e for i in m) for m, w in zip(at, reach))]
+            counts = tuple(sum(any(i <= e <= i + w for e in ends) for i in m) for m, w in zip(at, reach))
+            if counts[0]:
+                wanted[n] = counts
+        assert got == wanted
+
+
 def test_totals_count_every_article(index):
     row = index.corpus().first()
     tokens = sum(len((a[2] + " " + (a[3] or "") + " " + a[4]).split()) for a in make_articles())

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readlake.functions import clean_tags
+from readlake.sources import exports
 from readlake.sources.exports import detect_export_kinds, read_export, read_exports
 from readlake.sources.responses import decode_responses
 
@@ -124,6 +125,33 @@ def test_omnivore_zip(spark, tmp_path):
     check_omnivore(*load(spark, tmp_path / "e.zip"))
 
 
+def test_members_of_a_zip_are_read_by_their_ranges(spark, tmp_path, monkeypatch):
+    """Several tasks for one zip; stored, deflated and otherwise packed members, bytes before the zip."""
+    monkeypatch.setattr(exports, "ZIP_SHARE", 100)
+    entries = [{"id": str(n), "slug": f"s é{n}", "url": f"https://e.org/{n}", "labels": []} for n in range(40)]
+    path = tmp_path / "many.zip"
+    path.write_bytes(b"#!/bin/sh\n")
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("other/notes.md", "no")
+        z.writestr("x/metadata_0.json", json.dumps(entries))
+        z.writestr("y/metadata_0.json", json.dumps(METADATA))
+        for n in range(40):
+            kind = (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2)[n % 3]
+            z.writestr(f"x/content/s é{n}.md", f"text {n} " * 30, kind)
+    found = exports.read_omnivore_zip(spark, str(path))
+    assert {r.url: r.text for r in found.collect()} == {f"https://e.org/{n}": (f"text {n} " * 30).strip() for n in range(40)}
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    with pytest.raises(Exception, match="none.zip: no metadata"):
+        exports.read_omnivore_zip(spark, str(tmp_path / "none.zip")).collect()
+    damaged = bytearray((path).read_bytes())
+    at = damaged.index(b"text 0 text 0")
+    damaged[at] ^= 1
+    (tmp_path / "bad.zip").write_bytes(damaged)
+    with pytest.raises(Exception, match="is damaged"):
+        exports.read_omnivore_zip(spark, str(tmp_path / "bad.zip")).collect()
+
+
 def test_mixed_folder(spark, tmp_path):
     root = tmp_path / "all"
     put(root, "p.csv", "title,url,time_added,tags\na,https://e.org/1,1451606400,x\n")
