@@ -30,7 +30,7 @@ UNKNOWN = "und"
 MIN_COUNT = 10
 TOP = 2000
 COVERED_PERCENT = 50
-SLICE = 4 << 20  # bytes of text that are counted together
+SLICE = 2 << 20  # bytes of text that are counted together
 BLOCK_WORDS = 1 << 20  # a longer text is counted in overlapping blocks
 CODE_BITS = 21
 ROW_ENTRIES = 256  # a longer stripe travels in several rows
