@@ -164,8 +164,7 @@ def _chain_ends(steps: DataFrame) -> DataFrame:
 
     while reached <= pages:
         # Very many pages may lead to one.
-        onward = ahead("low", "reason").join(state.select(F.col("page").alias("ptr"), F.col("ptr").alias("ptr_ahead")), "ptr")
-        joined = spread_join(state, onward, "ptr", "page")
+        joined = spread_join(state, ahead("ptr", "low", "reason"), "ptr", "page")
         state = materialize(
             joined.select(
                 "page",
