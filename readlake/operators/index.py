@@ -35,7 +35,10 @@ ARTICLE_BUCKET = BUCKETS
 POSTINGS_SCHEMA = "term string, id bigint, dl int, at array<int>, term_bucket int"
 TOTALS_SCHEMA = "n_docs bigint, n_tokens bigint"
 FREQUENCIES_SCHEMA = "term string, df bigint, hits bigint"
-TABLES = ("postings", "totals", "frequencies")
+# Articles of neighbouring ids form a block. For each word and block the index keeps what no
+# article of the block can exceed: the most hits, and the length of the shortest article.
+BLOCK_BITS = 10
+BLOCKS_SCHEMA = "term string, block bigint, df bigint, hits bigint, most int, shortest int"
 
 
 def _group_of(term: Column) -> Column:
@@ -125,19 +128,34 @@ def frequencies(rows: DataFrame) -> DataFrame:
     )
 
 
+def block_of(article_id: Column) -> Column:
+    return F.shiftright(article_id, BLOCK_BITS)
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(term, block, df, hits, most, shortest): what bounds a term's scores in a block of articles."""
+    terms = rows.where((F.col("term_bucket") != ARTICLE_BUCKET) & (F.col("term") != ARTICLE_ROW))
+    counted = terms.select("term", block_of(F.col("id")).alias("block"), F.size("at").alias("n"), "dl")
+    return counted.groupBy("term", "block").agg(
+        F.count(F.lit(1)).alias("df"), F.sum("n").alias("hits"), F.max("n").alias("most"), F.min("dl").alias("shortest")
+    )
+
+
 @dataclass(frozen=True)
 class Index:
-    """The postings, the totals and the frequencies of single terms of every indexed batch."""
+    """The postings, the totals, the frequencies of single terms and their bounds by block of every
+    indexed batch."""
 
     postings: DataFrame
     totals: DataFrame
     frequencies: DataFrame
+    blocks: DataFrame
 
     @staticmethod
     def of(articles: DataFrame) -> "Index":
         """An index that is not written: for one-off questions."""
         rows = postings(articles)
-        return Index(rows, totals(rows), frequencies(rows))
+        return Index(rows, totals(rows), frequencies(rows), blocks(rows))
 
     @staticmethod
     def read(spark: SparkSession, root: str) -> "Index":
@@ -146,10 +164,21 @@ class Index:
     @staticmethod
     def committed(batches: Generations, folder: str = "", state: State | None = None) -> "Index":
         state = batches.state() if state is None else state
+        bounds = batches.read(f"{folder}blocks", BLOCKS_SCHEMA, state=state)
+        # Batches written before there were blocks: theirs are made from the postings.
+        older = {
+            c.batch_id
+            for c in state.valid.values()
+            if f"{folder}postings" in c.tables and f"{folder}blocks" not in c.tables
+        }
+        if older:
+            made = blocks(batches.read(f"{folder}postings", POSTINGS_SCHEMA, only=older, state=state))
+            bounds = bounds.unionByName(made, allowMissingColumns=True)
         return Index(
             batches.read(f"{folder}postings", POSTINGS_SCHEMA, state=state),
             batches.read(f"{folder}totals", TOTALS_SCHEMA, state=state),
             batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA, state=state),
+            bounds,
         )
 
     def terms(self) -> DataFrame:
@@ -193,6 +222,12 @@ def write_postings(
     path = batches.path(f"{folder}postings", batch_id, generation)
     written = rows.sparkSession.read.schema(POSTINGS_SCHEMA).parquet(path)
     tables[f"{folder}totals"] = batches.write(totals(written).coalesce(1), f"{folder}totals", batch_id, generation)
-    found = frequencies(written).hint("rebalance").sortWithinPartitions("term")
+    found = blocks(written).hint("rebalance").sortWithinPartitions("term", "block")
+    tables[f"{folder}blocks"] = batches.write(found, f"{folder}blocks", batch_id, generation)
+    path = batches.path(f"{folder}blocks", batch_id, generation)
+    summed = rows.sparkSession.read.schema(BLOCKS_SCHEMA).parquet(path).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("hits").alias("hits")
+    )
+    found = summed.hint("rebalance").sortWithinPartitions("term")
     tables[f"{folder}frequencies"] = batches.write(found, f"{folder}frequencies", batch_id, generation)
     return tables

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_words, tokens
-from ..session import materialize
-from .index import FIELDS, Index, bucket_of, field_start, may_hold, positions_in
+from ..session import materialize, scratch_path
+from .index import FIELDS, Index, block_of, bucket_of, field_start, may_hold, positions_in
 
 # BM25 and NEAR as full-text indexes commonly define them.
 K1 = 1.2
@@ -31,6 +31,12 @@ NEAR_DISTANCE = 10
 # A search with a limit up to this looks its articles up by id.
 LOOKED_UP = 1000
 
+# Of a query with more blocks, this many are scored first to find out what the others must reach.
+FIRST_BLOCKS = 32
+
+# An archive of up to this many articles is one block: telling apart what to read would cost more.
+ONE_BLOCK = 1_000_000
+
 # Scores that agree to this many digits are a tie.
 TIE_DIGITS = 9
 
@@ -451,60 +457,96 @@ def search(
 # -- many queries at once ------------------------------------------------------
 
 
-def match_batch(index: Index, queries: DataFrame, salts: int | None = None) -> DataFrame:
-    """The articles that hold all words of each query: (query_id, id, score).
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table for the next steps; its columns are known, so no file is opened to learn them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    ``queries`` is (query_id, text). Queries with the same words are answered once.
-    Candidates come from the rarest word only, by the counts that the index keeps; the
-    others are then looked up by (word, article), a key no value of which is frequent,
-    in the order of their rarity, so that each lookup leaves fewer candidates. Should the
-    rarest word itself be common, its postings are spread over ``salts`` keys, by default
-    as many as there are shuffle partitions.
-    """
-    spark = queries.sparkSession
-    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def _planned(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries as (query_id, words), and (words, by_rarity) for each set of words that all occur
+    somewhere, with the number of articles each is in, rarest first."""
     worded = queries.select(
         "query_id", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")
     ).where(F.size("words") > 0)
-    worded = materialize(worded, "queries")
-    distinct = worded.select("words").distinct()
-    words = distinct.select(F.explode("words").alias("term"), "words")
+    worded = _written(worded, "queries")
+    words = worded.select("words").distinct().select(F.explode("words").alias("term"), "words")
     asked = words.select("term").distinct()
     counts = index.frequencies.join(asked, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("n_hits"))
-    # One row per set of words that all occur somewhere, with the words by rarity.
-    plans = materialize(
+    plans = (
         words.join(counts, "term")
         .groupBy("words")
         .agg(F.array_sort(F.collect_list(F.struct("n_hits", "term"))).alias("by_rarity"))
-        .where(F.size("words") == F.size("by_rarity")),
-        "plans",
+        .where(F.size("words") == F.size("by_rarity"))
     )
-    wanted = plans.select(F.explode("by_rarity.term").alias("term")).distinct()
-    # The bucket is a partition column: joined on it, other buckets are not read.
-    located = wanted.withColumn("term_bucket", bucket_of(F.col("term")))
-    held = index.terms().join(located, ["term_bucket", "term"], "left_semi").select(
-        "term", "id", "dl", F.size("at").alias("hits")
+    return worded, _written(plans, "plans")
+
+
+class _Corpus:
+    """The size of the corpus, which is one row, and what follows from it."""
+
+    def __init__(self, index: Index, one_block: int) -> None:
+        row = index.corpus().first()
+        self.one_block = (row["n_docs"] or 0) <= one_block
+        self.n_docs = F.lit(row["n_docs"]).cast("bigint")
+        self.avgdl = F.lit(row["avgdl"]).cast("double")
+
+    def weight(self, n_hits: Column, hits: Column, length: Column) -> Column:
+        return bm25(inverse_frequency(self.n_docs, n_hits), hits, length, self.avgdl)
+
+    def block(self, article_id: Column) -> Column:
+        return F.lit(0).cast("bigint") if self.one_block else block_of(article_id)
+
+
+def _bounds(index: Index, plans: DataFrame, corpus: _Corpus) -> DataFrame:
+    """(words, by_rarity, block, bound): the blocks that have every word of a query, and what no
+    article there can outdo. The rarest word names the blocks; the others are looked up there."""
+    if corpus.one_block:
+        return plans.select("words", "by_rarity", F.lit(0).cast("bigint").alias("block"), F.lit(0.0).alias("bound"))
+    terms = plans.select(F.explode("by_rarity.term").alias("term"))
+    kept = index.blocks.join(terms, "term", "left_semi").select("term", "block", "most", "shortest")
+    named = plans.withColumn("term", F.col("by_rarity")[0]["term"]).join(kept.select("term", "block"), "term")
+    asked = named.select("words", "by_rarity", "block", F.inline("by_rarity"))
+    # A block that two batches share has a row of each: the sum is then too high, but still a bound.
+    found = asked.join(kept, ["term", "block"]).groupBy("words", "by_rarity", "block").agg(
+        F.size(F.collect_set("term")).alias("_found"),
+        F.sum(corpus.weight(F.col("n_hits"), F.col("most"), F.col("shortest"))).alias("bound"),
     )
-    held = materialize(held, "held")  # looked at three times; without positions
-    rarest = plans.select(F.col("by_rarity")[0]["term"].alias("term"), "words", "by_rarity")
-    salted = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    candidates = held.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(
-        salted, ["term", "salt"]
+    return _written(found.where(F.col("_found") == F.size("words")).drop("_found"), "bounds")
+
+
+def _answered(index: Index, blocks: DataFrame, corpus: _Corpus) -> DataFrame:
+    """(words, id, score): the articles with all words of a query, in the blocks given for it.
+
+    Candidates come from the rarest word only; the others are then looked up by (word, article),
+    a key no value of which is frequent, the second rarest first, so that few are left for the rest.
+    """
+    # The bucket is a partition column: joined on it, other buckets are not read.
+    needed = blocks.select("block", F.explode("by_rarity.term").alias("term"))
+    needed = needed.withColumn("term_bucket", bucket_of(F.col("term")))
+    rows = index.terms().withColumn("block", corpus.block(F.col("id")))
+    held = rows.join(needed, ["term_bucket", "term", "block"], "left_semi").select(
+        "term", "block", "id", "dl", F.size("at").alias("hits")
     )
-    corpus = index.corpus().select(F.struct("n_docs", "avgdl")).scalar()
+    held = _written(held, "held")  # looked at three times; without positions
+    rarest = blocks.select("block", "words", "by_rarity", F.col("by_rarity")[0]["term"].alias("term"))
 
     def weight(n_hits: Column) -> Column:
-        return bm25(inverse_frequency(corpus["n_docs"], n_hits), F.col("hits"), F.col("dl"), corpus["avgdl"])
+        return corpus.weight(n_hits, F.col("hits"), F.col("dl"))
 
-    begun = candidates.select("words", "id", "by_rarity", weight(F.col("by_rarity")[0]["n_hits"]).alias("score"))
-    # A candidate's other words, one row each; those whose article lacks the second rarest
-    # word go before the rest is looked up.
-    several = begun.where(F.size("by_rarity") > 1)
-    second = several.withColumn("term", F.col("by_rarity")[1]["term"])
+    begun = held.join(rarest, ["term", "block"]).select(
+        "words", "id", "by_rarity", weight(F.col("by_rarity")[0]["n_hits"]).alias("score")
+    )
+    # Written, so that Spark knows how few there are when it chooses how to look up the others.
+    begun = _written(begun, "candidates")
     pair = held.select("term", "id", "dl", "hits")
+    second = begun.where(F.size("by_rarity") > 1).withColumn("term", F.col("by_rarity")[1]["term"])
     narrowed = second.join(pair, ["term", "id"]).select(
         "words", "id", "by_rarity", (F.col("score") + weight(F.col("by_rarity")[1]["n_hits"])).alias("score")
     )
+    narrowed = _written(narrowed, "narrowed")
+    # Their other words, one row each.
     rest = narrowed.where(F.size("by_rarity") > 2).select(
         "words", "id", "score", F.inline(F.slice("by_rarity", 3, F.size("by_rarity")))
     )
@@ -515,27 +557,66 @@ def match_batch(index: Index, queries: DataFrame, salts: int | None = None) -> D
         .where(F.col("n_found") == F.size("words") - 2)
         .select("words", "id", (F.col("score") + F.col("more")).alias("score"))
     )
-    answered = (
+    return (
         begun.where(F.size("by_rarity") == 1)
         .select("words", "id", "score")
         .union(narrowed.where(F.size("by_rarity") == 2).select("words", "id", "score"))
         .union(found)
     )
+
+
+def _promising(index: Index, bounds: DataFrame, corpus: _Corpus, k: int, n_first: int) -> DataFrame:
+    """The blocks that can hold one of the best ``k`` of a query.
+
+    The blocks of best bound are scored first. If they have ``k`` articles, blocks whose bound does
+    not reach the last of these are passed over; none that could change the answer is.
+    """
+    if corpus.one_block:
+        return bounds
+    many = bounds.groupBy("words").count().where(F.col("count") > n_first).select("words")
+    if not many.take(1):
+        return bounds
+    by_bound = Window.partitionBy("words").orderBy("bound", "block")
+    first = bounds.join(many, "words", "left_semi").withColumn("_no", F.row_number().over(by_bound))
+    first = _written(first.where(F.col("_no") <= n_first).drop("_no"), "first_blocks")
+    by_score = Window.partitionBy("words").orderBy("score")
+    last = _answered(index, first, corpus).withColumn("_no", F.row_number().over(by_score))
+    last = last.where(F.col("_no") == k).select("words", F.col("score").alias("_last"))
+    # Scores that round to the same are ties, and the id decides.
+    reaches = F.col("_last").isNull() | (F.col("bound") <= F.col("_last") + 10.0 ** (1 - TIE_DIGITS))
+    return _written(bounds.join(last, "words", "left").where(reaches).drop("_last"), "promising")
+
+
+def match_batch(index: Index, queries: DataFrame, one_block: int = ONE_BLOCK) -> DataFrame:
+    """The articles that hold all words of each query: (query_id, id, score).
+
+    ``queries`` is (query_id, text). Queries with the same words are answered once, and only in
+    blocks of articles that have all their words; an archive of up to ``one_block`` articles is one.
+    """
+    worded, plans = _planned(index, queries)
+    corpus = _Corpus(index, one_block)
+    answered = _answered(index, _bounds(index, plans, corpus), corpus)
     return worded.join(answered, "words").select("query_id", "id", "score")
 
 
-def search_batch(index: Index, queries: DataFrame, k: int = 10, salts: int | None = None) -> DataFrame:
+def search_batch(
+    index: Index, queries: DataFrame, k: int = 10, one_block: int = ONE_BLOCK, first_blocks: int = FIRST_BLOCKS
+) -> DataFrame:
     """The best ``k`` articles of each query: (query_id, id, score, rank).
 
-    The limit is applied before the rows of a query meet, so a query that matches a
-    large part of the archive sends no more than ``k`` rows per task.
+    Of queries with more than ``first_blocks`` blocks those that cannot reach the best ``k`` are not
+    scored. The limit is applied before the rows of a query meet, so no more than ``k`` rows per
+    task are sent.
     """
+    worded, plans = _planned(index, queries)
+    corpus = _Corpus(index, one_block)
+    blocks = _promising(index, _bounds(index, plans, corpus), corpus, k, first_blocks)
     # The weights of a row are summed in no fixed order, so equal texts may differ in
     # the last bits; rounding lets the id decide between them, as it should.
-    by_rank = Window.partitionBy("query_id").orderBy(F.round("score", TIE_DIGITS), "id")
+    by_rank = Window.partitionBy("words").orderBy(F.round("score", TIE_DIGITS), "id")
     best = (
-        match_batch(index, queries, salts)
-        .withColumn("rank", F.row_number().over(by_rank))
+        _answered(index, blocks, corpus)
+        .withColumn("rank", F.row_number().over(by_rank).cast("bigint"))
         .where(F.col("rank") <= k)
     )
-    return best.withColumn("rank", F.col("rank").cast("bigint"))
+    return worded.join(best, "words").select("query_id", "id", "score", "rank")

@@ -294,21 +294,47 @@ _search(
 _BATCH_WEIGHT = o.weight("p.f", "df.n")
 
 
-@query(o.statement(f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (
+
+def _batch_oracle(words: str) -> str:
+    """The best ten articles of each benchmark item by some of its words."""
+    return o.statement(f"""SELECT query_id, id, round(score, 6) AS score, rank FROM (
     SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank
     FROM (SELECT q.query_id, p.id, sum({_BATCH_WEIGHT}) AS score
-          FROM (SELECT DISTINCT item_id AS query_id, unnest({o.tokens('text')}) AS term FROM benchmark) q
+          FROM (SELECT DISTINCT item_id AS query_id, unnest({words}) AS term FROM benchmark) q
           JOIN (SELECT id, term, count(*) AS f FROM words GROUP BY id, term) p ON p.term = q.term
           JOIN (SELECT term, count(DISTINCT id) AS n FROM words GROUP BY term) df ON df.term = q.term
           JOIN lengths d ON d.id = p.id CROSS JOIN corpus c
-          JOIN (SELECT item_id, len(list_distinct({o.tokens('text')})) AS n_words FROM benchmark) b
+          JOIN (SELECT item_id, len(list_distinct({words})) AS n_words FROM benchmark) b
             ON b.item_id = q.query_id
-          GROUP BY q.query_id, p.id, b.n_words HAVING count(*) = b.n_words)) WHERE rank <= 10"""))
+          GROUP BY q.query_id, p.id, b.n_words HAVING count(*) = b.n_words)) WHERE rank <= 10""")
+
+
+@query(_batch_oracle(o.tokens("text")))
 def search_batch(t: Tables) -> DataFrame:
     queries = t["benchmark"].select(F.col("item_id").alias("query_id"), "text")
     return s.search_batch(_index(t), queries, k=10).withColumn("score", F.round("score", 6))
 
 
+@query(_batch_oracle(f"list_slice({o.tokens('text')}, 1, 2)"))
+def search_batch_blocks(t: Tables) -> DataFrame:
+    """Queries of two words, which many articles match, block by block."""
+    two = F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ")
+    queries = t["benchmark"].select(F.col("item_id").alias("query_id"), two.alias("text"))
+    found = s.search_batch(_index(t), queries, k=10, one_block=0, first_blocks=1)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(o.statement("""SELECT term, id >> 10 AS block, count(*) AS df, CAST(sum(f) AS BIGINT) AS hits,
+    CAST(max(f) AS BIGINT) AS most, CAST(min(dl) AS BIGINT) AS shortest
+    FROM (SELECT w.term, w.id, count(*) AS f, max(d.dl) AS dl
+          FROM words w JOIN lengths d ON d.id = w.id GROUP BY w.term, w.id) GROUP BY term, id >> 10"""))
+def index_blocks(t: Tables) -> DataFrame:
+    """What bounds the scores of each word in each block of articles."""
+    return _index(t).blocks.select(
+        "term", "block", "df", "hits", F.col("most").cast("bigint").alias("most"), F.col("shortest").cast("bigint").alias("shortest")
+    )
+
+
 # -- listing -----------------------------------------------------------------------
 
 _TAG_TEXT = "SELECT article_id, string_agg(tag, ', ' ORDER BY tag) AS tags FROM tags GROUP BY article_id"

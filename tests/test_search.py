@@ -2,10 +2,14 @@
 
 import random
 import sqlite3
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from readlake.operators import index as index_module
+from readlake.operators import search as search_module
+from readlake.operators.generations import Generations
 from readlake.operators.index import Index, write_index
 from readlake.operators.search import (
     adjacent,
@@ -175,7 +179,7 @@ def test_unwritten_index_gives_the_same(index, articles):
 def test_batch_equals_single_queries(spark, index, fts):
     texts = ["sea owl", "ink", "paper pale seal", "sea nowhere", "..."]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-    rows = match_batch(index, queries, salts=3).collect()
+    rows = match_batch(index, queries).collect()
     for number, text in enumerate(texts):
         got = {r.id: r.score for r in rows if r.query_id == number}
         expected = fts(text) if text not in ("...",) else {}
@@ -186,6 +190,59 @@ def test_batch_equals_single_queries(spark, index, fts):
     assert "WindowGroupLimit" in plan_of(top)
 
 
+@pytest.mark.parametrize("first_blocks", [1, 3])
+def test_blocks_that_are_passed_over_change_nothing(spark, articles, monkeypatch, first_blocks):
+    monkeypatch.setattr(index_module, "BLOCK_BITS", 2)
+    root = scratch_path(spark, "blocks")
+    write_index(articles.where("id <= 21"), root, 0)  # the two batches share a block
+    write_index(articles.where("id > 21"), root, 1)
+    index = Index.read(spark, root)
+    texts = ["sea", "sea owl", "paper pale seal", "café", "sea nowhere", "ink ink", "..."]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
+    every = match_batch(index, queries).collect()
+    assert sorted(match_batch(index, queries, one_block=0).collect()) == sorted(every)
+    scored = []
+
+    def spied(used, blocks, corpus):
+        scored.append(blocks.count())
+        return answered(used, blocks, corpus)
+
+    answered = search_module._answered
+    monkeypatch.setattr(search_module, "_answered", spied)
+    for k in (1, 4, 100):
+        best = {}
+        for row in sorted(every, key=lambda r: (r.query_id, round(r.score, 9), r.id)):
+            best.setdefault(row.query_id, []).append(row.id)
+        got = {}
+        top = search_batch(index, queries, k, one_block=0, first_blocks=first_blocks).collect()
+        for row in sorted(top, key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(row.query_id, []).append(row.id)
+        assert got == {query: ids[:k] for query, ids in best.items()}
+    # For each k what is scored first, then what can still reach the best: fewer if k is small.
+    assert scored[1] < scored[5]
+
+
+def test_blocks_bound_every_score(index):
+    posted = index.terms().select("term", index_module.block_of(F.col("id")).alias("block"), "dl", F.size("at").alias("n"))
+    # A block that batches share has a row of each.
+    rows = index.blocks.groupBy("term", "block").agg(F.max("most").alias("most"), F.min("shortest").alias("shortest"))
+    assert posted.join(rows, ["term", "block"], "left").where("most IS NULL OR n > most OR dl < shortest").count() == 0
+    assert index.blocks.groupBy("term").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).exceptAll(
+        index.document_frequencies()).count() == 0
+
+
+def test_batches_without_blocks_get_theirs_from_the_postings(spark, articles):
+    root = scratch_path(spark, "older")
+    write_index(articles.where("id <= 20"), root, 0)
+    write_index(articles.where("id > 20"), root, 1)
+    batches = Generations(spark, root)
+    state = batches.state()
+    expected = sorted(Index.committed(batches).blocks.drop("batch_id").collect())
+    older = replace(state.valid[0], tables={k: v for k, v in state.valid[0].tables.items() if k != "blocks"})
+    state = replace(state, valid={**state.valid, 0: older})
+    assert sorted(Index.committed(batches, state=state).blocks.drop("batch_id").collect()) == expected
+
+
 def plan_of(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
