@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import spread_join
 from ..operators.numbering import number_rows
 from ..session import materialize
 
@@ -30,46 +31,56 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def _passages(text: Column) -> Column:
-    """A message as an array of (depth, text): longest runs of lines of one depth, cut at lines
-    without a letter or digit. Texts of quoted lines come without their marks."""
+def _with_passages(messages: DataFrame) -> DataFrame:
+    """Messages with ``passages``, an array of (depth, text): longest runs of lines of one depth, cut
+    at lines without a letter or digit. Texts of quoted lines come without their marks.
+
+    Lines and openings are columns of their own, used more than once by the next step, so they
+    are computed once per message and not once per line.
+    """
+    marked = F.transform(
+        F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n"),
+        lambda line: F.struct(quote_depth(line).alias("depth"), line.alias("line")),
+    )
+    bare = F.transform(
+        marked,
+        lambda m: F.struct(
+            m["depth"].alias("depth"),
+            F.when(m["depth"] > 0, F.regexp_replace(m["line"], _MARKS + r"[ \t]?", "")).otherwise(m["line"]).alias("text"),
+        ),
+    )
     lines = F.transform(
-        F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n"), "\n"),
+        bare,
         lambda line: F.struct(
-            quote_depth(line).alias("depth"),
-            F.when(quote_depth(line) > 0, F.regexp_replace(line, _MARKS + r"[ \t]?", "")).otherwise(line).alias("text"),
+            line["depth"].alias("depth"), line["text"].alias("text"), (normalised(line["text"]) == "").alias("blank")
         ),
     )
+    all_lines, openings = F.col("_lines"), F.col("_openings")
     # Each run is opened by its first line; slices between openings are linear in the lines.
-    openings = F.filter(
-        F.transform(
-            lines,
-            lambda line, k: F.when(
-                (k == 0)
-                | (line["depth"] != F.get(lines, k - 1)["depth"])
-                | ((normalised(line["text"]) == "") != (normalised(F.get(lines, k - 1)["text"]) == "")),
-                k,
-            ),
-        ),
-        lambda k: k.isNotNull(),
+    opened = F.filter(
+        F.sequence(F.lit(0), F.size(all_lines) - 1),
+        lambda k: (k == 0)
+        | (F.get(all_lines, k)["depth"] != F.get(all_lines, k - 1)["depth"])
+        | (F.get(all_lines, k)["blank"] != F.get(all_lines, k - 1)["blank"]),
     )
-    return F.transform(
+    passages = F.transform(
         openings,
         lambda at, k: F.struct(
-            F.get(lines, at)["depth"].alias("depth"),
+            F.get(all_lines, at)["depth"].alias("depth"),
             F.array_join(
-                F.transform(
-                    F.slice(lines, at + 1, F.coalesce(F.get(openings, k + 1), F.size(lines)) - at), lambda line: line["text"]
-                ),
-                "\n",
+                F.slice(all_lines, at + 1, F.coalesce(F.get(openings, k + 1), F.size(all_lines)) - at)["text"], "\n"
             ).alias("text"),
         ),
     )
+    with_lines = messages.withColumn("_lines", lines).withColumn("_openings", opened)
+    return with_lines.withColumn("passages", passages).drop("_lines", "_openings")
 
 
 def _split(messages: DataFrame) -> DataFrame:
     """One row per passage with a letter or digit."""
-    passages = messages.select("conv_id", "turn", F.explode(_passages(F.col("text"))).alias("passage"))
+    # An outer explode, as a plain one would first filter by whether there are passages, and
+    # work them out twice for it.
+    passages = _with_passages(messages).select("conv_id", "turn", F.explode_outer("passages").alias("passage"))
     words = normalised(F.col("passage.text"))
     return passages.select(
         "conv_id",
@@ -122,7 +133,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
     their position and what they answer. Other columns are not read.
     """
     source = messages.select("conv_id", "turn", "role", "text").where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    own = F.filter(_passages(F.col("text")), lambda p: p["depth"] == 0)
+    own = F.filter("passages", lambda p: p["depth"] == 0)
     body = F.trim(F.array_join(F.transform(own, lambda p: p["text"]), "\n"), F.lit(" \t\r\n"))
     linked = link_quotes(source).groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"),
@@ -135,7 +146,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
     before = turns.select((F.col("_no") + 1).alias("_no"), F.col("turn").alias("_before"))
     answers = (
         turns.join(before, "_no", "left")
-        .join(firsts, "conv_id")
+        .transform(lambda rows: spread_join(rows, firsts, "conv_id", "turn", "inner"))
         .join(linked, ["conv_id", "turn"], "left")
         .select(
             "conv_id",
@@ -146,7 +157,7 @@ def chat_format(messages: DataFrame) -> DataFrame:
             F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
         )
     )
-    joined = source.join(answers, ["conv_id", "turn"])
+    joined = _with_passages(source.join(answers, ["conv_id", "turn"]))
     marked = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("message"), F.lit("\n<|end|>\n"))
     return joined.select(
         "conv_id",

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -103,3 +104,19 @@ def test_given_table_with_quotes_made_from_it(spark, sf_dir):
 
 def test_empty(spark):
     assert quotes.chat_format(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_messages_of_many_lines_take_linear_time(spark):
+    def lines(n):
+        return [f"> asked {k}" if k % 3 == 0 else "" if k % 7 == 0 else f"line {k}" for k in range(n)]
+
+    def passages(n):
+        return sum(k % 3 == 0 for k in range(n))
+
+    rows = [(1, 0, "user", "asked 0\n\nhello"), (1, 1, "user", "\n".join(lines(50_000)))]
+    start = time.perf_counter()
+    got = quotes.chat_format(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert time.perf_counter() - start < 60
+    long = next(r for r in got if r.turn == 1)
+    assert (long.n_quotes, long.n_linked, long.reply_to) == (passages(50_000), 1, 0)
+    assert long.message.split() == [w for k in range(50_000) if k % 3 and k % 7 for w in ("line", str(k))]
