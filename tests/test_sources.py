@@ -2,6 +2,8 @@
 
 import gzip
 import json
+import random
+import re
 import zipfile
 import zlib
 
@@ -9,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readlake.functions import clean_tags
-from readlake.sources import exports
-from readlake.sources.exports import detect_export_kinds, read_export, read_exports
+from readlake.sources import exports, ranges
+from readlake.sources.exports import detect_export_kinds, read_export, read_exports, read_link_export
 from readlake.sources.responses import decode_responses
 
 
@@ -89,6 +91,38 @@ def test_pocket_html(spark, tmp_path):
     assert kind == "pocket" and rows[0].tags == ["x"] and rows[0].added_at == "2016-01-01T00:00:00Z"
 
 
+def brute_links(page):
+    """The hrefs of links that are closed, from the whole file at once."""
+    page = re.sub(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)", "", page)
+    found = [re.match(r'(?is)<a href="([^"]*)" x="[^"]*">(.*?)</a\s*>', s) for s in re.split(r"(?i)(?=<a href=)", page)]
+    return [(m[1], m[2].strip()) for m in found if m]
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_a_link_file_is_read_in_ranges(spark, tmp_path, monkeypatch, size):
+    """Comments, scripts, links and tags that reach across any number of ranges."""
+    monkeypatch.setattr(ranges, "RANGE_BYTES", size)
+    monkeypatch.setattr(ranges, "TASK_BYTES", 4000)
+    monkeypatch.setattr(ranges, "OPENING_BYTES", 100)
+    rng = random.Random(size)
+    link = '<a href="https://e.org/{0}" x="a<b>">T {0} é</a>'
+    parts = ["<!-- ", "-->", "<script>", "</SCRIPT >", "<style ", "</style>", "--", "<", "plain é text", "<!", "<p>", "</a>", link]
+    pages = {}
+    for name in ("a", "b", "c"):
+        count = 15 if size == 1 else 120
+        chosen = rng.choices(parts, [1, 4, 1, 4, 1, 4, 2, 3, 3, 1, 4, 2, 12], k=count)
+        pages[name] = "".join(part.format(k) if part is link else part for k, part in enumerate(chosen))
+    pages["c"] += " time_added "
+    paths = [put(tmp_path, f"{name}.html", page) for name, page in pages.items()]
+    put(tmp_path, "empty.html", "")
+    rows = read_link_export(spark, *paths, str(tmp_path / "empty.html")).collect()
+    for path, (name, page) in zip(paths, pages.items()):
+        own = sorted((r for r in rows if r.source_file.endswith(f"/{name}.html")), key=lambda r: r.line_no)
+        assert [(r.url, r.title) for r in own] == brute_links(page)
+        assert len({r.line_no for r in own}) == len(own)
+        assert {r.kind for r in own} <= {"pocket" if name == "c" else "bookmarks"}
+
+
 def test_url_list(spark, tmp_path):
     kind, rows = load(spark, put(tmp_path, "u.txt", "# mine\n  https://e.org/1 \n\njunk\nHTTP://e.org/no\nhttp://e.org/2\x0bhttps://e.org/3\n"))
     assert kind == "urls" and [r.url for r in rows] == ["https://e.org/1", "http://e.org/2", "https://e.org/3"]
