@@ -38,6 +38,8 @@ FREQUENCIES_SCHEMA = "term string, df bigint, hits bigint"
 # Articles of neighbouring ids form a block. For each word and block the index keeps what no
 # article of the block can exceed: the most hits, and the length of the shortest article.
 BLOCK_BITS = 10
+# So many words of a prefix are looked up one by one; of more, their range of terms is read.
+LISTED_WORDS = 1000
 BLOCKS_SCHEMA = "term string, block bigint, df bigint, hits bigint, most int, shortest int"
 
 
@@ -144,12 +146,13 @@ def blocks(rows: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Index:
     """The postings, the totals, the frequencies of single terms and their bounds by block of every
-    indexed batch."""
+    indexed batch. If it is written, the frequencies are a dictionary: in order of terms."""
 
     postings: DataFrame
     totals: DataFrame
     frequencies: DataFrame
     blocks: DataFrame
+    is_written: bool = False
 
     @staticmethod
     def of(articles: DataFrame) -> "Index":
@@ -179,8 +182,22 @@ class Index:
             batches.read(f"{folder}totals", TOTALS_SCHEMA, state=state),
             batches.read(f"{folder}frequencies", FREQUENCIES_SCHEMA, state=state),
             bounds,
+            is_written=True,
         )
 
+    def words(self, prefix: str) -> DataFrame:
+        """(term, df, hits) of the words that begin with the prefix: a range of the dictionary."""
+        found = self.frequencies.where(F.col("term").startswith(prefix))
+        return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
+
+    def listed(self, prefix: str) -> list[str] | None:
+        """The words that begin with the prefix; none if there are more than LISTED_WORDS, or no
+        dictionary to look them up in."""
+        if not self.is_written:
+            return None
+        found = [r["term"] for r in self.words(prefix).select("term").limit(LISTED_WORDS + 1).collect()]
+        return sorted(found) if len(found) <= LISTED_WORDS else None
+
     def terms(self) -> DataFrame:
         """The postings without the rows that describe articles."""
         return self.postings.where(
@@ -228,6 +245,7 @@ def write_postings(
     summed = rows.sparkSession.read.schema(BLOCKS_SCHEMA).parquet(path).groupBy("term").agg(
         F.sum("df").alias("df"), F.sum("hits").alias("hits")
     )
-    found = summed.hint("rebalance").sortWithinPartitions("term")
+    # A file is a range of terms, so that a word or a prefix is in few of them.
+    found = summed.repartitionByRange("term").sortWithinPartitions("term")
     tables[f"{folder}frequencies"] = batches.write(found, f"{folder}frequencies", batch_id, generation)
     return tables

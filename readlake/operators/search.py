@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_words, tokens
 from ..session import materialize, scratch_path
-from .index import FIELDS, Index, block_of, bucket_of, field_start, may_hold, positions_in
+from .index import BUCKET_PREFIX, FIELDS, Index, block_of, bucket_of, field_start, may_hold, positions_in
 
 # BM25 and NEAR as full-text indexes commonly define them.
 K1 = 1.2
@@ -196,11 +196,42 @@ def _any(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def postings_of(index: Index, slots: Iterable[tuple[str, bool]]) -> DataFrame:
-    """The postings of some words: partitions pruned by bucket, row groups by term."""
+def _whole_words(query: Query, known: dict[str, list[str] | None]) -> Query:
+    """The query with every prefix that only one word has as that word, whose number of articles
+    the index keeps and whose postings are one row per article."""
+    if isinstance(query, Phrase):
+        only = known.get(query.words[-1]) if query.prefix and query.words else None
+        if only is None or len(only) != 1:
+            return query
+        return replace(query, words=(*query.words[:-1], only[0]), prefix=False)
+    if isinstance(query, Near):
+        return replace(query, phrases=tuple(_whole_words(p, known) for p in query.phrases))
+    if isinstance(query, Without):
+        return Without(_whole_words(query.kept, known), _whole_words(query.dropped, known))
+    return replace(query, parts=tuple(_whole_words(p, known) for p in query.parts))
+
+
+def postings_of(
+    index: Index, slots: Iterable[tuple[str, bool]], known: dict[str, list[str] | None] | None = None
+) -> DataFrame:
+    """The postings of some words: partitions pruned by bucket, row groups by term.
+
+    ``known`` lists the words of prefixes: then nothing but them is read, and nothing at all
+    for a prefix without any.
+    """
     slots = [_Slot(*slot) for slot in slots]
-    rows = index.postings.where(_any(slot.matches() for slot in slots))
-    return rows.where(_any(may_hold(s.word, s.prefix) for s in slots))
+    wanted, buckets = [], []
+    for slot in slots:
+        words = (known or {}).get(slot.word) if slot.prefix else [slot.word]
+        if words is None:
+            wanted.append(slot.matches())
+            buckets.append(may_hold(slot.word, True))
+        elif words:
+            wanted.append(F.col("term").isin(words))
+            buckets += [may_hold(start, False) for start in sorted({w[:BUCKET_PREFIX] for w in words})]
+    if not wanted:
+        return index.postings.where(F.lit(False))
+    return index.postings.where(_any(wanted)).where(_any(buckets))
 
 
 # -- hits of a phrase in one article -------------------------------------------
@@ -272,6 +303,10 @@ def _phrase_positions(p: Phrase, at: dict[_Slot, Column]) -> Column:
     starts = at[slots[0]]
     for k, slot in enumerate(slots[1:], 1):
         starts = F.array_intersect(starts, _shifted(at[slot], k))
+    return _allowed(p, starts)
+
+
+def _allowed(p: Phrase, starts: Column) -> Column:
     starts = positions_in(starts, p.fields)
     if p.first:
         starts = F.array_intersect(starts, F.array(*[F.lit(field_start(f)) for f in FIELDS]))
@@ -282,31 +317,48 @@ def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda pos: pos - by)
 
 
-def _article_hits(index: Index, query: Query) -> tuple[DataFrame, list[Phrase]]:
+def _article_hits(
+    index: Index, query: Query, known: dict[str, list[str] | None] | None = None
+) -> tuple[DataFrame, list[Phrase]]:
     """One row per article with any of the query's words.
 
     ``h<i>`` counts the hits of phrase i on its own, ``f<i>`` those that count for
-    ranking (inside NEAR only the ones near enough).
+    ranking (inside NEAR only the ones near enough). A word or prefix that stands alone is
+    counted where its postings are read: only numbers are gathered, summed on the way.
+    Positions are gathered for phrases and NEAR.
     """
     phrases = _phrases(query)
+    close = {first + k for first, group in _near_groups(query) for k in range(len(group.phrases))}
+    alone = {i: _slots(p)[0] for i, p in enumerate(phrases) if len(p.words) == 1 and i not in close}
     slots = list(dict.fromkeys(s for p in phrases for s in _slots(p)))
-    rows = postings_of(index, [(s.word, s.prefix) for s in slots])
-    at = {slot: F.col(f"at{n}") for n, slot in enumerate(slots)}
+    rows = postings_of(index, [(s.word, s.prefix) for s in slots], known)
+    placed = list(dict.fromkeys(s for i, p in enumerate(phrases) if i not in alone for s in _slots(p)))
+    at = {slot: F.col(f"at{n}") for n, slot in enumerate(placed)}
+    hits_here = {i: F.size(_allowed(phrases[i], F.col("at"))) for i in alone}
     if len(slots) == 1 and not slots[0].prefix:
         # One word: its postings already are one row per article.
-        per_article = rows.select("id", "dl", F.col("at").alias("at0"))
+        per_article = rows.select(
+            "id", "dl", *[F.col("at").alias(f"at{n}") for n in range(len(placed))],
+            *[hits.alias(f"c{i}") for i, hits in hits_here.items()],
+        )
     else:
         per_article = rows.groupBy("id").agg(
             F.max("dl").alias("dl"),
             *[
                 F.flatten(F.collect_list(F.when(slot.matches(), F.col("at")))).alias(f"at{n}")
-                for n, slot in enumerate(slots)
+                for n, slot in enumerate(placed)
+            ],
+            *[
+                F.sum(F.when(slot.matches(), hits_here[i]).otherwise(0)).cast("int").alias(f"c{i}")
+                for i, slot in alone.items()
             ],
         )
     found = per_article.select(
-        "id", "dl", *[_phrase_positions(p, at).alias(f"p{i}") for i, p in enumerate(phrases)]
+        "id", "dl", *[f"c{i}" for i in alone],
+        *[_phrase_positions(p, at).alias(f"p{i}") for i, p in enumerate(phrases) if i not in alone],
     )
-    counted = {i: F.size(f"p{i}") for i in range(len(phrases))}
+    own = {i: F.col(f"c{i}") if i in alone else F.size(f"p{i}") for i in range(len(phrases))}
+    counted = dict(own)
     wide = []
     for first, group in _near_groups(query):
         members = [F.col(f"p{first + k}") for k in range(len(group.phrases))]
@@ -327,7 +379,7 @@ def _article_hits(index: Index, query: Query) -> tuple[DataFrame, list[Phrase]]:
     return found.select(
         "id",
         "dl",
-        *[F.size(f"p{i}").alias(f"h{i}") for i in counted],
+        *[hits.alias(f"h{i}") for i, hits in own.items()],
         *[hits.alias(f"f{i}") for i, hits in counted.items()],
     ), phrases
 
@@ -395,7 +447,10 @@ def matches(index: Index, query: Query) -> DataFrame:
         raise ValueError(f"not a query: {query!r}")
     if _is_empty(query):
         return index.postings.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
-    hits, phrases = _article_hits(index, query)
+    # At most LISTED_WORDS words for each prefix of the query.
+    known = {p.words[-1]: index.listed(p.words[-1]) for p in _phrases(query) if p.prefix and p.words}
+    query = _whole_words(query, known)
+    hits, phrases = _article_hits(index, query, known)
     numbers = range(len(phrases))
     # One row of statistics each, read as scalar subqueries; every further column is
     # a step of its own, so that a subquery is not repeated for each use.

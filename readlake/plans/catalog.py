@@ -208,6 +208,11 @@ def index_stats(t: Tables) -> DataFrame:
     return _index(t).document_frequencies()
 
 
+@query(o.statement("SELECT term, count(DISTINCT id) AS df, count(*) AS hits FROM words WHERE term LIKE 'at%' GROUP BY term"))
+def index_words(t: Tables) -> DataFrame:
+    return _index(t).words("at")
+
+
 def _search(name: str, composed: s.Query, oracle: str, limit: int | None = None) -> None:
     def run(t: Tables) -> DataFrame:
         return s.search(_index(t), _articles(t), composed, limit).withColumn(

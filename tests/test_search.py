@@ -222,6 +222,39 @@ def test_blocks_that_are_passed_over_change_nothing(spark, articles, monkeypatch
     assert scored[1] < scored[5]
 
 
+def test_prefixes_are_looked_up_in_the_dictionary(index, articles, monkeypatch):
+    """None, one and several words, and more than are listed, alone, in phrases and with columns;
+    a search is the same without a dictionary."""
+    unwritten = Index.of(articles)
+    assert index.listed("sea") == ["sea", "seal", "search"] and index.listed("o") == ["owl"] and index.listed("x") == []
+    assert unwritten.listed("sea") is None
+    queries = [
+        term("sea", prefix=True), term("o", prefix=True), term("x", prefix=True),
+        both(term("pa", prefix=True), term("ow", prefix=True)), either(term("x", prefix=True), term("ink")),
+        phrase("sea pa", prefix=True), phrase("ink ow", prefix=True), phrase("s", prefix=True, first=True),
+        within(term("se", prefix=True), "title"), without(term("s", prefix=True), phrase("sea i", prefix=True)),
+        both(term("sea"), near("paper", "ink", distance=3)),
+    ]
+    for listed in (1000, 2, 0):
+        monkeypatch.setattr(index_module, "LISTED_WORDS", listed)
+        for query in queries:
+            got, expected = ({r.id: round(r.score, 9) for r in matches(i, query).collect()} for i in (index, unwritten))
+            assert got == expected, (listed, query)
+
+
+def test_the_postings_of_a_prefix_are_those_of_its_words(index):
+    read = postings_of(index, [("sea", True)], {"sea": ["sea", "seal"]})
+    assert {r.term for r in read.select("term").distinct().collect()} == {"sea", "seal"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(term_bucket" in plan and "In(term, [sea,seal])" in plan
+    assert postings_of(index, [("x", True)], {"x": []}).count() == 0
+
+
+def test_words_alone_move_no_positions(index):
+    plan = matches(index, both(term("sea"), either(term("ink"), within(term("paper"), "text"))))
+    assert "collect_list" not in plan._jdf.queryExecution().toString()
+
+
 def test_blocks_bound_every_score(index):
     posted = index.terms().select("term", index_module.block_of(F.col("id")).alias("block"), "dl", F.size("at").alias("n"))
     # A block that batches share has a row of each.
