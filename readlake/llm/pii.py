@@ -25,9 +25,43 @@ INNER_DOT, INNER_SPACE = "\ue001", "\ue000"
 
 _LOCAL = r"A-Za-z0-9._%+" + INNER_DOT + "-"
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+# How many signs an IBAN has, by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
 _AGAINST = "version|build|isbn|serial|order no|sha1|commit"
 
 
+def _iban() -> str:
+    """An IBAN in groups of four or without spaces, as long as its country has it, so that a word
+    in capitals after it is not taken in; of a country that is not listed, any length."""
+    known = []
+    for length, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        known.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{tail}")
+    listed = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+    other = f"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return f"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     """``gate`` is a cheap pattern that texts without a match fail; ``score`` what a confirmed
@@ -46,7 +80,7 @@ PATTERNS = [
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, "ip|address|host|server|login"),
     Kind("card", f"[0-9][0-9{INNER_SPACE}]++", "[0-9](?:[ -]?[0-9]){12}", 0.8, "card|visa|credit|karte|carte|tarjeta", "glued"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 0.8, "iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", _iban(), "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 0.8, "iban|bank|account|konto|compte|cuenta"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social security|national id"),
     Kind("secret", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])", "[0-9a-f]{32}", 0.3, "token|secret|api.?key|password|passwd"),
 ]

@@ -68,6 +68,9 @@ def test_added_spans_and_context(spark):
         f"pay to {IBAN} today": "iban:7:34",
         f"pay to {IBAN.replace('89', '88')} today": "",
         "GB82WEST12345698765432": "iban:0:22",
+        "BE68 5390 0754 7034 BIC GKCCBEBB": "iban:0:19",
+        f"{IBAN} DEUTDEFF, NO93 8601 1117 947 OSLO": "iban:0:27,iban:38:56",
+        f"{IBAN}X": "",
         "my social security number is 123-45-6789": "national_id:29:40",
         "call 123-45-6789": "",
         "my ssn 000-45-6789": "",
