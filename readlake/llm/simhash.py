@@ -133,8 +133,9 @@ def anchors(fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) that join up all fingerprints ``fp`` within ``threshold`` bits of each other.
 
-    Every such pair is given, but for pairs at a dense home: there each fingerprint is linked
-    to the smallest of those it shares a neighbour with, which joins the same ones up.
+    Every such pair is given, but for pairs at a dense home with a threshold of two: there each
+    fingerprint is linked to the smallest of those it shares a neighbour with, which joins
+    the same ones up.
     """
     if not 0 <= threshold <= 2:
         raise ValueError("the threshold is 0, 1 or 2 bits")
@@ -174,15 +175,17 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     )
     pairs = met.where("at_home IS NOT NULL").select(F.col("fp").alias("a"), F.col("at_home").alias("b"))
     crowd = met.where("at_home IS NULL").select("fp").distinct()
-    if not crowd.take(1):
+    if threshold == 0 or not crowd.take(1):  # different fingerprints differ in a bit
         return pairs
     around = materialize(crowd.mapInArrow(balls, "centre bigint, fp bigint"), "balls")
+    if threshold == 1:  # the neighbours of a fingerprint that are fingerprints themselves
+        others = crowd.select(F.col("fp").alias("centre"))
+        close = around.where(F.col("fp") < F.col("centre")).join(others, "centre")
+        return pairs.union(close.select(F.col("fp").alias("a"), F.col("centre").alias("b")))
     # Neighbours of one string differ in at most two bits; two strings that differ in at
     # most two bits share a neighbour.
     smallest = around.groupBy("centre").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = around.join(smallest, "centre").where(F.col("a") < F.col("fp"))
-    if threshold < 2:
-        stars = stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= threshold)
     return pairs.union(stars.select("a", F.col("fp").alias("b")).distinct())
 
 

@@ -96,6 +96,37 @@ def test_links_of_random_prints(spark):
         assert {frozenset(pair) for pair in pairs} == want
 
 
+@pytest.mark.parametrize("threshold", [0, 1, 2])
+def test_links_at_dense_homes(spark, monkeypatch, threshold):
+    """All links at 0 and 1 bit, and at 2 bits enough to join up the same fingerprints."""
+    monkeypatch.setattr(simhash, "DENSE_HOME", 2)
+    rng = random.Random(9)
+    centre = [0, *(rng.getrandbits(63) for _ in range(3))]
+    prints = {c ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(0, 3))}) for c in centre for _ in range(40)}
+    prints = sorted((prints | {4, 9, 12, 13}) - {8})
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    pairs = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(df, threshold).collect()}
+    near = {frozenset((p, q)) for p in prints for q in prints if p != q and (p ^ q).bit_count() <= threshold}
+    if threshold < 2:
+        assert pairs == near
+    assert pairs <= near or threshold == 2
+
+    def joined(edges):
+        root = {p: p for p in prints}
+
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        for a, b in map(sorted, edges):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return {p: find(p) for p in prints}
+
+    assert joined(pairs) == joined(near)
+
+
 def test_components(spark):
     rng = random.Random(5)
     chain = [(k, k + 1) for k in range(100, 140)]
