@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import arrow_location
 from ..session import materialize, scratch_path
 
 MIN_SHARED = 1000  # payloads of fewer bytes are never revisits
@@ -37,22 +38,16 @@ BLOCK_LINES = 256
 LEVEL = 3
 GAP_BYTES = 1 << 16  # ranges that lie closer are read at once
 READ_BYTES = 4 << 20
+TASK_BYTES = 64 << 20  # what a task reads of the archives, compressed
+LEAST_BYTES = 1 << 20  # and at least, where there is less than that for every core
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 
 
-def _location(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """File system and path of a Hadoop URI: file, hdfs, s3a/s3n/s3, gs, abfs."""
-    scheme, found, _ = uri.partition(":")
-    if not found or scheme == "file":
-        return pyarrow.fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
-    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-
-
 @contextmanager
 def _new_file(uri: str):
-    system, path = _location(uri)
+    system, path = arrow_location(uri)
     if isinstance(system, pyarrow.fs.LocalFileSystem):
         system.create_dir(os.path.dirname(path), recursive=True)
     with system.open_output_stream(path, compression=None) as out:
@@ -249,7 +244,7 @@ class Index:
 
     def _open(self, part: int) -> None:
         if self.part != part:
-            system, path = _location(self.parts[part][3])
+            system, path = arrow_location(self.parts[part][3])
             with system.open_input_stream(path, compression=None) as stream:
                 lines = stream.read().decode().split("\n")
             self.directory = [line.split("\t") for line in lines]
@@ -259,7 +254,7 @@ class Index:
     def _load(self, block: int) -> None:
         if self.block != block:
             _, offset, length = self.directory[block]
-            system, path = _location(self.parts[self.part][2])
+            system, path = arrow_location(self.parts[self.part][2])
             with system.open_input_file(path) as file:
                 data = file.read_at(int(length), int(offset))
             self.lines = zlib.decompress(data, 31).decode().split("\n")[:-1]
@@ -302,7 +297,8 @@ def locate(spark: SparkSession, parts: DataFrame, wanted: DataFrame) -> DataFram
 
 def read_records(places: DataFrame, with_payload: bool = False) -> DataFrame:
     """Read and parse the records at (file, offset, length). A file's ranges are read in order,
-    neighbouring ones together."""
+    neighbouring ones together. There are as many tasks as there is to read of the archives,
+    however few bytes the places themselves take."""
 
     def members(rows: Iterator[tuple[str, int, int]]) -> Iterator[bytes]:
         held, uri, begin, data, file = [], None, 0, b"", None
@@ -322,7 +318,7 @@ def read_records(places: DataFrame, with_payload: bool = False) -> DataFrame:
             if name != uri:
                 if file is not None:
                     file.close()
-                system, path = _location(name)
+                system, path = arrow_location(name)
                 uri, file = name, system.open_input_file(path)
             held.append((offset, length))
         yield from drain()
@@ -351,8 +347,11 @@ def read_records(places: DataFrame, with_payload: bool = False) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    ordered = places.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInArrow(read, kind)
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    tasks = 1 + max(total // TASK_BYTES, min(cores - 1, total // LEAST_BYTES))
+    ordered = places.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset")
+    return ordered.sortWithinPartitions("file", "offset").mapInArrow(read, kind)
 
 
 def archive_and_read(pages: DataFrame, root: str | None = None, with_payload: bool = False) -> DataFrame:
