@@ -49,7 +49,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = t.utf8(column)
     inside, lower = _letters()
     starts, ends = t.runs(raw, offsets, inside[raw])
-    return t.range_hashes(lower[raw], starts, ends), t.text_of(starts, offsets)
+    return t.firm_hashes(lower[raw], starts, ends), t.text_of(starts, offsets)
 
 
 class Block:

@@ -23,6 +23,7 @@ LONG_REPEAT = 16
 MAX_COVERED = 0.25
 MAX_LONGEST = 50
 MAX_LONGEST_SHARE = 0.1
+MAX_LONGEST_WORDS = 500
 MIN_WORDS = 20
 SYMBOLS = b"#*$%&|<>"
 
@@ -116,11 +117,11 @@ def measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
     line_owner = t.text_of(line_starts, offsets)
-    lines = np.stack([line_owner.astype(np.uint64), t.range_hashes(raw, line_starts, line_ends)])
+    lines = np.stack([line_owner.astype(np.uint64), t.firm_hashes(raw, line_starts, line_ends)])
     order = np.lexsort(lines[::-1])
     again = (lines[:, order][:, 1:] == lines[:, order][:, :-1]).all(0)
     out["n_dup_lines"] = per_text(line_owner[order][1:][again])
-    places, lengths = common_prefixes(t.range_hashes(raw, starts, ends), owner)
+    places, lengths = common_prefixes(t.firm_hashes(raw, starts, ends), owner)
     out["n_repeat_words"] = per_text(owner[_covered(len(starts), places, lengths)])
     long = lengths >= LONG_REPEAT
     out["long_repeat_words"] = per_text(owner[_covered(len(starts), places[long], lengths[long])])
@@ -136,13 +137,15 @@ def quality_rules(
     max_covered: float = MAX_COVERED,
     max_longest: int = MAX_LONGEST,
     max_longest_share: float = MAX_LONGEST_SHARE,
+    max_longest_words: int = MAX_LONGEST_WORDS,
 ) -> DataFrame:
     """Per row its id as ``doc_id``, the counts of COLUMNS, ``base_failed`` and ``kept``.
 
     Base: fewer than 20 words, or over 30 % of the words in 8-word windows that the text has
     twice. Method: a text goes if maximal repeats of 16 words or more cover over
     ``max_covered`` of its words, or if its longest repeat has ``max_longest`` words or more
-    and over ``max_longest_share`` of its words. A null or empty text has all counts 0, fails
+    and over ``max_longest_share`` of its words, or ``max_longest_words`` or more of whatever
+    share. A null or empty text has all counts 0, fails
     the base and is not kept. Rows with equal ids are judged one by one; other columns are
     not read.
     """
@@ -161,6 +164,7 @@ def quality_rules(
     repetitive = (F.col("long_repeat_words") > max_covered * F.col("n_words")) | (
         (F.col("longest_repeat") >= max_longest) & (F.col("longest_repeat") > max_longest_share * F.col("n_words"))
     )
+    repetitive = repetitive | (F.col("longest_repeat") >= max_longest_words)
     return (
         source.mapInArrow(measured, schema)
         .withColumn("base_failed", failed)

@@ -12,8 +12,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 18
+# Sums modulo a power of two can be equal for different texts of some 1,000 bytes that are built
+# for it (a sequence of Thue and Morse and its complement); from here on another hash is taken.
+LONG_RANGE = 256
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -110,6 +114,17 @@ def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return rolling.hashes(table[raw], starts, ends)
 
 
+def firm_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each word or line, also where texts are made to have equal sums."""
+    found = range_hashes(raw, starts, ends)
+    long = np.flatnonzero(ends - starts >= LONG_RANGE)
+    if len(long):
+        data = memoryview(np.ascontiguousarray(raw))
+        bounds = zip(starts[long].tolist(), ends[long].tolist())
+        found[long] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in bounds]
+    return found
+
+
 def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of each run of words, given by the hashes of the words."""
     return _state()[1].hashes(hashes, starts, ends)

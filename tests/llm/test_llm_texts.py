@@ -93,3 +93,27 @@ def test_quality_verdicts(spark):
 @pytest.mark.parametrize("find", [quality.quality_rules, lambda df: tokens.token_counts(df, MODEL)])
 def test_empty_table(spark, find):
     assert find(data.empty(spark)).count() == 0
+
+
+def test_lines_and_words_made_to_have_equal_sums(spark):
+    """A sequence of Thue and Morse and its complement agree in any sum modulo 2^64."""
+    signs = "a"
+    while len(signs) < 4096:
+        signs += signs.translate(str.maketrans("ab", "ba"))
+    other = signs.translate(str.maketrans("ab", "ba"))
+    df, _ = data.documents(spark, [f"{signs}\n{other}", f"{signs}\n{signs}"])
+    got = {r.doc_id: r.n_dup_lines for r in quality.quality_rules(df).collect()}
+    assert (got[1], got[2]) == (0, 1)
+
+
+def test_a_long_repeat_in_a_longer_text(spark):
+    """A repeat of 500 words or more is not kept, whatever its share of the text."""
+    fresh = iter(f"w{k}" for k in range(100_000))
+
+    def text(repeat, n):
+        part = [next(fresh) for _ in range(repeat)]
+        return " ".join([*part, *(next(fresh) for _ in range(n - 2 * repeat)), *part])
+
+    df, _ = data.documents(spark, [text(1900, 20_000), text(500, 20_000), text(499, 20_000)])
+    got = {r.doc_id: r.kept for r in quality.quality_rules(df).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [False, False, True]
