@@ -2,9 +2,11 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from readlake.operators import extract
 from readlake.operators.extract import (
     boilerplate_blocks,
     explode_blocks,
@@ -104,3 +106,11 @@ def test_whole_pages(spark, sf_dir):
             assert not re.search(r"</?(p|b|br|article)>", part)
     assert page_titles(df).where(F.col("title").isNull()).count() == 0
     assert page_links(df).where(~F.col("href").startswith("/")).count() == 0
+
+
+def test_few_pages_are_held_as_blocks_at_a_time():
+    pages = pd.Series([None, *(f"<p>{n}</p>" for n in range(2 * extract.PARSED_AT_ONCE))])
+    parts = list(extract._parse_batches(iter([pages, pages[:0]])))
+    assert [len(part) for part in parts] == [extract.PARSED_AT_ONCE, extract.PARSED_AT_ONCE, 1]
+    texts = [[b["text"] for b in blocks] for part in parts for blocks in part["blocks"]]
+    assert texts == [[], *([str(n)] for n in range(2 * extract.PARSED_AT_ONCE))]
