@@ -4,6 +4,7 @@ import random
 import sqlite3
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from readlake.operators.search import (
     within,
     without,
 )
+from readlake.functions.text import tokenize_words
 from readlake.session import scratch_path
 
 WORDS = ["sea", "seal", "search", "paper", "pale", "ink", "café", "owl"]
@@ -339,3 +341,28 @@ def test_totals_count_every_article(index):
     tokens = sum(len((a[2] + " " + (a[3] or "") + " " + a[4]).split()) for a in make_articles())
     assert (row.n_docs, row.n_tokens) == (60, tokens)
     assert index.document_frequencies().where(F.col("term") == "").count() == 0
+
+
+def test_postings_are_gathered_a_share_of_tokens_at_a_time(spark, monkeypatch):
+    rows = [(1, "b a", None, "a a Ä"), (None, None, None, None), (2, "", "x", "one two " * 40), (1, "b", "b", "")]
+    words = [(i, *(tokenize_words(x or "") for x in fields)) for i, *fields in rows]
+    batch = pa.RecordBatch.from_pydict({
+        name: pa.array([row[k] for row in words], kind)
+        for k, (name, kind) in enumerate([("id", pa.int64()), *((f, pa.list_(pa.string())) for f in index_module.FIELDS)])
+    })
+    expected = []
+    for i, *fields in words:
+        at = {}
+        for name, found in zip(index_module.FIELDS, fields, strict=True):
+            for k, word in enumerate(found):
+                at.setdefault(word, []).append(index_module.field_start(name) + k)
+        dl = sum(map(len, fields))
+        expected += [("", i, dl, []), *((word, i, dl, places) for word, places in at.items())]
+    for share in (1, 4, 1 << 18):
+        monkeypatch.setattr(index_module, "GATHERED", share)
+        parts = list(index_module._gather(iter([batch, batch[:0]])))
+        found = [tuple(row.values()) for part in parts for row in part.to_pylist()]
+        assert sorted(found, key=str) == sorted(expected, key=str)
+    columns = spark.createDataFrame(rows, "id bigint, title string, author string, text string")
+    found = [tuple(row)[:4] for row in index_module.postings(columns).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
