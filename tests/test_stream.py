@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from readlake.operators.search import matches, term
 from readlake.operators.store import Store
-from readlake.session import scratch_path
+from readlake.plans import catalog
+from readlake.session import list_names, scratch_path
 from readlake.streaming import capture
 from readlake.streaming.capture import Web, capture_stream, read_captures, save_captures
 
@@ -210,3 +211,15 @@ def test_repeats_within_the_watermark(spark, place):
              .option("checkpointLocation", f"{root}/checkpoint").start())
     query.awaitTermination()
     assert sorted(r.url for r in spark.table("firsts").collect()) == ["https://e.org/a", "https://e.org/b"]
+
+
+def test_captures_come_in_as_many_files_as_there_are_pages_to_write(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "_written", {})
+    monkeypatch.setattr(catalog, "INBOX_SHARE", 1 << 16, raising=False)
+    tables = catalog.Tables(spark, sf)
+    folder, n = catalog._inbox(tables)
+    files = [name for name in list_names(spark, folder) if name.startswith("part-")]
+    assert n > 2 and n < len(files) <= 2 * n  # two deliveries
+    rows = spark.read.json(folder).groupBy(F.input_file_name()).count()
+    assert rows.agg(F.max("count")).first()[0] < tables["events"].count() / 4
