@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from readlake.plans import catalog
+from readlake.session import scratch_path
+from readlake.sources import exports
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,3 +23,21 @@ def test_no_file_holds_a_share_of_all_links(spark, monkeypatch):
     assert len(lines) == 3
     for found in lines.values():
         assert len(found) > 8 and max(found) <= 1000
+
+
+def test_the_folder_is_listed_once_for_all_readers(spark, monkeypatch):
+    root = scratch_path(spark, "listed")
+    spark.createDataFrame([("https://e.org/a",)], "url string").coalesce(1).write.text(f"{root}/urls")
+    spark.createDataFrame([('<a href="https://e.org/b">b</a>',)], "v string").coalesce(1).write.text(f"{root}/links")
+    listings = []
+    reader = type(spark.read)
+    read = reader.format
+
+    def watched(self, source):
+        if source == "binaryFile":
+            listings.append(source)
+        return read(self, source)
+
+    monkeypatch.setattr(reader, "format", watched)
+    assert sorted(r.url for r in exports.read_exports(spark, root).collect()) == ["https://e.org/a", "https://e.org/b"]
+    assert len(listings) == 1
