@@ -224,6 +224,28 @@ def test_blocks_that_are_passed_over_change_nothing(spark, articles, monkeypatch
     assert scored[1] < scored[5]
 
 
+@pytest.mark.parametrize("one_block", [0, 1_000_000])
+def test_candidates_do_not_carry_the_words_of_their_query(spark, index, monkeypatch, one_block):
+    """What is written and moved per candidate does not grow with the length of a query."""
+    schemas, written = {}, search_module._written
+
+    def spied(df, name):
+        schemas[name] = {f.name: f.dataType.typeName() for f in df.schema}
+        return written(df, name)
+
+    monkeypatch.setattr(search_module, "_written", spied)
+    queries = spark.createDataFrame([(1, "sea owl paper"), (2, "owl sea")], "query_id int, text string")
+    got = search_module.match_batch(index, queries, one_block=one_block)
+    wanted = {1: both(term("sea"), term("owl"), term("paper")), 2: both(term("sea"), term("owl"))}
+    for number, query in wanted.items():
+        expected = {r.id: r.score for r in matches(index, query).collect()}
+        found = {r.id: r.score for r in got.where(F.col("query_id") == number).collect()}
+        assert expected and found.keys() == expected.keys()
+        assert all(abs(found[i] - expected[i]) < 1e-9 for i in found)
+    for name in set(schemas) - {"queries", "plans", "terms", "needed"}:
+        assert not {"array", "struct", "string"} & set(schemas[name].values()), name
+
+
 def test_prefixes_are_looked_up_in_the_dictionary(index, articles, monkeypatch):
     """None, one and several words, and more than are listed, alone, in phrases and with columns;
     a search is the same without a dictionary."""
