@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from readlake.operators import ingest
 from readlake.operators import store as store_module
-from readlake.operators.generations import CHECKPOINT_EVERY, LOG, Conflict, Generations, _ranges
+from readlake.operators.generations import CHECKPOINT_EVERY, LOG, Conflict, Generations, _ranges, merged_groups
 from readlake.operators.ingest import ITEM_SCHEMA, deduplicate, run_import
 from readlake.operators.search import matches, term
 from readlake.operators.store import KEY_SCHEMA, URL_BUCKETS, Store, url_bucket
@@ -198,3 +198,18 @@ def test_items_without_places_do_not_all_meet(spark):
     found = deduplicate(spark.createDataFrame(rows, ITEM_SCHEMA)).collect()
     assert len(found) == len({r.url for r in found}) == 2500
     assert sum(r.n_items for r in found) == 5003
+
+
+def test_what_is_merged_again_is_written_once(spark):
+    """Three of nine like batches give one of the next size, three of which are merged again."""
+    batches = Generations(spark, scratch_path(spark, "batches"))
+    for n in range(9):
+        state = batches.state()
+        generation = batches.new(n, state)
+        tables = {"a": batches.write(spark.range(n, n + 1), "a", n, generation)}
+        batches.commit(generation, n, tables, state, rows=1, last_id=n)
+    assert batches.compact(fanout=3) == 1 and list(batches.state().valid) == [8]
+    assert batches.compact(fanout=3) == 0 and batches.state().closed == ((0, 8),)
+    assert sorted(r.id for r in batches.read("a", "id bigint").collect()) == list(range(9))
+    groups = merged_groups({0: 9, 1: 9, 2: 9, 3: 30, 4: 30, 5: 300}, 3)
+    assert sorted(groups) == [[0, 1, 2, 3, 4], [5]]
