@@ -237,7 +237,10 @@ def fit(
     buckets, counts = (x.values.to_numpy() for x in lists)
     rows = [(buckets[a:b], counts[a:b].astype(np.float32)) for a, b in zip(starts, starts[1:])]
     number = {language: k for k, language in enumerate(languages)}
-    return train(rows, np.array([number[x] for x in table.column("lang").to_pylist()]), languages)
+    model = train(rows, np.array([number[x] for x in table.column("lang").to_pylist()]), languages)
+    del table, lists, starts, buckets, counts, rows
+    pa.default_memory_pool().release_unused()  # or the driver keeps the sample's memory for good
+    return model
 
 
 def predictor(documents: DataFrame, model: Model):

@@ -82,3 +82,14 @@ def test_nothing_to_learn_from(spark):
     found = langid.identify(df, None).collect()
     assert len(found) == len(rows) and {r.lang_pred for r in found} == {"und"}
     assert langid.identify(data.empty(spark), None).count() == 0
+
+
+def test_the_driver_gives_the_memory_of_the_sample_back(documents, monkeypatch):
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(True)
+
+    monkeypatch.setattr(langid.pa, "default_memory_pool", Pool)
+    assert langid.fit(documents.limit(200)) is not None and released
