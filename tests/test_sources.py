@@ -152,6 +152,23 @@ def test_omnivore_folder(spark, tmp_path):
         read_export(spark, str(tmp_path / "none"))
 
 
+def test_omnivore_texts_are_read_whole_without_a_job_each(spark, tmp_path, capsys):
+    """As binary files, byte for byte what the text reader gives."""
+    texts = {"plain": b"a\r\nb\x0bc", "a+b %41": "é\u2028".encode() + b"\n", "empty": b"", "bad": b"x\xffy \xc3", "mark": b"\xef\xbb\xbfz"}
+    entries = [{"id": slug, "slug": slug, "url": f"https://e.org/{k}"} for k, slug in enumerate(texts)]
+    put(tmp_path, "o/metadata_0.json", json.dumps(entries))
+    (tmp_path / "o/content").mkdir()
+    for slug, text in texts.items():
+        (tmp_path / f"o/content/{slug}.md").write_bytes(text)
+    items = exports.read_omnivore(spark, str(tmp_path / "o"))
+    items.explain()
+    plan = capsys.readouterr().out
+    assert "FileScan binaryFile" in plan and "FileScan text" not in plan
+    found = {r.url: bytes(r.raw) for r in items.select("url", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).collect()}
+    stripped = {"plain": texts["plain"], "a+b %41": "é".encode(), "empty": b"", "bad": texts["bad"], "mark": texts["mark"]}
+    assert found == {f"https://e.org/{k}": stripped[slug] for k, slug in enumerate(texts)}
+
+
 def test_omnivore_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
         z.writestr("deep/metadata_0_to_20.json", json.dumps(METADATA))
