@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        # An edge gives one row here, so repeated ones may wait for the end of the round.
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.explode(F.array("a", "b")).alias("a")
         small = large.join(smallest, "a").select(ends, F.col("m").alias("b")).where("a != b").distinct()

@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its subwords (runs of 2 to 4 bytes within a word or
 at its border, hashed into buckets); a linear layer without bias gives one score per
-language. Both are trained in numpy by stochastic gradient descent on a bounded sample. A
+language. Both are trained in numpy by stochastic gradient descent on a bounded sample, in one task. A
 temperature, fitted on rows set apart, makes the scores calibrated. A text whose score is
 below what those rows reach is rejected, unless its pieces reach it on average, as those of a
 text in two languages do. Buckets that training has not met are zero, so a text of unknown
@@ -196,8 +196,8 @@ def fit(
 ) -> Model | None:
     """Learn from about ``sample_rows`` rows that have an id, a language and a text and are not
     held out, chosen by a hash of the id, about as many per language and of each some
-    ``LEAST_ROWS``. Counts of subwords are taken where the texts are; only those of the sample come to the driver. None if
-    there is no such row.
+    ``LEAST_ROWS``. Counts of subwords are taken where the texts are; those of the sample go to one task, which
+    learns from them. None if there is no such row.
     """
     source = documents.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang")
@@ -228,19 +228,31 @@ def fit(
                 )
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, lang string, buckets array<int>, counts array<int>"
+    number = {language: k for k, language in enumerate(languages)}
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            lists = [batch.column(c) for c in ("buckets", "counts")]
+            starts = lists[0].offsets.to_numpy()
+            buckets, counts = (x.values.to_numpy() for x in lists)
+            rows += [(buckets[a:b], counts[a:b].astype(np.float32)) for a, b in zip(starts, starts[1:])]
+            labels += [number[x] for x in batch.column("lang").to_pylist()]
+        if rows:
+            found = train(rows, np.array(labels), languages)
+            values = {"scores": found.scores.astype(np.float32).tobytes(), "temperature": found.temperature, "threshold": found.threshold}
+            yield pa.RecordBatch.from_pylist([values])
+
     # Repeated ids could make the sample larger than asked for; the order makes reruns agree.
-    table = sample.mapInArrow(counted, schema).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(int(4 * each * len(languages))).toArrow()
-    if not table.num_rows:
+    counted_rows = sample.mapInArrow(counted, schema)
+    bounded = counted_rows.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(int(4 * each * len(languages)))
+    # The sample is bounded and one partition: it is learned from in a task, and only the model comes to the driver.
+    found = bounded.mapInArrow(trained, "scores binary, temperature double, threshold double").toArrow().to_pylist()
+    pa.default_memory_pool().release_unused()  # or the driver keeps that memory for good
+    if not found:
         return None
-    lists = [table.column(c).combine_chunks() for c in ("buckets", "counts")]
-    starts = lists[0].offsets.to_numpy()
-    buckets, counts = (x.values.to_numpy() for x in lists)
-    rows = [(buckets[a:b], counts[a:b].astype(np.float32)) for a, b in zip(starts, starts[1:])]
-    number = {language: k for k, language in enumerate(languages)}
-    model = train(rows, np.array([number[x] for x in table.column("lang").to_pylist()]), languages)
-    del table, lists, starts, buckets, counts, rows
-    pa.default_memory_pool().release_unused()  # or the driver keeps the sample's memory for good
-    return model
+    scores = np.frombuffer(found[0]["scores"], np.float32).reshape(-1, len(languages))
+    return Model(languages, scores, found[0]["temperature"], found[0]["threshold"])
 
 
 def predictor(documents: DataFrame, model: Model):

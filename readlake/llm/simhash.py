@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -174,9 +174,10 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         "met",
     )
     pairs = met.where("at_home IS NOT NULL").select(F.col("fp").alias("a"), F.col("at_home").alias("b"))
-    crowd = met.where("at_home IS NULL").select("fp").distinct()
+    crowd = met.where("at_home IS NULL").select("fp")
     if threshold == 0 or not crowd.take(1):  # different fingerprints differ in a bit
         return pairs
+    crowd = crowd.distinct()
     around = materialize(crowd.mapInArrow(balls, "centre bigint, fp bigint"), "balls")
     if threshold == 1:  # the neighbours of a fingerprint that are fingerprints themselves
         others = crowd.select(F.col("fp").alias("centre"))
@@ -189,13 +190,11 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return pairs.union(stars.select("a", F.col("fp").alias("b")).distinct())
 
 
-def _grouped(documents: DataFrame, id_column: str, text_column: str, threshold: int) -> DataFrame:
-    marked = materialize(fingerprints(documents, id_column, text_column), "fingerprints")
-    classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+def _rooted(marked: DataFrame, first: Column, threshold: int) -> DataFrame:
+    """(fp, first, root): each fingerprint with the smallest ``first`` of its rows, and its component."""
+    classes = materialize(marked.groupBy("fp").agg(F.min(first).alias("first")), "classes")
     linked = components(links(classes.select("fp"), threshold)).withColumnRenamed("node", "fp")
-    named = classes.join(linked, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(names, "root").select("fp", "root", "component_id"), "fp")
+    return classes.join(linked, "fp", "left").withColumn("root", F.coalesce("component", "fp")).drop("component")
 
 
 def near_duplicates(
@@ -209,15 +208,16 @@ def near_duplicates(
     component's name, unless all its ids are null. Repeated rows come back as they are; other
     columns are not read.
     """
-    return _grouped(documents, id_column, text_column, threshold).select("doc_id", "fp", "component_id")
+    marked = materialize(fingerprints(documents, id_column, text_column), "fingerprints")
+    named = _rooted(marked, F.col("doc_id"), threshold)
+    names = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(documents: DataFrame, found: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Of each group in ``found`` (doc_id, text_hash, root) the row with the smallest id (null
-    last), of those the one whose text has the smallest hash."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("kept")
+    """Of each ``root`` in ``found`` the row whose ``first`` is the smallest (nameless, doc_id, text_hash)."""
     name, own_id, own_hash = fresh(documents, "text_hash", "kept_id", "kept_hash")
-    kept = found.groupBy("root").agg(first).select(
+    kept = found.groupBy("root").agg(F.min("first").alias("kept")).select(
         F.col("kept.doc_id").alias(own_id), F.col("kept.text_hash").alias(own_hash)
     )
     keyed = documents.withColumn(name, F.xxhash64(F.col(f"`{text_column}`")))
@@ -230,4 +230,7 @@ def keep_one(
 ) -> DataFrame:
     """One row of each group of near-duplicates stays, with all its columns: that with the
     smallest id (null last), of those the one whose text has the smallest hash."""
-    return keep_first(documents, _grouped(documents, id_column, text_column, threshold), id_column, text_column)
+    marked = materialize(fingerprints(documents, id_column, text_column), "fingerprints")
+    # The first of a group is the first of its fingerprints' firsts: documents are not joined to their groups.
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    return keep_first(documents, _rooted(marked, first, threshold), id_column, text_column)
