@@ -223,3 +223,19 @@ def test_captures_come_in_as_many_files_as_there_are_pages_to_write(spark, monke
     assert n > 2 and n < len(files) <= 2 * n  # two deliveries
     rows = spark.read.json(folder).groupBy(F.input_file_name()).count()
     assert rows.agg(F.max("count")).first()[0] < tables["events"].count() / 4
+
+
+def test_captures_are_written_where_their_pages_are(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(catalog, "_written", {})
+    monkeypatch.setattr(catalog, "INBOX_SHARE", 1 << 16)
+    tables = catalog.Tables(spark, sf)
+    folder, n = catalog._inbox(tables)
+    files = [name for name in list_names(spark, folder) if name.startswith("part-")]
+    assert all(name.endswith(".json.gz") for name in files)
+    wanted = tables.sql(catalog._CAPTURES).select("event_id", "url", "html")
+    got = spark.read.schema(capture.CAPTURE_SCHEMA).json(folder)
+    assert got.where("captured_at IS NULL").isEmpty()
+    assert sorted(map(tuple, got.select("event_id", "url", "html").collect())) == sorted(map(tuple, wanted.collect()))
+    sent = got.withColumn("file", F.input_file_name()).where(F.length("html") > 3)
+    assert sent.groupBy("html").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] <= 2  # deliveries
