@@ -7,8 +7,11 @@ that other batches saved, and a batch that is run again replaces what it wrote.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +30,8 @@ OUTCOME_SCHEMA = "event_id bigint, url string, ok boolean, reason string, id big
 
 # The largest page, and the wording of the outcomes.
 MAX_PAGE_BYTES = 32 * 1024 * 1024
+# So many pages a task remembers, to keep those that come again once.
+REMEMBERED = 100_000
 NO_URL = "no url given"
 BAD_SCHEME = "unsupported URL scheme"
 TOO_LARGE = "missing or oversized body"
@@ -70,10 +75,6 @@ def first_captures(captures: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def _has_page() -> Column:
-    return F.coalesce(F.col("html") != "", F.lit(False))
-
-
 def check_captures(captures: DataFrame, max_page_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
     """The captures with a reason why they are refused, or null."""
     url = F.coalesce("url", F.lit(""))
@@ -90,22 +91,50 @@ def check_captures(captures: DataFrame, max_page_bytes: int = MAX_PAGE_BYTES) ->
 # row per different page however often it was sent.
 
 
-def _sent_pages(checked: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _pages_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Captures whose page the same task has seen already go without it; their key says which it is."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        first = []
+        for key in batch.column("content_key").to_pylist():
+            first.append(key is not None and key not in seen)
+            seen.add(key)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        at = batch.schema.get_field_index("html")
+        page = pc.if_else(pa.array(first, pa.bool_()), batch.column(at), pa.scalar(None, batch.schema.field(at).type))
+        yield batch.set_column(at, batch.schema.field(at), page)
+
+
+def _kept(checked: DataFrame) -> DataFrame:
+    """(event_id, url, refused, content_key, html): the captures with the key of the page that each
+    brings, null if none, and the page itself where a task has it first."""
+    page = F.when(F.col("refused").isNull() & (F.col("html") != ""), F.col("html"))
+    keyed = checked.select("event_id", "url", "refused", F.sha2(page, 256).alias("content_key"), page.alias("html"))
+    return keyed.mapInArrow(_pages_once, keyed.schema)
+
+
+def _sent_pages(batch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Captures that bring their page. Equal pages are parsed once."""
-    sent = checked.where(F.col("refused").isNull() & (F.col("html") != ""))
-    keyed = sent.select("event_id", "url", F.sha2("html", 256).alias("content_key"), "html")
-    firsts = keyed.groupBy("content_key").agg(F.min("event_id").alias("event_id"))
-    pages = keyed.select("event_id", "content_key", "html").join(firsts, ["event_id", "content_key"], "left_semi")
+    bringing = batch.where(F.col("html").isNotNull()).select("event_id", "content_key", "html")
+    firsts = bringing.groupBy("content_key").agg(F.min("event_id").alias("event_id"))
+    pages = bringing.join(firsts, ["event_id", "content_key"], "left_semi")
     content = scratch.write(extract_all(pages.dropDuplicates(["event_id", "content_key"]), ("content_key",)), "content")
     empty = content.where(F.col("text").isNull()).select("content_key", F.lit(NO_TEXT).alias("reason"))
     # Very many captures may send one page.
-    judged = spread_join(keyed.drop("html"), empty, "content_key", "event_id")
+    sent = batch.where(F.col("content_key").isNotNull()).select("event_id", "url", "content_key")
+    judged = spread_join(sent, empty, "content_key", "event_id")
     return judged.withColumn("url", normalize_url(F.col("url"))), content
 
 
-def _named_pages(checked: DataFrame, web: Web, guard: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _named(batch: DataFrame) -> DataFrame:
+    """Captures that only name a page."""
+    return batch.where(F.col("refused").isNull() & F.col("content_key").isNull()).select("event_id", "url")
+
+
+def _named_pages(batch: DataFrame, web: Web, guard: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Captures that only name a page: looked up, behind the address guard if asked for."""
-    named = checked.where(F.col("refused").isNull() & ~_has_page()).select("event_id", "url")
+    named = _named(batch)
     urls = scratch.write(named.select("url").distinct(), "urls")
     resolved = resolve_redirects(urls, web.hops)
     wanted = resolved.select(F.col("given_url").alias("url")).distinct()
@@ -168,16 +197,15 @@ def _save(
     store.batches.new(batch_id, state)  # a closed batch is refused before any work
     with Scratch(store.spark) as scratch:
         # The batch is read once; its source may be gone or changed on another read.
-        checked = scratch.write(check_captures(captures, max_page_bytes), "batch")
-        events, content = _sent_pages(checked, scratch)
+        batch = scratch.write(_kept(check_captures(captures, max_page_bytes)), "batch")
+        events, content = _sent_pages(batch, scratch)
         if web is not None:
-            more_events, more_content = _named_pages(checked, web, guard, scratch)
+            more_events, more_content = _named_pages(batch, web, guard, scratch)
             events, content = events.unionByName(more_events), content.unionByName(more_content)
         else:
-            missing = checked.where(F.col("refused").isNull() & ~_has_page())
             events = events.unionByName(
-                missing.select("event_id", normalize_url(F.col("url")).alias("url"),
-                               F.lit(NOT_FETCHED).alias("reason")),
+                _named(batch).select("event_id", normalize_url(F.col("url")).alias("url"),
+                                     F.lit(NOT_FETCHED).alias("reason")),
                 allowMissingColumns=True,
             )
         events = scratch.write(events, "events")
@@ -201,7 +229,7 @@ def _save(
             F.when(~ok, F.coalesce("reason", F.lit(ALREADY_SAVED))).alias("reason"),
             "id",
         )
-        refused = checked.where(F.col("refused").isNotNull()).select(
+        refused = batch.where(F.col("refused").isNotNull()).select(
             "event_id",
             "url",
             F.lit(False).alias("ok"),

@@ -239,3 +239,33 @@ def test_captures_are_written_where_their_pages_are(spark, monkeypatch):
     assert sorted(map(tuple, got.select("event_id", "url", "html").collect())) == sorted(map(tuple, wanted.collect()))
     sent = got.withColumn("file", F.input_file_name()).where(F.length("html") > 3)
     assert sent.groupBy("html").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] <= 2  # deliveries
+
+
+def test_a_batch_keeps_a_page_that_comes_again_once(spark, place, monkeypatch):
+    root, store = place
+    page, other = PAGE.format("A", "same"), PAGE.format("B", "other")
+    rows = [(k, f"https://e.org/{k}", page if k % 2 else other, None) for k in range(40)]
+    rows += [(40, "file:///x", page, None), (41, "https://e.org/named", "", None), (42, None, None, None), (1, "https://e.org/1", page, None)]
+    kept = []
+    write = capture.Scratch.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        if name == "batch":
+            kept.append(out.where(F.coalesce(F.col("html"), F.lit("")) != "").count())
+        return out
+
+    monkeypatch.setattr(capture.Scratch, "write", watched)
+    captures = spark.createDataFrame(rows, capture.CAPTURE_SCHEMA).coalesce(1)
+    done = {(r.event_id, r.ok, r.reason) for r in save_captures(store, captures, 0, NOW()).collect()}
+    assert kept == [2]
+    assert done == {(k, True, None) for k in range(40)} | {
+        (40, False, "unsupported URL scheme"), (41, False, "no response"), (42, False, "no url given")}
+    assert {r.id: r.title for r in store.articles().collect()} == {k + 1: "BA"[k % 2] for k in range(40)}
+
+
+def test_a_task_forgets_pages_without_losing_any(monkeypatch):
+    monkeypatch.setattr(capture, "REMEMBERED", 1)
+    part = capture.pa.RecordBatch.from_pydict({"content_key": list("012012"), "html": list("abcabc")})
+    got = [b.column("html").to_pylist() for b in capture._pages_once(iter([part, part, part.slice(0, 0)]))]
+    assert got == [[*"abc", None, None, None], [*"abc", None, None, None], []]
