@@ -153,3 +153,16 @@ def test_raw_snapshot_url(spark):
     assert evaluate(spark, raw_snapshot_url, values, "a string, b string") == [
         "https://web.archive.org/web/2020id_/http://web.archive.org/web/2020/x",
         "https://web.archive.org/web/2020/http://e.org/", "http://e.org"]
+
+
+def test_only_text_beyond_ascii_is_folded(spark, monkeypatch):
+    from readlake.functions import text
+
+    samples = ["", "Ab c-9_x", "KK k", "İstanbul", "naïve café A1", "áb", "x y", "中文 ab", "\x00a\x7fb"]
+    rows = spark.createDataFrame([(s,) for s in samples], "v string").coalesce(1)
+    got = [r[0] for r in rows.select(text.tokens(F.col("v"))).collect()]
+    assert got == [text.tokenize_words(s) for s in samples]
+    monkeypatch.setattr(text, "FOLD_FROM", "a")
+    monkeypatch.setattr(text, "FOLD_TO", "o")
+    few = spark.createDataFrame([("banana",), ("bananña",)], "v string").coalesce(1)
+    assert [r[0] for r in few.select(text.tokens(F.col("v"))).collect()] == [["banana"], ["bononño"]]
